@@ -6,12 +6,14 @@ from strideframe.llm.bpe import op1_bpe
 from strideframe.llm.decontaminate import op7_decontaminate
 from strideframe.llm.langid import op9_language
 from strideframe.llm.licenses import op2_licenses
+from strideframe.llm.quality import op5_quality
 from strideframe.llm.simhash import op6_simhash
 from strideframe.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_licenses": op2_licenses,
+    "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op7_decontaminate": op7_decontaminate,
     "op9_language": op9_language,
