@@ -216,3 +216,99 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: Pipeline defaults: words of a shingle and the least similarity of near duplicates.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Ranges of the hash space that give a text a fingerprint each, shingles in one, and hashes in a sketch.
+VIEWS, PER_VIEW, SKETCH = 8, 4, 128
+
+
+def sketches(texts: list[str | None], words: int) -> tuple[list[bytes], list[list[int]], list[bytes]]:
+    """For each text: a key of its shingle set, fingerprints of the whole set and of parts of it, and its least hashes.
+
+    A part is made of the least shingles of one range of the hash space, so two similar texts are likely to
+    agree on some part in full, though a few changed words move the whole fingerprint by many bits.
+    """
+    each = [np.unique(mix(shingle_hashes(t, words))) for t in texts]
+    whole = fingerprints(each).view(np.int64).tolist()
+    keys, prints, least = [], [], []
+    parts, owner = [], []
+    for i, h in enumerate(each):
+        keys.append(xxhash.xxh3_128_digest(h.tobytes()))
+        least.append(h[:SKETCH].astype("<u8").tobytes())
+        cuts = np.searchsorted(h >> np.uint64(61), np.arange(VIEWS + 1, dtype=np.uint64)).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                parts.append(h[a : min(b, a + PER_VIEW)])
+                owner.append(i)
+    prints = [[w] for w in whole]
+    for i, f in zip(owner, fingerprints(parts).view(np.int64).tolist()):
+        prints[i].append(f)
+    return keys, prints, least
+
+
+def similarity(a: bytes, b: bytes, size: int = SKETCH) -> float:
+    """Jaccard similarity from two sketches; exact where a set is no larger than a sketch."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = np.concatenate([x, y])
+    both.sort()
+    union = both[np.concatenate([[True], both[1:] != both[:-1]])]
+    if len(x) == size or len(y) == size:
+        # beyond the larger end of a full sketch nothing is known of that text
+        union = union[:size]
+    common = both[1:][both[1:] == both[:-1]]
+    return float((common <= union[-1]).sum() / len(union))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = SIMILARITY, radius: int = 2, rounds: int = 2) -> DataFrame:
+    """The documents with one, of the smallest doc_id, of each group of near duplicates; their columns are unchanged.
+
+    Fingerprints of whole shingle sets and of their parts, within the radius of each other in a
+    vantage-point search, make candidates; sketches decide. Each candidate is compared with the first of
+    its class; what differs from it is compared among itself in the next round.
+    """
+    names = docs.columns
+    base, _ = materialise(docs.withColumn("row__", F.monotonically_increasing_id()))
+
+    def rows():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keys, prints, hashes_ = sketches(batch.column("text").to_pylist(), words)
+            return pa.RecordBatch.from_arrays(
+                [batch.column("row__"), batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(prints, pa.list_(pa.int64())), pa.array(hashes_, pa.binary())],
+                ["row__", "doc_id", "key", "prints", "sketch"],
+            )
+
+        return step
+
+    cols = base.select("row__", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked, _ = materialise(map_texts(cols, rows, "row__ long, doc_id long, key binary, prints array<long>, sketch binary"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row__")
+    sets, _ = materialise(marked.groupBy("key").agg(F.min(order).alias("lead")).select("key", F.col("lead.row__").alias("lead")))
+    leads = marked.join(sets.select(F.col("lead").alias("row__")), "row__", "left_semi")
+    prints, _ = materialise(leads.select("row__", F.explode("prints").alias("fp")))
+    roots, _ = materialise(components(link(prints.select("fp").distinct(), radius)))
+    classes = prints.join(roots, prints.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("cls"), "row__").distinct()
+    sketch = leads.select("row__", "sketch")
+
+    def compare(batches):
+        for batch in batches:
+            ok = [similarity(a, b) >= least for a, b in zip(batch.column("sketch").to_pylist(), batch.column("other").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["cls", "a", "b", "ok"])
+
+    links, left = None, classes
+    for _ in range(rounds):
+        first = left.groupBy("cls").agg(F.min("row__").alias("b"), F.count("*").alias("n")).where("n > 1")
+        pairs = left.join(first.select("cls", "b"), "cls").where("row__ <> b").select("cls", F.col("row__").alias("a"), "b")
+        seen = pairs.join(sketch.withColumnRenamed("row__", "a"), "a").join(sketch.select(F.col("row__").alias("b"), F.col("sketch").alias("other")), "b")
+        done, _ = materialise(seen.select("cls", "a", "b", "sketch", "other").mapInArrow(compare, "cls long, a long, b long, ok boolean"))
+        good = done.where("ok").select("a", "b")
+        links = good if links is None else links.union(good)
+        left = done.where("NOT ok").select("cls", F.col("a").alias("row__"))
+    groups, _ = materialise(components(links))
+    of_set = sets.join(groups, sets.lead == groups.node, "left").select("key", F.coalesce("root", "lead").alias("group"))
+    members = marked.select("row__", "doc_id", "key").join(of_set, "key")
+    stay = members.groupBy("group").agg(F.min(order).alias("lead")).select(F.col("lead.row__").alias("row__"))
+    return base.join(stay, "row__", "left_semi").select(*names)
