@@ -1,0 +1 @@
+"""Episode-structured, multi-rate sensor and action data on Spark."""
