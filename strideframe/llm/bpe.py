@@ -11,7 +11,7 @@ columns are ignored; repeated rows give repeated results; an empty table gives a
 from __future__ import annotations
 
 import hashlib
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from strideframe.llm._common import map_texts, table
 
 #: Pieces that a worker remembers before it starts anew: bounds its memory.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
+#: Pieces that go to the library at a time.
+ENCODE_PIECES = 4096
 #: Longer pieces are encoded each time, so the cache holds short ones only.
 CACHE_CHARS = 40
 
@@ -53,31 +55,24 @@ class Codec:
             self.token_bytes[i] = token.encode() if i in special else bytes(back[c] for c in token)
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+    def _learn(self, pieces: list[str]) -> None:
         if len(self.known) > CACHE_PIECES:
-            self.known = {}
-        new = list({p for p in pieces if p not in self.known})
-        got = {
-            p: np.array(e.ids, "<u4").tobytes()
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))
-        }
-        self.known.update((p, v) for p, v in got.items() if len(p) <= CACHE_CHARS)
-        return got
+            self.known.clear()
+        known = self.known
+        new = list({p for p in pieces if p not in known})
+        for k in range(0, len(new), ENCODE_PIECES):
+            part = new[k : k + ENCODE_PIECES]
+            known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a whole text."""
         pieces = self.split(text)
-        got = self._learn(pieces)
-        known = self.known
-        return np.frombuffer(b"".join([known[p] if p in known else got[p] for p in pieces]), "<u4")
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Token ids of several texts; new pieces go to the library in one call."""
-        split = [self.split(t) for t in texts]
-        got = self._learn([p for pieces in split for p in pieces])
-        known, long = self.known, {p: v for p, v in got.items() if p not in self.known}
-        get = (lambda p: known.get(p) or long[p]) if long else known.__getitem__
-        return [np.frombuffer(b"".join(map(get, pieces)), "<u4") for pieces in split]
+        self._learn(pieces)
+        ids = np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4")
+        if len(text) > CACHE_CHARS:  # long pieces are seldom met again
+            for p in {p for p in pieces if len(p) > CACHE_CHARS}:
+                del self.known[p]
+        return ids
 
     def decode(self, ids) -> bytes:
         """The bytes that the ids stand for."""
@@ -93,6 +88,12 @@ class Codec:
         return [(int(char_of[a]), int(char_of[b - 1]) + 1) for a, b in zip(begins, ends)]
 
 
+@lru_cache(2)
+def codec_of(vocabulary: str, pattern: str) -> Codec:
+    """One codec for each worker process, whose cache then serves all its tasks."""
+    return Codec(vocabulary, pattern)
+
+
 def read_vocabulary(path: str) -> str:
     """The vocabulary file's text: the driver reads it and ships it, so executors need no file."""
     with open(path, encoding="utf-8") as f:
@@ -104,11 +105,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, offsets:
     extra = ", offset_begin array<int>, offset_end array<int>" if offsets else ""
 
     def rows():
-        codec = Codec(vocabulary, pattern)
+        codec = codec_of(vocabulary, pattern)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = codec.encode_all(texts)
+            ids = [codec.encode(t) for t in texts]
             cols = [batch.column("doc_id"), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))]
             names = ["doc_id", "ids"]
             if offsets:
@@ -126,7 +127,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str) -> DataF
     """doc_id and text of each row of ids; bytes that are no UTF-8 become replacement characters."""
 
     def run(batches):
-        codec = Codec(vocabulary, pattern)
+        codec = codec_of(vocabulary, pattern)
         for batch in batches:
             ids = batch.column("ids").to_pylist()
             yield pa.RecordBatch.from_arrays(
@@ -141,10 +142,10 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, digests of the ids and of the decoded bytes: encode, then decode, without keeping the ids."""
 
     def rows():
-        codec = Codec(vocabulary, pattern)
+        codec = codec_of(vocabulary, pattern)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = codec.encode_all([t or "" for t in batch.column("text").to_pylist()])
+            ids = [codec.encode(t or "") for t in batch.column("text").to_pylist()]
             return pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
