@@ -17,10 +17,18 @@ def discretise(vx: Column, vy: Column, yaw: Column) -> tuple[Column, Column, Col
     )
 
 
-def deploy_forward(vx: Column, high: float = 0.04, level: float = 0.2, low: float = -0.04) -> Column:
-    """The deployed rule for vx, where a second test follows the first one: whatever is not above ``high`` ends at 0."""
-    after_first = F.when(vx < low, -0.1).otherwise(vx)
-    return F.when(after_first > high, level).otherwise(0.0)
+#: Fixed values of the deployed levels: forward threshold and level, whether yaw is used, by task.
+DEPLOY = {"garbage": (0.15, 0.25, False), "cart": (0.18, 0.20, False), "bed": (0.08, 0.3, False), "toy": (0.1, 0.3, True)}
+
+
+def deploy_discretise(vx: Column, yaw: Column, task: str) -> tuple[Column, Column, Column]:
+    """The deployed levels. Backward levels never survive: whatever is not above the threshold ends at 0."""
+    threshold, level, turns = DEPLOY[task]
+    forward = F.when(vx > threshold, level).otherwise(0.0)
+    if not turns:
+        return forward, F.lit(0.0), F.lit(0.0)
+    turning = (yaw < -0.04) | (yaw > 0.04)
+    return F.when(turning, 0.0).otherwise(forward), F.lit(0.0), F.when(yaw < -0.04, -0.5).when(yaw > 0.04, 0.5).otherwise(yaw)
 
 
 def tip_distance(tips: Column) -> Column:
@@ -51,10 +59,12 @@ def weighted_signal(norm_tip: Column, norm_curve: Column, w_tip: float = 0.5, w_
     return (w_tip * (1 - norm_tip) + w_curve * norm_curve) / (w_tip + w_curve)
 
 
-def enhance(signal: Column, threshold: Column, power: float = 100.0) -> Column:
-    """Pushes a signal in [0, 1] away from its threshold: (s/t)^p below, 1 - ((1-s)/(1-t))^p above."""
-    low, high = F.greatest(threshold, F.lit(1e-9)), F.greatest(1 - threshold, F.lit(1e-9))
-    return F.when(signal < threshold, 0.5 * F.pow(signal / low, F.lit(power))).otherwise(1 - 0.5 * F.pow((1 - signal) / high, F.lit(power)))
+def enhance(signal: Column, high: Column, low: Column, high_power: float, low_power: float) -> Column:
+    """Pushes a signal in [0, 1] to its ends: above ``high`` towards 1, at or below ``low`` towards 0."""
+    above = (signal - high) / F.nullif(1 - high, F.lit(0.0))
+    up = high + (1 - F.pow(F.greatest(1 - above, F.lit(0.0)), F.lit(high_power))) * (1 - high)
+    down = F.pow(signal / F.nullif(low, F.lit(0.0)), F.lit(low_power)) * low
+    return F.when((signal >= high) & (high < 1), up).when((signal <= low) & (low > 0), down).otherwise(signal)
 
 
 def mean_threshold(mean: Column, offset: float = 0.25) -> Column:
@@ -98,7 +108,12 @@ def gripper_to_angular(value: Column) -> Column:
 
 
 def gripper_from_angular(value: Column) -> Column:
-    return rescale(rescale_back(value, 0.5476, 1.6296), -0.6213, 1.4910)
+    """The model's angle to the arm's normalised joint."""
+    return rescale(value + 0.5476, -0.6213, 1.4910)
+
+
+def gripper_from_angular_back(value: Column) -> Column:
+    return rescale_back(value, -0.6213, 1.4910) - 0.5476
 
 
 def flip_joints(state: Column, signs: list[int]) -> Column:
