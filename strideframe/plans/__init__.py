@@ -1 +1,6 @@
 """Named pipelines, and the registered queries."""
+
+from strideframe.plans import q_episodes
+from strideframe.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "q_episodes"]
