@@ -11,6 +11,7 @@ columns are ignored; repeated rows give repeated results; an empty table gives a
 from __future__ import annotations
 
 import hashlib
+import os
 from functools import cache, lru_cache
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from strideframe.llm._common import map_texts, table
 
 #: Pieces that a worker remembers before it starts anew: bounds its memory.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 300_000
 #: Pieces that go to the library at a time.
 ENCODE_PIECES = 4096
 #: Longer pieces are encoded each time, so the cache holds short ones only.
@@ -41,6 +42,8 @@ class Codec:
 
     def __init__(self, vocabulary: str, pattern: str):
         import regex
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores; the library's threads would only contend
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
@@ -64,15 +67,19 @@ class Codec:
             part = new[k : k + ENCODE_PIECES]
             known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
 
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each whole text."""
+        split = [self.split(t) for t in texts]
+        self._learn([p for pieces in split for p in pieces])
+        get = self.known.__getitem__
+        out = [np.frombuffer(b"".join(map(get, pieces)), "<u4") for pieces in split]
+        # long pieces are seldom met again
+        for p in {p for t, pieces in zip(texts, split) if len(t) > CACHE_CHARS for p in pieces if len(p) > CACHE_CHARS}:
+            del self.known[p]
+        return out
+
     def encode(self, text: str) -> np.ndarray:
-        """Token ids of a whole text."""
-        pieces = self.split(text)
-        self._learn(pieces)
-        ids = np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4")
-        if len(text) > CACHE_CHARS:  # long pieces are seldom met again
-            for p in {p for p in pieces if len(p) > CACHE_CHARS}:
-                del self.known[p]
-        return ids
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> bytes:
         """The bytes that the ids stand for."""
@@ -109,7 +116,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, offsets:
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = [codec.encode(t) for t in texts]
+            ids = codec.encode_all(texts)
             cols = [batch.column("doc_id"), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))]
             names = ["doc_id", "ids"]
             if offsets:
@@ -145,7 +152,7 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         codec = codec_of(vocabulary, pattern)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [codec.encode(t or "") for t in batch.column("text").to_pylist()]
+            ids = codec.encode_all([t or "" for t in batch.column("text").to_pylist()])
             return pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
