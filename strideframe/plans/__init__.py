@@ -1,6 +1,6 @@
 """Named pipelines, and the registered queries."""
 
-from strideframe.plans import q_episodes, q_signals
+from strideframe.plans import q_episodes, q_signals, q_vectors
 from strideframe.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "q_episodes", "q_signals"]
+__all__ = ["QUERIES", "SQL", "q_episodes", "q_signals", "q_vectors"]

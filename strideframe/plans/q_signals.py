@@ -188,7 +188,7 @@ _CHUNKS = f"f2 AS (SELECT episode_id * 1000 + frame_index // 10 AS episode_id, f
 
 @query(
     "WITH {frames}, " + _CHUNKS + f", k AS (SELECT *, count(*) {_ALL} AS n FROM f2), b AS (SELECT k.*, p.kind, p.cut FROM k CROSS JOIN (SELECT 0 AS kind, 0 AS cut UNION ALL SELECT 1, 0 UNION ALL SELECT unnest([2, 3]) AS kind, a FROM range(1, 10) t(a)) p WHERE p.cut < k.n AND (k.n > 1 OR p.kind < 2)), "
-    "e AS (SELECT episode_id, kind, cut, round(sum(power(CASE WHEN kind = 1 OR kind = 2 AND frame_index >= cut OR kind = 3 AND frame_index < cut THEN 1 ELSE 0 END - v, 2)), 9) AS e FROM b GROUP BY 1, 2, 3) SELECT k.episode_id, round(min(e), 6) + 0 AS error FROM k JOIN e USING (episode_id) WHERE n > 1 GROUP BY 1"
+    "e AS (SELECT episode_id, kind, cut, round(sum(power(CASE WHEN kind = 1 OR kind = 2 AND frame_index >= cut OR kind = 3 AND frame_index < cut THEN 1 ELSE 0 END - v, 2)), 9) AS e FROM b GROUP BY 1, 2, 3) SELECT k.episode_id, round(min(e), 8) + 0 AS error FROM k JOIN e USING (episode_id) WHERE n > 1 GROUP BY 1"
 )
 def gripper_binarise(spark, sf_dir):
     """Chunks of ten as 0s and 1s with one change at most: the error, against all patterns."""
@@ -196,7 +196,7 @@ def gripper_binarise(spark, sf_dir):
     chunks = frames(spark, sf_dir).select((F.col("episode_id") * 1000 + F.floor(F.col("frame_index") / 10)).alias("episode_id"), (F.col("frame_index") % 10).alias("frame_index"), v.alias("v"))
     out = handwave.binarise(chunks, "v")
     err = out.groupBy("episode_id").agg(F.sum((F.col("binary") - F.col("v")) ** 2).alias("error"), F.count("*").alias("n"))
-    return err.where("n > 1").select("episode_id", r6("error").alias("error"))
+    return err.where("n > 1").select("episode_id", (F.round("error", 8) + F.lit(0.0)).alias("error"))
 
 
 _LEVELS = f"{{frames}}, l AS (SELECT episode_id, frame_index, CASE WHEN value > 60 THEN 1 ELSE 0 END AS level FROM f), ed AS (SELECT *, lag(level) {_W} AS p FROM l), e AS (SELECT episode_id, frame_index, level, row_number() {_W} - 1 AS edge FROM ed WHERE p <> level)"
