@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strideframe.functions.geometry import held as clamp
+
 
 def discretise(vx: Column, vy: Column, yaw: Column) -> tuple[Column, Column, Column]:
     """Teleoperation levels; bounds are strict, and forward and backward differ."""
@@ -68,7 +70,7 @@ def enhance(signal: Column, high: Column, low: Column, high_power: float, low_po
 
 
 def mean_threshold(mean: Column, offset: float = 0.25) -> Column:
-    return F.least(F.greatest(mean + offset, F.lit(0.0)), F.lit(1.0))
+    return clamp(mean + offset, 0.0, 1.0)
 
 
 #: Square waves by name, as the levels between their transitions.
@@ -104,7 +106,7 @@ def gripper_to_angular(value: Column) -> Column:
     opening = rescale_back(value, 0.01844, 0.05800)
     arm, horn = 0.036, 0.022
     ratio = (horn**2 + opening * opening - arm**2) / (2 * horn * opening)
-    return rescale(F.asin(F.least(F.greatest(ratio, F.lit(-1.0)), F.lit(1.0))), 0.5476, 1.6296)
+    return rescale(F.asin(clamp(ratio, -1.0, 1.0)), 0.5476, 1.6296)
 
 
 def gripper_from_angular(value: Column) -> Column:
@@ -122,8 +124,8 @@ def flip_joints(state: Column, signs: list[int]) -> Column:
 
 def blend_hand(t: Column, opened: list[float], closed: list[float]) -> Column:
     """Joint targets between an open and a closed hand; t is held in [0, 1]."""
-    held = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-    return F.array(*[F.lit(o) + held * (c - o) for o, c in zip(opened, closed)])
+    part = clamp(t, 0.0, 1.0)
+    return F.array(*[F.lit(o) + part * (c - o) for o, c in zip(opened, closed)])
 
 
 def trigger_status(index: Column, middle: Column) -> Column:
@@ -147,6 +149,3 @@ def rsqrt_schedule(step: Column, warmup: int, peak: float, timescale: float) ->
     first = peak / (warmup + 1)
     return F.when(step < warmup, first + (peak - first) * step / warmup).otherwise(peak / F.sqrt((timescale + step - warmup) / timescale))
 
-
-def clamp(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))

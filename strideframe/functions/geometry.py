@@ -31,6 +31,11 @@ def wrap_to_pi(a: Column) -> Column:
     return F.pmod(a + math.pi, F.lit(2 * math.pi)) - math.pi
 
 
+def held(x: Column, low: float, high: float) -> Column:
+    """A value within bounds; null stays null, which least and greatest would not keep."""
+    return F.when(x < low, low).when(x > high, high).otherwise(x)
+
+
 def norm(v: tuple[Column, ...]) -> Column:
     return F.sqrt(sum((c * c for c in v[1:]), v[0] * v[0]))
 
@@ -78,7 +83,7 @@ def compose_pose(a: tuple[Vec, Quat], b: tuple[Vec, Quat]) -> tuple[Vec, Quat]:
 def rpy(q: Quat) -> Vec:
     """Roll, pitch and yaw about the fixed axes, of a unit quaternion."""
     x, y, z, w = q
-    sin_pitch = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * (w * y - x * z)))
+    sin_pitch = held(2 * (w * y - x * z), -1.0, 1.0)
     return (
         F.atan2(2 * (y * z + w * x), 1 - 2 * (x * x + y * y)),
         F.asin(sin_pitch),

@@ -13,7 +13,7 @@ def clean_prompt(text: Column) -> Column:
 
 def digitise(x: Column) -> Column:
     """Bin of a value in [-1, 1) over 256 bins; -1 below, 255 from 1 on. Scaling by 128 is exact."""
-    return F.when(x < -1, -1).otherwise(F.least(F.floor(x * 128) + 128, F.lit(255))).cast("int")
+    return F.when(x < -1, -1).when(x >= 1, 255).otherwise(F.floor(x * 128) + 128).cast("int")
 
 
 def state_prompt(prompt: Column, state: Column) -> Column:

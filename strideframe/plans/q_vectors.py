@@ -252,7 +252,7 @@ _REL = "d AS (SELECT *, " + ", ".join(f"or0{i}*r0{j} + or1{i}*r1{j} + or2{i}*r2{
 @query(
     f"WITH {_P}, {_M}, {_LAG}, {_REL} SELECT episode_id, frame_index, "
     + ", ".join(f"{s6(f'coalesce(or0{i}*(px-opx) + or1{i}*(py-opy) + or2{i}*(pz-opz), 0)')} AS {n}" for i, n in enumerate(("dx", "dy", "dz")))
-    + f", {s6('coalesce(atan2(d21, d22), 0)')} AS roll, {s6('coalesce(asin(greatest(least(-d20, 1), -1)), 0)')} AS pitch, {s6('coalesce(atan2(d10, d00), 0)')} AS yaw FROM d"
+    + f", {s6('coalesce(atan2(d21, d22), 0)')} AS roll, {s6('coalesce(asin(CASE WHEN -d20 > 1 THEN 1 WHEN -d20 < -1 THEN -1 ELSE -d20 END), 0)')} AS pitch, {s6('coalesce(atan2(d10, d00), 0)')} AS yaw FROM d"
 )
 def pose_delta(spark, sf_dir):
     """Differences of poses, against rotation matrices."""
