@@ -129,6 +129,18 @@ def _by_shard(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return order, found, np.append(begin, len(h))
 
 
+def earliest(key: np.ndarray, doc: np.ndarray, at: np.ndarray, n: int, places: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """The least (doc, at) of each key below ``n``; without ``places`` the least doc alone."""
+    least = np.full(n, _LAST)
+    np.minimum.at(least, key, doc)
+    if not places:
+        return least, None
+    own = doc == least[key]
+    first = np.full(n, _LAST)
+    np.minimum.at(first, key[own], at[own])
+    return least, first
+
+
 def _bits(x: np.ndarray) -> bytes:
     return np.packbits(x).tobytes()
 
@@ -246,15 +258,12 @@ def mark_repeats(docs: DataFrame, spec: Spec, finish: Callable[[list, list[np.nd
         n_windows = lengths - spec.k + 1
         start = np.cumsum(n_windows) - n_windows
         # the earliest place of each segment, then of each group of equal windows
-        order = np.lexsort((begin, doc, owner))
-        lead = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]  # in the order of segments
+        lead_doc, lead_at = earliest(owner, doc, begin, len(lengths))
         inside = np.arange(len(group)) - np.repeat(start, n_windows)
-        win_doc, win_at = np.repeat(doc[lead], n_windows), np.repeat(begin[lead], n_windows) + inside
-        by = np.lexsort((win_at, win_doc, group))
-        heads = np.concatenate([[True], group[by][1:] != group[by][:-1]])
-        head = by[heads][np.cumsum(heads) - 1]
-        first_doc, first_at = np.empty(len(group), np.int64), np.empty(len(group), np.int64)
-        first_doc[by], first_at[by] = win_doc[head], win_at[head]
+        n_groups = int(group.max()) + 1 if len(group) else 0
+        group_doc, group_at = earliest(group, np.repeat(lead_doc, n_windows), np.repeat(lead_at, n_windows) + inside, n_groups, spec.within)
+        first_doc = group_doc[group]
+        first_at = group_at[group] if spec.within else None
         out = {"bucket": [], "row": [], "begin": [], "count": []}
         # occurrences are many where a passage is common, so they are expanded in steps
         found: list[list[np.ndarray]] = [[], [], [], []]

@@ -58,6 +58,7 @@ class SymbolQueues:
     def push_all(self, symbols: np.ndarray, rows: np.ndarray) -> None:
         """Rows under their symbols, in the order in which they stand."""
         if len(rows):
+            symbols = symbols.astype(np.uint8)  # which numpy sorts by counting
             order = np.argsort(symbols, kind="stable")
             sorted_ = symbols[order]
             cuts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])).tolist() + [len(rows)]
@@ -77,136 +78,155 @@ class SymbolQueues:
         return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
-def refine(rank: np.ndarray, rows: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Order ``rows`` within their ranks by key; a rank is the place of the first row that has it. Returns the rows that are still tied."""
-    order = np.lexsort((key, rank[rows]))
+def refine(rank: np.ndarray, rows: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
+    """Order ``rows`` within their ranks by a key of ``bits``; a rank is the place of the first row that has it. Returns the rows that are still tied."""
+    key = (rank[rows] << bits) | key
+    order = np.argsort(key)
     rows, key = rows[order], key[order]
-    old = rank[rows]
+    old = key >> bits
     new_rank = np.concatenate([[True], old[1:] != old[:-1]])
-    head = new_rank.copy()
-    head[1:] |= key[1:] != key[:-1]
+    head = np.concatenate([[True], key[1:] != key[:-1]])
     place = np.arange(len(rows))
     first_of_rank = np.maximum.accumulate(np.where(new_rank, place, 0))
     first_of_key = np.maximum.accumulate(np.where(head, place, 0))
     rank[rows] = old + first_of_key - first_of_rank
-    alone = head & np.concatenate([head[1:], [True]])
-    return rows[~alone]
+    return rows[~(head & np.concatenate([head[1:], [True]]))]
 
 
-def sort_starts(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The order of the suffixes at ``starts``, the begins of S-type runs, the last being the end of the text."""
+def sort_starts(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The order of the suffixes at ``starts``, the begins of S-type runs, the last being the end of the text.
+
+    symbols: 0 for separators, bytes from 1 on. Of separators the one further back is less.
+    """
     n = len(starts)
-    ends = np.append(starts[1:] + 1, len(text))  # of the pieces between neighbouring starts, both included
-    sigma = int(text.max()) + 1
-    bits = max(1, sigma.bit_length())
-    per = 63 // bits
-    rank, tied, at = np.zeros(n, np.int64), np.arange(n), 0
-    while len(tied) and at < int((ends - starts).max()):
+    ends = np.append(starts[1:] + 1, len(symbols))  # of the pieces between neighbouring starts, both included
+    separator = symbols[starts] == 0
+    rank = np.zeros(n, np.int64)
+    n_sep = int(separator.sum())
+    rank[separator] = np.arange(n_sep - 1, -1, -1)
+    rank[~separator] = n_sep
+    tied, at = np.flatnonzero(~separator), 0
+    longest = int((ends - starts)[tied].max()) if len(tied) else 0
+    place_bits = max(1, n.bit_length())
+    while len(tied) and at < longest:
+        per = 7 if at == 0 else (63 - place_bits) // 9
         key = np.zeros(len(tied), np.int64)
+        begin, end = starts[tied] + at, ends[tied]
         for k in range(per):
-            place = starts[tied] + at + k
+            place = begin + k
             # past its end a piece is larger than one that goes on: what goes on is L-type there
-            key = (key << bits) | np.where(place < ends[tied], text[np.minimum(place, len(text) - 1)], sigma)
-        tied = refine(rank, tied, key)
+            key = (key << 9) | np.where(place < end, symbols[np.minimum(place, len(symbols) - 1)], 257)
+        if at == 0:  # all have one rank yet
+            order = np.argsort(key)
+            tied, key = tied[order], key[order]
+            head = np.concatenate([[True], key[1:] != key[:-1]])
+            rank[tied] = n_sep + np.maximum.accumulate(np.where(head, np.arange(len(tied)), 0))
+            tied = tied[~(head & np.concatenate([head[1:], [True]]))]
+        else:
+            tied = refine(rank, tied, key, 9 * per)
         at += per
     ahead = 1
     while len(tied):  # equal pieces: by what follows them, twice as far each round
-        tied = refine(rank, tied, rank[np.minimum(tied + ahead, n - 1)].copy())
+        tied = refine(rank, tied, rank[np.minimum(tied + ahead, n - 1)], place_bits)
         ahead *= 2
-    return np.argsort(rank, kind="stable")
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
+    return order
 
 
 def suffix_array(data: np.ndarray, lengths: np.ndarray, queue_bytes: int = QUEUE_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """(text, suffix array) of byte strings that stand one behind the other, each followed by its own separator.
+    """(symbols, suffix array) of byte strings that stand one behind the other, each followed by its own separator.
 
-    Symbols below ``len(lengths)`` are separators, smaller ones further back; bytes lie above.
+    Symbols are 0 for a separator, and bytes plus one; of two separators the one further back is less.
     """
-    n_seg = len(lengths)
     ends = np.cumsum(lengths + 1) - 1
-    text = np.empty(int(lengths.sum()) + n_seg, np.int32)
-    is_sep = np.zeros(len(text), bool)
+    n = int(lengths.sum()) + len(lengths)
+    is_sep = np.zeros(n, bool)
     is_sep[ends] = True
-    text[~is_sep] = data.astype(np.int32) + n_seg
-    text[ends] = np.arange(n_seg - 1, -1, -1)
-    # S-type: smaller than the suffix behind it
-    change = np.append(np.flatnonzero(text[:-1] != text[1:]), len(text) - 1)
-    s_type = np.append(text[:-1] < text[1:], True)[change[np.searchsorted(change, np.arange(len(text)))]]
-    starts = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
-    if not len(starts) or starts[-1] != len(text) - 1:
-        starts = np.append(starts, len(text) - 1)
-    starts = np.union1d(starts, ends)
-    sorted_starts = starts[sort_starts(text, starts)]
-    symbol = text[sorted_starts] - n_seg
-    separators = sorted_starts[symbol < 0]
+    symbols = np.zeros(n, np.int16)
+    symbols[~is_sep] = data
+    symbols[~is_sep] += 1
+    # S-type: smaller than the suffix behind it; what ends a run of equal symbols decides for all of it
+    change = np.append(np.flatnonzero(symbols[:-1] != symbols[1:]), n - 1)
+    s_type = np.repeat(np.append(symbols[:-1] < symbols[1:], True)[change], np.diff(change, prepend=-1))
+    first = s_type.copy()
+    first[1:] &= ~s_type[:-1]
+    first[0] = False
+    starts = np.flatnonzero(first | is_sep)
+    sorted_starts = starts[sort_starts(symbols, starts)]
+    separators, others = sorted_starts[: len(lengths)], sorted_starts[len(lengths) :]
     seeds = SymbolQueues(256, queue_bytes)
-    seeds.push_all(symbol[symbol >= 0], sorted_starts[symbol >= 0])
-
-    def before(rows: np.ndarray, want_s: bool) -> tuple[np.ndarray, np.ndarray]:
-        """The suffixes one place to the left that are of the type, and their symbols."""
-        left = rows[rows > 0] - 1
-        left = left[(s_type[left] == want_s) & ~is_sep[left]]
-        return left, text[left] - n_seg
+    seeds.push_all(symbols[others] - 1, others)
+    # the byte before each suffix if the suffix there is L-type, or S-type; 256 for none
+    left_l, left_s = np.full(n, 256, np.uint16), np.full(n, 256, np.uint16)
+    left_l[1:] = np.where(s_type[:-1] | is_sep[:-1], 256, symbols[:-1] - 1)
+    left_s[1:] = np.where(s_type[:-1] & ~is_sep[:-1], symbols[:-1] - 1, 256)
+
+    def before(rows: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes one place to the left that have a code, and their bytes."""
+        sym = code[rows]
+        use = sym < 256
+        return rows[use] - 1, sym[use]
 
     waiting, done_l = SymbolQueues(256, queue_bytes), SymbolQueues(256, queue_bytes)
-    left, sym = before(separators, False)
+    left, sym = before(separators, left_l)
     waiting.push_all(sym, left)
     for c in range(256):
         now = waiting.take(c)
         while len(now):
             done_l.push(c, now)
-            left, sym = before(now, False)
+            left, sym = before(now, left_l)
             waiting.push_all(sym[sym != c], left[sym != c])
             now = left[sym == c]
-        left, sym = before(seeds.take(c), False)
+        left, sym = before(seeds.take(c), left_l)
         waiting.push_all(sym, left)
     parts: list[np.ndarray] = []
     for c in range(255, -1, -1):
         now, own = waiting.take(c), []
         while len(now):
             own.append(now)
-            left, sym = before(now, True)
+            left, sym = before(now, left_s)
             waiting.push_all(sym[sym != c], left[sym != c])
             now = left[sym == c]
         low = done_l.take(c)
-        left, sym = before(low[::-1], True)
+        left, sym = before(low[::-1], left_s)
         waiting.push_all(sym, left)
         parts += [np.concatenate(own)[::-1]] if own else []
         parts.append(low)
-    return text, np.concatenate([separators, *parts[::-1]])
+    return symbols, np.concatenate([separators, *parts[::-1]])
 
 
 def common_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
-    """Whether the ``k`` bytes at places a and b are equal."""
-    if len(data) < k:
-        return np.zeros(len(a), bool)
+    """Whether the ``k`` bytes at places a and b are equal; the common prefix of neighbours, as far as it matters."""
+    word, width = data.astype(np.uint64), 1
+    while width < 8 and width * 2 <= k:
+        word = word[:-width] | (word[width:] << np.uint64(8 * width))
+        width *= 2
     same = np.ones(len(a), bool)
-    if k >= 8:
-        word = np.lib.stride_tricks.sliding_window_view(np.ascontiguousarray(data), 8)
-        packed = np.ascontiguousarray(word).view("<u8")[:, 0]
-        for at in [*range(0, k - 7, 8), k - 8]:
-            use = np.flatnonzero(same)
-            same[use] = packed[a[use] + at] == packed[b[use] + at]
-    else:
-        for at in range(k):
-            same &= data[a + at] == data[b + at]
+    use = np.arange(len(a))
+    for at in [*range(0, k - width + 1, width), k - width]:
+        equal = word[a[use] + at] == word[b[use] + at]
+        same[use[~equal]] = False
+        use = use[equal]
     return same
 
 
 def equal_windows(data: np.ndarray, lengths: np.ndarray, k: int = WINDOW) -> np.ndarray:
     """A group number for each window of each segment: neighbours in the suffix array whose common prefix has ``k`` bytes."""
-    _, sa = suffix_array(data, lengths)
-    segment_of = np.repeat(np.arange(len(lengths)), lengths + 1)
-    ends = np.cumsum(lengths + 1) - 1
-    own = segment_of[sa]
-    fits = ends[own] - sa >= k
-    sa, own = sa[fits], own[fits]
-    at = sa - own  # places without separators
-    same = common_prefix(data, at[:-1], at[1:], k)
-    group = np.cumsum(np.concatenate([[True], ~same])) - 1 if len(at) else np.empty(0, np.int64)
+    symbols, sa = suffix_array(data, lengths)
     n_windows = lengths - k + 1
-    start, first = np.cumsum(n_windows) - n_windows, np.cumsum(lengths) - lengths
-    out = np.empty(int(n_windows.sum()), np.int64)
-    out[start[own] + at - first[own]] = group
+    total = int(n_windows.sum())
+    begin = np.cumsum(lengths + 1) - lengths - 1
+    window = np.arange(total)
+    place = window + np.repeat(begin - (np.cumsum(n_windows) - n_windows), n_windows)
+    window_at = np.full(len(symbols), -1, np.int64)
+    window_at[place] = window
+    sorted_ = window_at[sa]
+    sorted_ = sorted_[sorted_ >= 0]
+    at = place[sorted_]
+    same = common_prefix(np.maximum(symbols - 1, 0).astype(np.uint8), at[:-1], at[1:], k)
+    out = np.empty(total, np.int64)
+    out[sorted_] = np.cumsum(np.concatenate([[True], ~same])) - 1 if total else 0
     return out
 
 
