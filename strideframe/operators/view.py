@@ -25,7 +25,8 @@ def splat(points: DataFrame, image: str, u: str, v: str, depth: str, values: lis
 def reliable(pixels: DataFrame, image: str, depth: str, size: int = 5, limit: float = 0.05) -> DataFrame:
     """Whether the spread of depth around a pixel is small against its mean; beyond the image the mean takes zeros.
 
-    The square neighbourhood is separable: rows first, then columns, each a window of bounded range.
+    Every pixel of the image has a row. The square neighbourhood is then separable: rows first, then
+    columns, each a window of bounded range.
     """
     r = size // 2
     row = Window.partitionBy(image, "y").orderBy("x").rangeBetween(-r, r)

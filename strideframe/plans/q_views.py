@@ -11,12 +11,12 @@ from strideframe.sources import datasets
 from strideframe.streaming import blend
 
 #: A grid of pixels from line items: images by order, with a depth and a colour.
-_GRID = "g AS (SELECT l_orderkey % 40 AS img, l_partkey % 12 AS x, l_suppkey % 10 AS y, avg(l_quantity) / 10 AS depth, avg(l_discount) AS c FROM lineitem GROUP BY 1, 2, 3)"
+_GRID = "g AS (SELECT l_orderkey % 4 AS img, l_partkey % 12 AS x, l_suppkey % 10 AS y, avg(l_quantity) / 10 AS depth, avg(l_discount) AS c FROM lineitem GROUP BY 1, 2, 3)"
 
 
 def grid(spark, sf_dir):
     li = load(spark, sf_dir, "lineitem")
-    keys = [(F.col("l_orderkey") % 40).alias("img"), (F.col("l_partkey") % 12).alias("x"), (F.col("l_suppkey") % 10).alias("y")]
+    keys = [(F.col("l_orderkey") % 4).alias("img"), (F.col("l_partkey") % 12).alias("x"), (F.col("l_suppkey") % 10).alias("y")]
     return li.groupBy(*keys).agg((F.avg("l_quantity") / 10).alias("depth"), F.avg("l_discount").alias("c"))
 
 
