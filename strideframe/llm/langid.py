@@ -209,7 +209,7 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     return map_texts(rows_in, rows, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, network: Network | None, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, network: Network | None, least: float = 0.3) -> DataFrame:
     """The documents whose language is known with a score of ``least``; their columns are unchanged."""
     build = predictor(network)
 
