@@ -4,8 +4,8 @@ Each rule rejects a document whose signal is above a cutoff. Cutoffs come from a
 stratum (language subtag), rule and cutoff, the labelled good rows that it would reject are counted
 and the exact binomial tail decides whether the false-rejection rate is below its share of ALPHA; the
 confidence is divided by the number of all tests (Bonferroni), so that all chosen cutoffs hold
-together with probability 1 - DELTA. Among the cutoffs that hold, the one that best separates labelled
-bad rows from good rows is taken; a rule without such a cutoff rejects nothing in that stratum.
+together with probability 1 - DELTA. Among the cutoffs that hold, the loosest is taken that separates
+labelled bad rows from good rows nearly as well as the best; a rule without one rejects nothing there.
 
 Defined results: null and empty texts have no words and fail the base rule; a stratum with few labels
 gets no cutoffs; repeated rows count as often as they occur, labels once for each (doc_id, quality);
@@ -22,8 +22,9 @@ from strideframe.llm._common import table
 from strideframe.llm.storage import materialise
 
 ALPHA, DELTA = 0.05, 0.05
-#: A falsely rejected good share weighs so many times a rightly rejected bad share.
-CAUTION = 20.0
+#: A falsely rejected good share weighs so many times a rightly rejected bad share; a rule must be worth this much,
+#: and the loosest cutoff is taken that is worth nearly as much as the best.
+CAUTION, LEAST_GAIN, NEARLY = 50.0, 0.05, 0.9
 BLANK = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 #: Signals and their cutoffs, from strict to loose.
@@ -122,9 +123,9 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     held = each.where(log_binomial_cdf("good", "n", "p") <= F.log(F.lit(delta / tests)))
     gain = F.col("bad") / F.greatest(F.col("n_bad"), F.lit(1)) - CAUTION * F.col("good") / F.col("n")
     grid = F.create_map(*[x for r, g in RULES.items() for x in (F.lit(r), F.array(*map(F.lit, g)))])
-    best = held.select("stratum", "rule", F.element_at(F.element_at(grid, F.col("rule")), F.col("step")).alias("cutoff"), gain.alias("gain")).where("gain > 0")
-    rank = Window.partitionBy("stratum", "rule").orderBy(F.desc("gain"), F.desc("cutoff"))  # at most as many rows as a grid has
-    best = best.withColumn("k", F.row_number().over(rank)).where("k = 1")
+    best = held.select("stratum", "rule", F.element_at(F.element_at(grid, F.col("rule")), F.col("step")).alias("cutoff"), gain.alias("gain")).where(F.col("gain") >= LEAST_GAIN)
+    top = best.withColumn("top", F.max("gain").over(Window.partitionBy("stratum", "rule")))  # at most as many rows as a grid has
+    best = top.where(F.col("gain") >= NEARLY * F.col("top")).groupBy("stratum", "rule").agg(F.max("cutoff").alias("cutoff"))
     return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
 
 
