@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from strideframe.llm._common import text_bytes
 from strideframe.llm.words import mix, raw
 
-#: Text in a bucket, and of what an anchor shard holds the anchors.
-BUCKET_BYTES, ANCHOR_BYTES = 8 << 20, 64 << 20
+#: Text in a bucket, and text whose windows, or anchors, one shard holds on average.
+BUCKET_BYTES, SHARD_BYTES, ANCHOR_BYTES = 8 << 20, 4 << 20, 64 << 20
 #: Units that one step handles at a time.
-STEP = 1 << 21
+STEP = 1 << 20
 _PLACE_BITS = np.uint64(28)
 _LAST = np.iinfo(np.int64).max
 
@@ -151,7 +151,7 @@ def mark_repeats(docs: DataFrame, spec: Spec, finish: Callable[[list, list[np.nd
     finish: (rows as (order, bytes, doc_id), for each row the begins of repeated windows) -> a table
     """
     total = text_bytes(docs)
-    n_buckets, n_anchor = max(1, -(-total // BUCKET_BYTES)), max(1, -(-total // ANCHOR_BYTES))
+    n_buckets, n_shards, n_anchor = (max(1, -(-total // size)) for size in (BUCKET_BYTES, SHARD_BYTES, ANCHOR_BYTES))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_buckets)))
 
@@ -206,7 +206,7 @@ def mark_repeats(docs: DataFrame, spec: Spec, finish: Callable[[list, list[np.nd
                 at = np.minimum(np.searchsorted(shared, anchor), max(len(shared) - 1, 0))
                 use = np.flatnonzero(shared[at] == anchor) if len(shared) else np.empty(0, np.int64)
                 begin, end, anchor = begin[use], end[use], anchor[use]
-                blob, places = units.tobytes(), _shard(anchor, n_buckets).tolist()
+                blob, places = units.tobytes(), _shard(anchor, n_shards).tolist()
                 owner = np.empty(len(use), np.int64)
                 for i, (a, b, s) in enumerate(zip((begin * size).tolist(), (end * size).tolist(), places)):
                     n = len(distinct)

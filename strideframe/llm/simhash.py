@@ -32,7 +32,7 @@ SEED = 42
 #: Fingerprints that the driver may hold to build a tree.
 SAMPLE = 1 << 18
 #: Fingerprints that a shard should hold, and that a block compares with each other.
-LEAF, BLOCK = 4096, 1024
+LEAF, BLOCK = 4096, 512
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
