@@ -180,3 +180,31 @@ def fit_box(w: Column, h: Column, to_w: int, to_h: int) -> dict[str, Column]:
 def dolly_offset(step: Column, steps: int, distance: float, center_depth: Column) -> Column:
     """How far the camera has moved at a step of a straight trajectory; the last step falls short of the whole distance."""
     return step * distance * center_depth / steps
+
+
+def cross(a: Vec, b: Vec) -> Vec:
+    return (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+
+
+def look_at(camera: Vec, target: Vec) -> list[list[Column]]:
+    """Rows right, up and forward of a camera that faces a target, y being up; the last column is where the world's origin was moved from."""
+    forward = unit(tuple(t - c for t, c in zip(target, camera)))
+    right = unit(cross(literal((0.0, 1.0, 0.0)), forward))
+    up = cross(forward, right)
+    return [[*row, -c] for row, c in zip((right, up, forward), camera)]
+
+
+def transformed(m: list[list[Column]], p: Vec) -> Vec:
+    """A point through a 3x4 matrix."""
+    return tuple(r[0] * p[0] + r[1] * p[1] + r[2] * p[2] + r[3] for r in m)
+
+
+def pixel_ray(u: Column, v: Column, fx: float, fy: float, cx: float, cy: float) -> Vec:
+    """The unit direction in which a pixel looks."""
+    return unit(((u - cx) / fx, (v - cy) / fy, F.lit(1.0)))
+
+
+def dolly_target(offset: Vec, depth: Column, turn: str) -> Vec:
+    """What the camera faces on a straight trajectory: the centre, the centre moved along, or moved twice as far."""
+    times = {"center_facing": 0, "no_rotation": 1, "trajectory_aligned": 2}[turn]
+    return (offset[0] * times, offset[1] * times, depth + offset[2] * times)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,3 +89,21 @@ def folder_key(name: Column) -> tuple[Column, Column]:
         return F.coalesce(F.nullif(F.regexp_extract(name, r"^(\d+)_(\d+)$", i), F.lit("")).cast("long"), F.lit(999999))
 
     return part(1), part(2)
+
+
+def tokenise(text: Column, encode: Callable[[list[str]], list[list[int]]]) -> Column:
+    """Token arrays through a tokenizer that the caller brings, an Arrow batch at a time."""
+    import pandas as pd
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(encode(texts.fillna("").tolist()))
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<int>")(text)
+
+
+def causal_inputs(prefix: Column, postfix: Column, length: int) -> dict[str, Column]:
+    """Tokens, their mask, the autoregressive mask and the loss mask, all cut or padded to a length."""
+    both = F.concat(prefix, postfix)
+    causal = postfix_mask(prefix, postfix, length)
+    return {"tokens": pad_tokens(both, length), "token_mask": token_mask(both, length), "ar_mask": causal, "loss_mask": F.transform(causal, lambda v: v == 1)}

@@ -54,3 +54,9 @@ def lookup(df: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
 def three_way(raw: DataFrame, middle: DataFrame, key: str) -> DataFrame:
     """Rows of the middle table, each with whether the raw table has its key."""
     return middle.join(raw.select(key).distinct().withColumn("raw__", F.lit(True)), key, "left").withColumn("has_raw", F.coalesce("raw__", F.lit(False))).drop("raw__")
+
+
+def require_partners(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The left rows; one without a partner is an error that stops the run."""
+    found = left.join(right.select(key).distinct().withColumn("found__", F.lit(True)), key, "left")
+    return found.where(F.coalesce("found__", F.raise_error(F.concat(F.lit("no partner for "), F.col(key).cast("string"))).cast("boolean"))).drop("found__")

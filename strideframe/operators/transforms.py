@@ -190,3 +190,8 @@ def merge_names(loaded: list[str], reference: list[str], missing: str) -> dict[s
     """Names of a merged tree: those loaded that the reference has (True), and missing ones that the pattern allows (False)."""
     have = [n for n in loaded if n in set(reference)]
     return {n: True for n in have} | {n: False for n in reference if n not in set(have) and re.fullmatch(missing, n)}
+
+
+def action_keys(keys: list[str], masked: list[bool], hidden: str = "hand_status") -> list[list[str]]:
+    """The action columns of each dataset: a masked one goes without its hands."""
+    return [[k for k in keys if not (m and k == hidden)] for m in masked]

@@ -73,3 +73,26 @@ def replace_frames(source: DataFrame, processed: DataFrame, keys: list[str], col
 def overlay(index: Column, n: Column) -> Column:
     """The text over a video frame."""
     return F.concat_ws("/", (index + 1).cast("string"), n.cast("string"))
+
+
+def warped(pixels: DataFrame, image: str, depth: str, values: list[str], width: int, height: int, move, camera: tuple[float, float, float, float]) -> DataFrame:
+    """Pixels (x, y, depth, values) seen from a moved camera: unproject, move, project, splat. ``move`` maps a point to a point."""
+    from strideframe.functions import geometry as G
+
+    p = move(G.unproject(F.col("x"), F.col("y"), G.clean_depth(F.col(depth)), *camera))
+    u, v, d = G.project(p, *camera)
+    seen = pixels.withColumn("u__", u).withColumn("v__", v).withColumn("d__", d).where("d__ > 0 AND u__ IS NOT NULL").drop("x", "y")
+    return splat(seen, image, "u__", "v__", "d__", values, width, height)
+
+
+def round_trip(pixels: DataFrame, image: str, depth: str, values: list[str], width: int, height: int, move, camera: tuple[float, float, float, float]) -> DataFrame:
+    """A view there and back: values are splatted with their flow, and then splatted back against it, at the depth of the pixel where they land."""
+    from strideframe.functions import geometry as G
+
+    p = move(G.unproject(F.col("x"), F.col("y"), G.clean_depth(F.col(depth)), *camera))
+    u, v, d = G.project(p, *camera)
+    flow = pixels.withColumn("u__", u).withColumn("v__", v).withColumn("d__", d).where("d__ > 0 AND u__ IS NOT NULL").withColumn("du__", F.col("u__") - F.col("x")).withColumn("dv__", F.col("v__") - F.col("y")).drop("x", "y")
+    there = splat(flow, image, "u__", "v__", "d__", [*values, "du__", "dv__"], width, height).drop("weight")
+    back = there.join(pixels.select(image, "x", "y", F.col(depth).alias("z__")), [image, "x", "y"])
+    back = back.withColumn("u__", F.col("x") - F.col("du__")).withColumn("v__", F.col("y") - F.col("dv__")).drop("x", "y")
+    return splat(back, image, "u__", "v__", "z__", values, width, height)

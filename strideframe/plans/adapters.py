@@ -124,3 +124,11 @@ def resized(height: int, width: int):
         return df.withColumn("image", F.struct(*[images.each_image(F.col(f"image.{n}"), lambda x: images.resize_with_pad(x, height, width)).alias(n) for n in names]))
 
     return run
+
+
+def observation(df: DataFrame) -> DataFrame:
+    """Images as [-1, 1], and prompt tokens only together with their mask."""
+    if ("tokenized_prompt" in df.columns) != ("tokenized_prompt_mask" in df.columns):
+        raise ValueError("prompt tokens and their mask come together")
+    names = df.schema["image"].dataType.names
+    return df.withColumn("image", F.struct(*[images.each_image(F.col(f"image.{n}"), images.unit_range).alias(n) for n in names]))

@@ -110,3 +110,15 @@ def stats_from_json(spark: SparkSession, text: str) -> DataFrame:
 def steps(trajectories: DataFrame, array: str = "steps") -> DataFrame:
     """One row for each step of a trajectory, with its number."""
     return trajectories.select("*", F.posexplode(array).alias(ORDER, "step")).drop(array)
+
+
+def file_columns(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """(path, names) of each parquet file, from footers alone; the driver opens one file after the other."""
+    found = files(spark, path, pattern).select("path").collect()
+    rows = [(r["path"], spark.read.parquet(r["path"]).columns) for r in found]
+    return spark.createDataFrame(rows, "path string, names array<string>")
+
+
+def latest_step(names: list[str]) -> int | None:
+    """The largest of the names that are numbers."""
+    return max((int(n) for n in names if n.isdigit()), default=None)

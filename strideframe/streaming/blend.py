@@ -137,3 +137,23 @@ def windowed(events: DataFrame, ts: str, late: str, width: str, *aggregates) ->
 def sessions(events: DataFrame, key: str, ts: str, late: str, gap: str, *aggregates) -> DataFrame:
     """Recording episodes: a key's rows with no gap longer than ``gap``."""
     return events.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap)).agg(*aggregates)
+
+
+def recorder(path: str, names: list[str]):
+    """For foreachBatch: each micro-batch's leaves, flattened, appended under its number."""
+    from strideframe.operators.transforms import flat_names, leaf
+
+    def write(batch: DataFrame, step: int) -> None:
+        leaves = [n for n in flat_names(batch.schema) if n.split("/")[0] in names]
+        batch.select(F.lit(step).alias("step"), *[leaf(n).alias(n) for n in leaves]).write.mode("append").parquet(path)
+
+    return write
+
+
+def serve(steps: DataFrame, max_steps: int, done: str | None = None) -> DataFrame:
+    """The steps of an episode that a runtime would take: up to the first one that reports completion, or a number of steps."""
+    from strideframe.operators.frames import in_order
+
+    before = in_order().rowsBetween(Window.unboundedPreceding, -1)
+    open_ = ~F.coalesce(F.max(done).over(before), F.lit(False)) if done else F.lit(True)
+    return steps.withColumn("open__", open_).where(F.col("open__") & (F.col(ORDER) < max_steps)).drop("open__")

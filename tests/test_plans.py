@@ -142,3 +142,62 @@ def test_filters_and_columns_reach_the_scan(spark):
     df = spark.read.parquet(f"{SF}/lineitem.parquet").where("l_quantity > 49").groupBy("l_returnflag").agg(F.sum("l_tax"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_quantity,49.0)" in plan and "l_extendedprice" not in plan.split("ReadSchema")[1]
+
+
+def test_cameras(spark):
+    from strideframe.functions import geometry as G
+    from strideframe.operators import view
+
+    at, to = G.literal((0.0, 0.0, 0.0)), G.literal((0.0, 0.0, 2.0))
+    m = G.look_at(at, to)
+    r = spark.range(1).select(*[c.alias(f"m{i}{j}") for i, row in enumerate(m) for j, c in enumerate(row)], *[c.alias(f"d{i}") for i, c in enumerate(G.dolly_target(G.literal((1.0, 0.0, 0.0)), F.lit(2.0), "trajectory_aligned"))], *[c.alias(f"r{i}") for i, c in enumerate(G.pixel_ray(F.lit(4.0), F.lit(3.0), 2.0, 2.0, 4.0, 3.0))]).first()
+    assert [[r[f"m{i}{j}"] for j in range(3)] for i in range(3)] == [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    assert [r[f"d{i}"] for i in range(3)] == [2.0, 0.0, 2.0] and [r[f"r{i}"] for i in range(3)] == [0.0, 0.0, 1.0]
+    grid = spark.createDataFrame([(1, x, y, 2.0, float(x + 10 * y)) for x in range(8) for y in range(6)], "img long, x long, y long, depth double, c double")
+    camera = (4.0, 4.0, 4.0, 3.0)
+    moved = view.warped(grid, "img", "depth", ["c"], 8, 6, lambda p: (p[0] + 0.5, p[1], p[2]), camera)
+    got = {(q["x"], q["y"]): q["c"] for q in moved.collect()}
+    assert got == pytest.approx({(x + 1, y): float(x + 10 * y) for x in range(7) for y in range(6)})
+    back = {(q["x"], q["y"]): q["c"] for q in view.round_trip(grid, "img", "depth", ["c"], 8, 6, lambda p: (p[0] + 0.5, p[1], p[2]), camera).collect()}
+    assert back == pytest.approx({(x, y): float(x + 10 * y) for x in range(7) for y in range(6)})
+
+
+def test_prompts_and_keys(spark):
+    from strideframe.functions import tokens
+    from strideframe.operators import filters, transforms
+
+    assert transforms.action_keys(["a", "hand_status"], [True, False]) == [["a"], ["a", "hand_status"]]
+    df = spark.createDataFrame([("ab",), (None,)], "t string").select(tokens.tokenise(F.col("t"), lambda texts: [[ord(c) for c in t] for t in texts]).alias("p"))
+    r = df.where("size(p) > 0").select(*[c.alias(k) for k, c in tokens.causal_inputs(F.col("p"), F.array(F.lit(7), F.lit(8)), 5).items()]).first()
+    assert r["tokens"] == [97, 98, 7, 8, 0] and r["token_mask"] == [True] * 4 + [False] and r["ar_mask"] == [0, 0, 1, 1, 0] and r["loss_mask"] == [False, False, True, True, False]
+    left, right = spark.createDataFrame([(1,), (2,)], "k long"), spark.createDataFrame([(1,), (1,)], "k long")
+    assert filters.require_partners(left.where("k = 1"), right, "k").count() == 1
+    with pytest.raises(Exception, match="no partner for 2"):
+        filters.require_partners(left, right, "k").collect()
+
+
+def test_files_and_recorder(spark, tmp_path):
+    from strideframe.operators import filters
+    from strideframe.sources import datasets
+    from strideframe.streaming import blend
+
+    spark.range(2).selectExpr("id AS a", "id AS b").coalesce(1).write.parquet(str(tmp_path / "set/one"))
+    spark.range(2).selectExpr("id AS a").coalesce(1).write.parquet(str(tmp_path / "set/two"))
+    good, bad = filters.require_columns(datasets.file_columns(spark, str(tmp_path / "set")), "names", ["a", "b"])
+    assert good.count() == bad.count() == 1 and "/two/" in bad.first()["path"]
+    assert datasets.latest_step(["10", "9", "last"]) == 10 and datasets.latest_step([]) is None
+    stream = spark.readStream.schema("a long, b long").parquet(str(tmp_path / "set/one"))
+    q = stream.selectExpr("named_struct('x', a) AS inputs", "b AS other").writeStream.foreachBatch(blend.recorder(str(tmp_path / "log"), ["inputs"])).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert log.columns == ["step", "inputs/x"] and log.count() == 2
+    steps = spark.createDataFrame([(1, i, i == 3) for i in range(6)], "episode_id long, frame_index long, done boolean")
+    assert blend.serve(steps, 100, "done").count() == 4 and blend.serve(steps, 2).count() == 2
+
+
+def test_observation(spark):
+    df = sample(spark, ["image", "wrist_image"]).transform(lambda d: adapters.image_slots(d, {"base_0_rgb": "image", "left_wrist_0_rgb": "wrist_image"}))
+    r = adapters.observation(df).first()
+    assert r["image"]["base_0_rgb"]["kind"] == "float32"
+    with pytest.raises(ValueError):
+        adapters.observation(df.withColumn("tokenized_prompt", F.array(F.lit(1))))
