@@ -78,8 +78,8 @@ def human_episode(frames: DataFrame, camera: DataFrame, dt: float = 0.01, ratio:
     return with_camera(downsample(navigation(hip_path(frames), dt, seconds), ratio), camera, ["image_left"])
 
 
-@register("g1")
-def g1_inputs(mask: list[bool] | None = None, dim: int = MODEL_DIM) -> Group:
+@register("delta_chunks")
+def delta_chunks(mask: list[bool] | None = None, dim: int = MODEL_DIM) -> Group:
     """State and chunk to the model's width; actions become differences where the mask holds."""
 
     def delta(df: DataFrame) -> DataFrame:
