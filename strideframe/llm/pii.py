@@ -25,6 +25,8 @@ from strideframe.llm.storage import materialise
 ALPHA, SUPPORT = 0.8, 3
 #: Characters on each side in which terms are looked for, words taken from them, and letters of a term.
 REACH, NEAR, LETTERS = 48, 4, 4
+#: Spans on each side of one that a term beside it must not overlap.
+NEIGHBOURS = 12
 #: Fixed values of the query's contract, in possessive form: a start inside a run of the same characters cannot match where the run's begin did not.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -39,22 +41,51 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _WORD = r"[\p{L}\p{N}]++"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda s, x: s + x)
+
+
+def prefix_sums(steps: Column, block: int = 64) -> Column:
+    """The sum of all elements before each one. Sums of blocks come first, so the work is far below the square of the length."""
+
+    def of_block(i: Column) -> Column:
+        return F.floor(i / block).cast("int")
+
+    def with_blocks(s: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), of_block(F.size(s) - 1)), lambda b: _total(F.slice(s, b * block + 1, F.lit(block))))
+        return let(blocks, lambda t: with_bases(s, F.transform(t, lambda _, b: _total(F.slice(t, F.lit(1), b)))))
+
+    def with_bases(s: Column, bases: Column) -> Column:
+        return let(bases, lambda u: F.transform(s, lambda _, i: F.get(u, of_block(i)) + _total(F.slice(s, of_block(i) * block + 1, i % block))))
+
+    return let(steps, with_blocks)
+
+
 def located(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of the leftmost non-overlapping matches, in code points, end exclusive.
 
     What lies between the matches is what ``split`` leaves, so lengths add up to places.
     """
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    both = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("hit"), F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"))
 
-    def add(a: Column, x: Column) -> Column:
-        begin = a["at"] + x["gap"]
-        end = begin + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("value")))).alias("out"))
+    def place(v: Column) -> Column:
+        before = prefix_sums(F.transform(v["hit"], lambda h, i: F.get(v["gap"], i) + F.length(h)))
+
+        def spans(p: Column) -> Column:
+            def one(h: Column, i: Column) -> Column:
+                begin = F.get(p, i) + F.get(v["gap"], i)
+                return F.struct(begin.alias("start"), (begin + F.length(h)).alias("end"), h.alias("value"))
+
+            return F.transform(v["hit"], one)
+
+        return F.when(F.size(v["hit"]) > 0, let(before, spans)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
-    return F.when(F.size(hits) > 0, F.aggregate(both, start, add, lambda a: a["out"])).otherwise(empty)
+    return let(found, place)
 
 
 def _digits(value: Column) -> Column:
@@ -118,9 +149,10 @@ def find_base(docs: DataFrame) -> DataFrame:
 def near_terms(found: DataFrame) -> DataFrame:
     """text_key, entity, context, term, start, end: the words next to each entity, once for each distinct text."""
     texts = found.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("base").alias("base"))
-    each = texts.select("text_key", "base", F.explode("base").alias("b"))
-    word = _WORD
-    left, right = located(F.col("b.left"), word), located(F.col("b.right"), word)
+    # spans that may overlap a term next to a span stand close to it in the order of starts
+    close = F.transform("base", lambda b, i: F.struct(b.alias("b"), F.transform(F.slice(F.col("base"), F.greatest(i - NEIGHBOURS, F.lit(1)), F.lit(2 * NEIGHBOURS)), lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end"))).alias("close")))
+    each = texts.select("text_key", F.explode(close).alias("x")).select("text_key", "x.b", "x.close")
+    left, right = located(F.col("b.left"), _WORD), located(F.col("b.right"), _WORD)
     whole_left = F.filter(left, lambda x: (x["start"] > 0) | (F.col("b.start") <= REACH))
     whole_right = F.filter(right, lambda x: (x["end"] < F.length("b.right")) | (F.length("b.right") < REACH))
     shift = F.col("b.start") - F.length("b.left")
@@ -129,9 +161,9 @@ def near_terms(found: DataFrame) -> DataFrame:
         F.transform(F.slice(whole_right, 1, NEAR), lambda x: F.struct((x["start"] + F.col("b.end")).alias("start"), (x["end"] + F.col("b.end")).alias("end"), F.lower(x["value"]).alias("value"))),
     )
     entity = F.concat_ws(":", F.col("b.kind").cast("string"), F.lower("b.value"))
-    rows = each.select("text_key", "base", entity.alias("entity"), words.alias("words"))
-    rows = rows.select("text_key", "base", "entity", F.xxhash64(F.transform("words", lambda w: w["value"])).alias("context"), F.explode("words").alias("w"))
-    free = ~F.exists("base", lambda b: (b["start"] < F.col("w.end")) & (b["end"] > F.col("w.start")))
+    rows = each.select("text_key", "close", entity.alias("entity"), words.alias("words"))
+    rows = rows.select("text_key", "close", "entity", F.xxhash64(F.transform("words", lambda w: w["value"])).alias("context"), F.explode("words").alias("w"))
+    free = ~F.exists("close", lambda b: (b["start"] < F.col("w.end")) & (b["end"] > F.col("w.start")))
     return rows.where((F.length("w.value") >= LETTERS) & free).select("text_key", "entity", "context", F.col("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
 
 
@@ -175,8 +207,8 @@ def rendered(spans: Column) -> Column:
 def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """The documents with personal data replaced by its kind, and terms that give it away generalised or removed; other columns and clean texts are unchanged."""
     found = find_personal(docs, alpha, support).where("text_key IS NOT NULL").groupBy("text_key").agg(F.min(F.struct("base", "terms")).alias("f"))
-    spans = found.select("text_key", all_spans(F.col("f.base"), F.col("f.terms")).alias("spans__"))
-    text, names = F.col("text"), docs.columns
+    spans = found.select("text_key", all_spans(F.col("f.base"), F.col("f.terms")).alias("spans"))
+    text = F.col("doc.text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def add(a: Column, x: Column) -> Column:
@@ -186,11 +218,12 @@ def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> D
         more = F.when(x["start"] >= a["at"], F.concat(F.substr(text, a["at"] + 1, x["start"] - a["at"]), tag)).otherwise("")
         return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.concat(a["out"], more).alias("out"))
 
-    clean = F.aggregate("spans__", start, add, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
-    # only texts with the characters that spans need are looked up; the others do not move
-    joined = docs.withColumn("key__", F.when(F.size(base_spans(F.coalesce(text, F.lit("")))) > 0, F.sha2(text, 256)))
-    same = joined.where("key__ IS NULL").select(*names)
-    moved = joined.where("key__ IS NOT NULL").join(spans, F.col("key__") == F.col("text_key")).withColumn("text", clean).select(*names)
+    clean = F.aggregate("spans", start, add, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
+    # texts without base spans are not looked up, and do not move
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    keyed = whole.withColumn("key", F.when(F.size(base_spans(F.coalesce(text, F.lit("")))) > 0, F.sha2(text, 256)))
+    same = keyed.where("key IS NULL").select("doc.*")
+    moved = keyed.where("key IS NOT NULL").join(spans, F.col("key") == F.col("text_key")).select(F.col("doc").withField("text", clean).alias("doc")).select("doc.*")
     return same.unionByName(moved)
 
 
