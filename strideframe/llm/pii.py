@@ -185,7 +185,10 @@ def find_personal(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT)
     found, _ = materialise(find_base(docs))
     near, _ = materialise(near_terms(found))
     flagged = near.join(disclosing(near, docs, alpha, support), ["entity", "term"]).groupBy("text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    return found.join(flagged, "text_key", "left").select("doc_id", "text_key", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int>>")).alias("terms"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    # texts without entities have no key, and would meet in one task of a join
+    plain = found.where("text_key IS NULL").select("doc_id", "text_key", "base", none.alias("terms"))
+    return plain.unionByName(found.where("text_key IS NOT NULL").join(flagged, "text_key", "left").select("doc_id", "text_key", "base", F.coalesce("terms", none).alias("terms")))
 
 
 def all_spans(base: Column, terms: Column) -> Column:
