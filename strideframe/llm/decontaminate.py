@@ -207,7 +207,7 @@ def summarise(found: DataFrame) -> DataFrame:
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every whole text of documents."""
-    return summarise(find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return summarise(find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))).drop("longest_match")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

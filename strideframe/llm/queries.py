@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strideframe.llm import oracles
 from strideframe.llm.bpe import op1_bpe
 from strideframe.llm.decontaminate import op7_decontaminate
 from strideframe.llm.langid import op9_language
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.SQL
