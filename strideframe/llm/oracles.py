@@ -2,12 +2,56 @@
 
 from __future__ import annotations
 
-from strideframe.llm import quality
+from strideframe.llm import pii, quality
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _BLANK = r"'[^\x20\x09-\x0D]+'"
 
+#: The contract's patterns as they stand.
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+
+
+def _located(source: str, key: str, text: str, pattern: str) -> str:
+    """Rows (key, k, start, stop, value) of the matches in a text column."""
+    return (
+        f"SELECT {key}, k, CAST(sum(gap + len(value)) OVER (PARTITION BY {key} ORDER BY k) - len(value) AS BIGINT) AS start, CAST(sum(gap + len(value)) OVER (PARTITION BY {key} ORDER BY k) AS BIGINT) AS stop, value FROM "
+        f"(SELECT {key}, unnest(range(1, len(h) + 1)) AS k, unnest(h) AS value, unnest(list_transform(list_slice(g, 1, len(h)), lambda x: len(x))) AS gap FROM (SELECT {key}, regexp_extract_all({text}, '{pattern}') AS h, string_split_regex({text}, '{pattern}') AS g FROM {source}))"
+    )
+
+
+_KINDS = " UNION ALL ".join(f"SELECT t, {i} AS kind, start, stop, value FROM ({_located('x', 't', 't', p)})" for i, p in enumerate(_PLAIN.values()))
+#: Places from what a split leaves; terms by windows, counts and mutual information.
+OP3 = f"""WITH x AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents),
+a AS ({_KINDS}),
+n AS (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS dg FROM a),
+b AS (SELECT t, kind, start, stop, value FROM n WHERE kind = 0 OR (kind = 1 AND regexp_full_match(value, '{_BYTE}(?:\\.{_BYTE}){{3}}'))
+ OR (kind = 2 AND len(dg) BETWEEN 14 AND 19 AND (SELECT sum(CASE WHEN j % 2 = 0 THEN c WHEN c > 4 THEN 2 * c - 9 ELSE 2 * c END) % 10 FROM (SELECT j, CAST(substr(dg, CAST(len(dg) - j AS BIGINT), 1) AS INTEGER) AS c FROM range(len(dg)) z(j))) = 0)
+ OR (kind = 3 AND len(dg) BETWEEN 10 AND 15)),
+o AS (SELECT *, row_number() OVER (ORDER BY t, start, kind) AS id, row_number() OVER (PARTITION BY t ORDER BY start, kind, stop, value) AS place, kind || ':' || lower(value) AS entity, substr(t, CAST(greatest(start - {pii.REACH}, 0) + 1 AS BIGINT), CAST(least(start, {pii.REACH}) AS BIGINT)) AS lt, substr(t, CAST(stop + 1 AS BIGINT), {pii.REACH}) AS rt FROM b),
+wl AS ({_located('o', 'id', 'lt', r'[\p{L}\p{N}]+')}), wr AS ({_located('o', 'id', 'rt', r'[\p{L}\p{N}]+')}),
+l AS (SELECT id, 0 AS side, row_number() OVER (PARTITION BY id ORDER BY k DESC) AS r, o.start - len(lt) + w.start AS s, o.start - len(lt) + w.stop AS e, lower(w.value) AS term FROM wl w JOIN o USING (id) WHERE w.start > 0 OR o.start <= {pii.REACH}),
+q AS (SELECT id, 1 AS side, row_number() OVER (PARTITION BY id ORDER BY k) AS r, o.stop + w.start AS s, o.stop + w.stop AS e, lower(w.value) AS term FROM wr w JOIN o USING (id) WHERE w.stop < len(rt) OR len(rt) < {pii.REACH}),
+c AS (SELECT * FROM (SELECT * FROM l UNION ALL SELECT * FROM q) WHERE r <= {pii.NEAR}),
+ctx AS (SELECT id, string_agg(term, ' ' ORDER BY side, r) AS context FROM c GROUP BY 1),
+nt AS (SELECT o.t, o.entity, ctx.context, c.term, c.s, c.e FROM c JOIN o USING (id) JOIN ctx USING (id) WHERE len(c.term) >= {pii.LETTERS}
+ AND NOT EXISTS (SELECT 1 FROM o z WHERE z.t = o.t AND z.place BETWEEN greatest(o.place - {pii.NEIGHBOURS + 1}, 1) AND greatest(o.place - {pii.NEIGHBOURS + 1}, 1) + {2 * pii.NEIGHBOURS - 1} AND z.start < c.e AND z.stop > c.s)),
+pr AS (SELECT entity, term, count(DISTINCT context) AS together FROM nt GROUP BY 1, 2 HAVING count(DISTINCT context) >= {pii.SUPPORT}),
+en AS (SELECT entity, count(DISTINCT context) AS n_entity FROM nt GROUP BY 1),
+tm AS (SELECT term, count(*) AS n_term FROM (SELECT doc_id, unnest(list_distinct(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'))) AS term FROM documents) WHERE len(term) >= {pii.LETTERS} GROUP BY 1),
+tt AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
+fl AS (SELECT entity, term FROM pr JOIN en USING (entity) JOIN tm USING (term), tt WHERE log2(together * n / (n_entity * greatest(n_term, together))) >= {pii.ALPHA} * log2(n / least(n_entity, n / 2))),
+sp AS (SELECT t, start, kind, stop FROM o UNION ALL SELECT DISTINCT t, s, 4, e FROM nt JOIN fl USING (entity, term)),
+r AS (SELECT t, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
+ string_agg(list_extract(['email', 'ip', 'card', 'phone', 'term'], kind + 1) || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) AS spans, string_agg(list_extract(['email', 'ip', 'card', 'phone'], kind + 1) || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) FILTER (kind < 4) AS base FROM sp GROUP BY 1)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN r ON r.t = coalesce(d.text, '')"""
+
 #: Windows of 50 bytes as 100 hexadecimal digits; a byte goes if one of the 50 windows that cover it starts in a smaller doc_id.
 OP4 = """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 b AS (SELECT doc_id, h, unnest(range(length(h) // 2)) AS i FROM h),
@@ -69,4 +113,4 @@ b AS (SELECT stratum, rule, max(cut) AS cut FROM (SELECT *, max(gain) OVER (PART
 bad AS (SELECT DISTINCT doc_id FROM v JOIN b USING (stratum, rule) WHERE v > cut)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND bad.doc_id IS NULL AS kept FROM m LEFT JOIN bad ON bad.doc_id = m.doc_id"""
 
-SQL = {"op4_suffix_array": OP4, "op5_quality": OP5, "op7_decontaminate": OP7, "op8_substrings": OP8}
+SQL = {"op3_pii": OP3, "op4_suffix_array": OP4, "op5_quality": OP5, "op7_decontaminate": OP7, "op8_substrings": OP8}
