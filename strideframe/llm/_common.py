@@ -37,6 +37,17 @@ def slices(batch: pa.RecordBatch, col: str = "text", limit: int = SLICE_BYTES) -
         yield batch.slice(begin)
 
 
+#: Rows of an Arrow batch at most: the JVM holds batches of texts whole, outside its heap.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's batch size to BATCH_ROWS if it is larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def map_texts(docs: DataFrame, rows: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """Apply a batch function to (doc_id, text, ...) rows in bounded slices.
 
@@ -49,4 +60,5 @@ def map_texts(docs: DataFrame, rows: Callable[[], Callable[[pa.RecordBatch], pa.
             for part in slices(batch):
                 yield step(part)
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm._common import text_bytes
+from strideframe.llm._common import bound_batches, text_bytes
 from strideframe.llm.words import mix, raw
 
 #: Text in a bucket, and text whose windows, or anchors, one shard holds on average.
@@ -150,6 +150,7 @@ def mark_repeats(docs: DataFrame, spec: Spec, finish: Callable[[list, list[np.nd
 
     finish: (rows as (order, bytes, doc_id), for each row the begins of repeated windows) -> a table
     """
+    bound_batches(docs.sparkSession)
     total = text_bytes(docs)
     n_buckets, n_shards, n_anchor = (max(1, -(-total // size)) for size in (BUCKET_BYTES, SHARD_BYTES, ANCHOR_BYTES))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -312,14 +313,16 @@ def mark_repeats(docs: DataFrame, spec: Spec, finish: Callable[[list, list[np.nd
             runs.append(np.stack([begin[a:b], begin[a:b] + count[a:b] + spec.k - 1], 1))
         return pa.Table.from_batches([finish(own, runs)])
 
+    # partition counts follow the text, whatever the session's default is, so tasks stay the same size
+    dealt = dealt.repartition(n_buckets, "bucket")
     by_bucket = dealt.groupBy("bucket")
     seeds = by_bucket.applyInArrow(send_anchors, "shard long, bucket long, anchors binary, twice binary")
-    answers = seeds.groupBy("shard").applyInArrow(answer_anchors, "bucket long, shard long, shared binary")
-    sent = by_bucket.cogroup(answers.groupBy("bucket")).applyInArrow(
+    answers = seeds.repartition(n_anchor, "shard").groupBy("shard").applyInArrow(answer_anchors, "bucket long, shard long, shared binary")
+    sent = by_bucket.cogroup(answers.repartition(n_buckets, "bucket").groupBy("bucket")).applyInArrow(
         send_segments, "shard long, bucket long, units binary, sizes binary, owner binary, row binary, doc binary, begin binary"
     )
-    marked = sent.groupBy("shard").applyInArrow(answer_segments, "bucket long, row binary, begin binary, count binary")
-    return by_bucket.cogroup(marked.groupBy("bucket")).applyInArrow(close, schema)
+    marked = sent.repartition(n_shards, "shard").groupBy("shard").applyInArrow(answer_segments, "bucket long, row binary, begin binary, count binary")
+    return by_bucket.cogroup(marked.repartition(n_buckets, "bucket").groupBy("bucket")).applyInArrow(close, schema)
 
 
 def covered(runs: np.ndarray, n: int) -> tuple[np.ndarray, int]:
