@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from strideframe.llm._common import map_texts, table
 from strideframe.llm.components import components
-from strideframe.llm.storage import materialise
+from strideframe.llm.storage import discard, materialise
 from strideframe.llm.words import mix, raw
 
 SEED = 42
@@ -270,8 +270,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = S
     vantage-point search, make candidates; sketches decide. Each candidate is compared with the first of
     its class; what differs from it is compared among itself in the next round.
     """
-    names = docs.columns
-    base, _ = materialise(docs.withColumn("row__", F.monotonically_increasing_id()))
+    base, _ = materialise(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row__")))
 
     def rows():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -283,13 +282,13 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = S
 
         return step
 
-    cols = base.select("row__", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked, _ = materialise(map_texts(cols, rows, "row__ long, doc_id long, key binary, prints array<long>, sketch binary"))
+    cols = base.select("row__", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"))
+    marked, marked_at = materialise(map_texts(cols, rows, "row__ long, doc_id long, key binary, prints array<long>, sketch binary"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row__")
-    sets, _ = materialise(marked.groupBy("key").agg(F.min(order).alias("lead")).select("key", F.col("lead.row__").alias("lead")))
+    sets, sets_at = materialise(marked.groupBy("key").agg(F.min(order).alias("lead")).select("key", F.col("lead.row__").alias("lead")))
     leads = marked.join(sets.select(F.col("lead").alias("row__")), "row__", "left_semi")
-    prints, _ = materialise(leads.select("row__", F.explode("prints").alias("fp")))
-    roots, _ = materialise(components(link(prints.select("fp").distinct(), radius)))
+    prints, prints_at = materialise(leads.select("row__", F.explode("prints").alias("fp")))
+    roots, roots_at = materialise(components(link(prints.select("fp").distinct(), radius)))
     classes = prints.join(roots, prints.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("cls"), "row__").distinct()
     sketch = leads.select("row__", "sketch")
 
@@ -298,17 +297,19 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = S
             ok = [similarity(a, b) >= least for a, b in zip(batch.column("sketch").to_pylist(), batch.column("other").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["cls", "a", "b", "ok"])
 
-    links, left = None, classes
+    links, left, old = None, classes, [marked_at, sets_at, prints_at, roots_at]
     for _ in range(rounds):
         first = left.groupBy("cls").agg(F.min("row__").alias("b"), F.count("*").alias("n")).where("n > 1")
         pairs = left.join(first.select("cls", "b"), "cls").where("row__ <> b").select("cls", F.col("row__").alias("a"), "b")
         seen = pairs.join(sketch.withColumnRenamed("row__", "a"), "a").join(sketch.select(F.col("row__").alias("b"), F.col("sketch").alias("other")), "b")
-        done, _ = materialise(seen.select("cls", "a", "b", "sketch", "other").mapInArrow(compare, "cls long, a long, b long, ok boolean"))
+        done, done_at = materialise(seen.select("cls", "a", "b", "sketch", "other").mapInArrow(compare, "cls long, a long, b long, ok boolean"))
+        old.append(done_at)
         good = done.where("ok").select("a", "b")
         links = good if links is None else links.union(good)
         left = done.where("NOT ok").select("cls", F.col("a").alias("row__"))
-    groups, _ = materialise(components(links))
+    groups, groups_at = materialise(components(links))
     of_set = sets.join(groups, sets.lead == groups.node, "left").select("key", F.coalesce("root", "lead").alias("group"))
     members = marked.select("row__", "doc_id", "key").join(of_set, "key")
-    stay = members.groupBy("group").agg(F.min(order).alias("lead")).select(F.col("lead.row__").alias("row__"))
-    return base.join(stay, "row__", "left_semi").select(*names)
+    stay, _ = materialise(members.groupBy("group").agg(F.min(order).alias("lead")).select(F.col("lead.row__").alias("row__")))
+    discard(docs.sparkSession, *old, groups_at)
+    return base.join(stay, "row__", "left_semi").select("doc.*")
