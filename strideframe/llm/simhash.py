@@ -29,7 +29,7 @@ from strideframe.llm.storage import discard, materialise
 from strideframe.llm.words import mix, raw
 
 SEED = 42
-#: Fingerprints that the driver may hold to build a tree.
+#: Fingerprints that the driver may hold to build a tree; it gets an eighth of all at most.
 SAMPLE = 1 << 18
 #: Fingerprints that a shard should hold, and that a block compares with each other.
 LEAF, BLOCK = 4096, 512
@@ -161,12 +161,11 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 
 def link(nodes: DataFrame, radius: int, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
     """Links (a, b) that join all fingerprints ``fp`` of a table of distinct ones within the radius of each other, over any number of steps."""
-    spark = nodes.sparkSession
     total = nodes.count()
-    drawn = nodes
-    if total > sample:
-        drawn = nodes.where(F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * sample * 0.9 / total))
-    held = np.array([r["fp"] for r in drawn.select("fp").orderBy("fp").collect()], np.int64).view(np.uint64)
+    # a share of the fingerprints, never all of them; those of one leaf need no tree
+    share = min(sample, total / 8) / total if total > leaf else 0.0
+    drawn = nodes.where(F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * share)).select("fp").orderBy("fp").collect() if share else []
+    held = np.array([r["fp"] for r in drawn], np.int64).view(np.uint64)
     tree = Tree(held, total, radius, leaf)
 
     def send(batches):
@@ -182,7 +181,8 @@ def link(nodes: DataFrame, radius: int, leaf: int = LEAF, sample: int = SAMPLE)
         other = np.flatnonzero(root != np.arange(len(fps)))
         return pa.table({"a": fps[other], "b": fps[root[other]]})
 
-    return nodes.select("fp").mapInArrow(send, "leaf long, fp long").groupBy("leaf").applyInArrow(within, "a long, b long")
+    shards = max(1, len(tree.vantage) // 16)  # some eight leaves each
+    return nodes.select("fp").mapInArrow(send, "leaf long, fp long").repartition(shards, "leaf").groupBy("leaf").applyInArrow(within, "a long, b long")
 
 
 def fingerprint_documents(docs: DataFrame, words: int = 3) -> DataFrame:
