@@ -312,4 +312,5 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = S
     members = marked.select("row__", "doc_id", "key").join(of_set, "key")
     stay, _ = materialise(members.groupBy("group").agg(F.min(order).alias("lead")).select(F.col("lead.row__").alias("row__")))
     discard(docs.sparkSession, *old, groups_at)
-    return base.join(stay, "row__", "left_semi").select("doc.*")
+    # a merge join at every size: what stays grows with the documents, so it is never broadcast
+    return base.join(stay.hint("merge"), "row__", "left_semi").select("doc.*")
