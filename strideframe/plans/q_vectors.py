@@ -240,7 +240,7 @@ def _poses(spark, sf_dir):
 
 
 _P = (
-    "e AS (SELECT label AS episode_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_index, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), "
+    "e AS (SELECT CAST(label AS BIGINT) AS episode_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_index, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), "
     "n AS (SELECT episode_id, frame_index, e[1] AS px, e[2] AS py, e[3] AS pz, sqrt(e[4]*e[4]+e[5]*e[5]+e[6]*e[6]+e[7]*e[7]) AS l, e FROM e), q AS (SELECT episode_id, frame_index, px, py, pz, e[4]/l AS x, e[5]/l AS y, e[6]/l AS z, e[7]/l AS w FROM n)"
 )
 _MAT = {"00": "1-2*(y*y+z*z)", "01": "2*(x*y-z*w)", "02": "2*(x*z+y*w)", "10": "2*(x*y+z*w)", "11": "1-2*(x*x+z*z)", "12": "2*(y*z-x*w)", "20": "2*(x*z-y*w)", "21": "2*(y*z+x*w)", "22": "1-2*(x*x+y*y)"}

@@ -54,7 +54,7 @@ def resize_with_pad(spark, sf_dir):
     return p.select("p_partkey", *[box[c].cast("long").alias(c) for c in ("new_w", "new_h", "pad_left", "pad_top")])
 
 
-_MASK = "m AS (SELECT l_orderkey % 30 AS batch, l_linenumber AS buffer, CASE WHEN l_discount > 0.03 THEN 1.0 ELSE 0.0 END AS mask FROM lineitem)"
+_MASK = "m AS (SELECT l_orderkey % 30 AS batch, l_linenumber AS buffer, CASE WHEN l_discount > 0.03 THEN 1.0 ELSE 0.0 END::DOUBLE AS mask FROM lineitem)"
 
 
 def masks(spark, sf_dir):
