@@ -15,15 +15,16 @@ is never the smallest; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strideframe.llm._common import map_texts, table
+from strideframe.llm._common import bound_batches, map_texts, slices, table
 from strideframe.llm.components import components
 from strideframe.llm.storage import discard, materialise
 from strideframe.llm.words import mix, raw
@@ -220,32 +221,23 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Pipeline defaults: words of a shingle and the least similarity of near duplicates.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Ranges of the hash space that give a text a fingerprint each, shingles in one, and hashes in a sketch.
-VIEWS, PER_VIEW, SKETCH = 8, 4, 128
+#: Least hashes of a set that travel with its row.
+SKETCH = 128
+#: Rows whose shingles are counted to put common shingles last, shingles that are put last, and their least count.
+COUNTED, COMMON, OFTEN = 1 << 14, 1 << 18, 3
+#: Rows of a class that one task pairs with as many others.
+CROWD = 1000
 
 
-def sketches(texts: list[str | None], words: int) -> tuple[list[bytes], list[list[int]], list[bytes]]:
-    """For each text: a key of its shingle set, fingerprints of the whole set and of parts of it, and its least hashes.
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingles of a text, as ascending mixed hashes."""
+    return np.unique(mix(shingle_hashes(text, words)))
 
-    A part is made of the least shingles of one range of the hash space, so two similar texts are likely to
-    agree on some part in full, though a few changed words move the whole fingerprint by many bits.
-    """
-    each = [np.unique(mix(shingle_hashes(t, words))) for t in texts]
-    whole = fingerprints(each).view(np.int64).tolist()
-    keys, prints, least = [], [], []
-    parts, owner = [], []
-    for i, h in enumerate(each):
-        keys.append(xxhash.xxh3_128_digest(h.tobytes()))
-        least.append(h[:SKETCH].astype("<u8").tobytes())
-        cuts = np.searchsorted(h >> np.uint64(61), np.arange(VIEWS + 1, dtype=np.uint64)).tolist()
-        for a, b in zip(cuts, cuts[1:]):
-            if a < b:
-                parts.append(h[a : min(b, a + PER_VIEW)])
-                owner.append(i)
-    prints = [[w] for w in whole]
-    for i, f in zip(owner, fingerprints(parts).view(np.int64).tolist()):
-        prints[i].append(f)
-    return keys, prints, least
+
+def sketches(texts: list[str | None], words: int) -> tuple[list[bytes], list[np.ndarray], list[bytes]]:
+    """For each text: a key of its shingle set, the set, and its least hashes."""
+    each = [shingle_set(t, words) for t in texts]
+    return [xxhash.xxh3_128_digest(h.tobytes()) for h in each], each, [h[:SKETCH].astype("<u8").tobytes() for h in each]
 
 
 def similarity(a: bytes, b: bytes, size: int = SKETCH) -> float:
@@ -263,54 +255,151 @@ def similarity(a: bytes, b: bytes, size: int = SKETCH) -> float:
     return float((common <= union[-1]).sum() / len(union))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = SIMILARITY, radius: int = 2, rounds: int = 2) -> DataFrame:
+def jaccard(a: bytes, b: bytes) -> float:
+    """Exact similarity of two whole sets."""
+    return similarity(a, b, -1)
+
+
+def verdict(a: bytes, n_a: int, b: bytes, n_b: int, least: float) -> bool | None:
+    """Whether two sets are similar, as far as sketches prove it: whole sets decide, and so do more differences than similar sets can have."""
+    if n_a <= SKETCH and n_b <= SKETCH:
+        return jaccard(a, b) >= least
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    # up to here both sets are known in full
+    end = min(s[-1] for s, n in ((x, n_a), (y, n_b)) if n > SKETCH)
+    both = np.concatenate([x[x <= end], y[y <= end]])
+    differ = 2 * len(np.unique(both)) - len(both)
+    return False if differ * (1 + least) > (1 - least) * (n_a + n_b) + 1e-6 else None
+
+
+def prefix(h: np.ndarray, least: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in an order that all sets share, so many that two similar sets must have one of them in common.
+
+    Common shingles (ascending, with their ranks) come last. The order decides how many candidates there are, never which pairs are found.
+    """
+    size = len(h) - math.ceil(least * len(h) - 1e-6) + 1 if len(h) else 0
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        h = h[np.argsort(np.where(common[at] == h, rank[at], 0), kind="stable")]
+    return h[:size]
+
+
+def common_shingles(cols: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of some rows have, ascending, and their counts."""
+    total = cols.count()
+    share = min(1.0, COUNTED / max(total, 1))
+    some = cols.where(F.pmod(F.xxhash64("row__", F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * share))
+
+    def spread(batches):
+        for batch in batches:
+            for part in slices(batch):
+                for t in part.column("text").to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words).view(np.int64))], ["shingle"])
+
+    bound_batches(cols.sparkSession)
+    counted = some.select("text").distinct().mapInArrow(spread, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    rows = counted.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
+    found, n = np.array([r["shingle"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
+    order = np.argsort(found)
+    return found[order], n[order]
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = SIMILARITY, rounds: int = 2) -> DataFrame:
     """The documents with one, of the smallest doc_id, of each group of near duplicates; their columns are unchanged.
 
-    Fingerprints of whole shingle sets and of their parts, within the radius of each other in a
-    vantage-point search, make candidates; sketches decide. Each candidate is compared with the first of
-    its class; what differs from it is compared among itself in the next round.
+    Two sets of at least this similarity share a shingle of their prefixes, so the rows with one prefix shingle
+    are a class, and all pairs that matter meet in one. For some rounds each class is compared with one of its
+    rows; then every pair of a class that no links join yet is compared. Whole shingle sets decide.
     """
+    spark = docs.sparkSession
     base, _ = materialise(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row__")))
+    cols = base.select("row__", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"))
+    common, rank = common_shingles(cols, words)
 
     def rows():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, prints, hashes_ = sketches(batch.column("text").to_pylist(), words)
-            return pa.RecordBatch.from_arrays(
-                [batch.column("row__"), batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(prints, pa.list_(pa.int64())), pa.array(hashes_, pa.binary())],
-                ["row__", "doc_id", "key", "prints", "sketch"],
-            )
+            keys, each, hashes_ = sketches(batch.column("text").to_pylist(), words)
+            firsts = [prefix(h, least, common, rank).view(np.int64) for h in each]
+            ends = np.cumsum([0, *map(len, firsts)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *firsts])))
+            sizes = pa.array([len(h) for h in each], pa.int32())
+            return pa.RecordBatch.from_arrays([batch.column("row__"), batch.column("doc_id"), pa.array(keys, pa.binary()), sizes, lists, pa.array(hashes_, pa.binary())], ["row__", "doc_id", "key", "size", "first", "sketch"])
 
         return step
 
-    cols = base.select("row__", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"))
-    marked, marked_at = materialise(map_texts(cols, rows, "row__ long, doc_id long, key binary, prints array<long>, sketch binary"))
+    marked, marked_at = materialise(map_texts(cols, rows, "row__ long, doc_id long, key binary, size int, first array<long>, sketch binary"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row__")
     sets, sets_at = materialise(marked.groupBy("key").agg(F.min(order).alias("lead")).select("key", F.col("lead.row__").alias("lead")))
     leads = marked.join(sets.select(F.col("lead").alias("row__")), "row__", "left_semi")
-    prints, prints_at = materialise(leads.select("row__", F.explode("prints").alias("fp")))
-    roots, roots_at = materialise(components(link(prints.select("fp").distinct(), radius)))
-    classes = prints.join(roots, prints.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("cls"), "row__").distinct()
-    sketch = leads.select("row__", "sketch")
+    crowd = Window.partitionBy("shingle")
+    spread = leads.select("row__", "size", F.explode("first").alias("shingle"))
+    classes, classes_at = materialise(spread.withColumn("n", F.count("*").over(crowd)).where("n > 1"))
+    sketch = marked.select("row__", "size", "sketch")
+
+    def sets_of():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch.column("row__"), pa.array([shingle_set(t, words).astype("<u8").tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["row__", "whole"])
+
+        return step
+
+    def by_sketch(batches):
+        for batch in batches:
+            ok = [verdict(*x, least) for x in zip(*(batch.column(c).to_pylist() for c in ("sketch", "size", "other", "other_size")))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-    def compare(batches):
+    def by_set(batches):
         for batch in batches:
-            ok = [similarity(a, b) >= least for a, b in zip(batch.column("sketch").to_pylist(), batch.column("other").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["cls", "a", "b", "ok"])
-
-    links, left, old = None, classes, [marked_at, sets_at, prints_at, roots_at]
-    for _ in range(rounds):
-        first = left.groupBy("cls").agg(F.min("row__").alias("b"), F.count("*").alias("n")).where("n > 1")
-        pairs = left.join(first.select("cls", "b"), "cls").where("row__ <> b").select("cls", F.col("row__").alias("a"), "b")
-        seen = pairs.join(sketch.withColumnRenamed("row__", "a"), "a").join(sketch.select(F.col("row__").alias("b"), F.col("sketch").alias("other")), "b")
-        done, done_at = materialise(seen.select("cls", "a", "b", "sketch", "other").mapInArrow(compare, "cls long, a long, b long, ok boolean"))
-        old.append(done_at)
-        good = done.where("ok").select("a", "b")
-        links = good if links is None else links.union(good)
-        left = done.where("NOT ok").select("cls", F.col("a").alias("row__"))
-    groups, groups_at = materialise(components(links))
+            ok = [jaccard(a, b) >= least for a, b in zip(batch.column("whole").to_pylist(), batch.column("other").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
+    old = [marked_at, sets_at, classes_at]
+
+    def written(df: DataFrame) -> DataFrame:
+        df, at = materialise(df)
+        old.append(at)
+        return df
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        """(a, b, ok) of pairs (a, b)."""
+        seen = pairs.join(sketch.withColumnRenamed("row__", "a"), "a").join(sketch.select(F.col("row__").alias("b"), F.col("size").alias("other_size"), F.col("sketch").alias("other")), "b")
+        quick = written(seen.select("a", "b", "size", "sketch", "other_size", "other").mapInArrow(by_sketch, "a long, b long, ok boolean"))
+        open_ = quick.where("ok IS NULL").select("a", "b")
+        need = open_.select(F.col("a").alias("row__")).union(open_.select("b")).distinct()
+        whole = written(map_texts(cols.join(need, "row__", "left_semi").select("row__", "text"), sets_of, "row__ long, whole binary"))
+        both = open_.join(whole.withColumnRenamed("row__", "a"), "a").join(whole.select(F.col("row__").alias("b"), F.col("whole").alias("other")), "b")
+        slow = written(both.select("a", "b", "whole", "other").mapInArrow(by_set, "a long, b long, ok boolean"))
+        return quick.where("ok IS NOT NULL").union(slow)
+
+    def fits(a: str, b: str):
+        return F.least(a, b) >= least * F.greatest(a, b) - 1e-6
+
+    done, groups, open_classes = None, None, classes
+    for k in range(rounds + 1):
+        if k:
+            named = classes.join(groups, classes.row__ == groups.node, "left").select("shingle", "n", "row__", "size", F.coalesce("root", "row__").alias("group"))
+            apart = named.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
+            open_classes = written(named.join(apart.select("shingle"), "shingle", "left_semi"))
+        else:
+            open_classes = classes.withColumn("group", F.col("row__"))
+        if k < rounds:
+            pick = F.min(F.struct(F.xxhash64("shingle", "row__", F.lit(k)), F.col("row__").alias("b"), F.col("size").alias("b_size"), F.col("group").alias("b_group")))
+            met = open_classes.join(open_classes.groupBy("shingle").agg(pick.alias("p")).select("shingle", "p.b", "p.b_size", "p.b_group"), "shingle").withColumnRenamed("row__", "a")
+        else:
+            # a crowded class is cut into squares of rows
+            parts = F.ceil(F.col("n") / CROWD).cast("int")
+            left = open_classes.select("shingle", F.pmod(F.xxhash64("row__"), parts).cast("int").alias("part"), F.col("row__").alias("a"), "size", "group")
+            right = open_classes.select("shingle", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("row__").alias("b"), F.col("size").alias("b_size"), F.col("group").alias("b_group"))
+            met = left.join(right, ["shingle", "part"]).where("a > b")
+        pairs = met.where((F.col("group") != F.col("b_group")) & fits("size", "b_size")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        if done is not None:
+            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        new = compare(written(pairs))
+        done = new if done is None else done.union(new)
+        groups, at = materialise(components(done.where("ok").select("a", "b")))
+        old.append(at)
     of_set = sets.join(groups, sets.lead == groups.node, "left").select("key", F.coalesce("root", "lead").alias("group"))
     members = marked.select("row__", "doc_id", "key").join(of_set, "key")
     stay, _ = materialise(members.groupBy("group").agg(F.min(order).alias("lead")).select(F.col("lead.row__").alias("row__")))
-    discard(docs.sparkSession, *old, groups_at)
+    discard(spark, *old)
     # a merge join at every size: what stays grows with the documents, so it is never broadcast
     return base.join(stay.hint("merge"), "row__", "left_semi").select("doc.*")

@@ -379,6 +379,44 @@ def test_pipeline_near_duplicates(spark):
     assert simhash.similarity(a, b) == pytest.approx(len(sets[0] & sets[1]) / len(sets[0] | sets[1]), abs=0.08)
 
 
+def near_brute(texts, words=5, least=0.8):
+    """The first row of each component of all pairs whose whole shingle sets are similar."""
+    sets = [set(simhash.shingle_hashes(t, words).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        x, y = sets[i], sets[j]
+        if min(len(x), len(y)) >= 0.7 * max(len(x), len(y)) and (x == y or len(x & y) / len(x | y) >= least):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return sorted({find(i) for i in range(len(texts))})
+
+
+@pytest.mark.parametrize("length", [20, 60, 400])
+def test_pipeline_near_duplicates_are_all_found(spark, length):
+    """Families around the threshold, in chains, all with one long passage in common, against every pair."""
+    rng = random.Random(length)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    passage = [rng.choice(words) for _ in range(length // 2)]
+    texts = ["", "", "one two"]
+    for f in range(60):
+        t = [rng.choice(words) for _ in range(length // 2)] + passage
+        for _ in range(5):
+            texts.append(" ".join(t))
+            cut = rng.randint(1, max(3, length // 6))
+            t = t[cut:] + [rng.choice(words) for _ in range(cut)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    want = near_brute(texts)
+    assert 60 < len(want) < len(texts) - 60
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()) == want
+
+
 # decontamination
 
 
