@@ -5,6 +5,8 @@ protected entity. The method counts, over the whole corpus, in how many distinct
 stands near an entity and in how many texts it occurs at all. A term whose pointwise mutual information
 with an entity reaches the share ``ALPHA`` of the entity's own information gives it away, and is
 generalised or removed there too. Copies of a passage are one context, so copying reveals nothing.
+So it is defined for the query, by its SQL. The pipeline counts words of whole texts instead, at any distance
+from an entity, and all its counts are of distinct texts: copying a text neither reveals nor conceals.
 
 Texts that hold entities are known by a hash, so copies are worked on once, and only their spans are
 shuffled; corpus counts are aggregated before their shuffle.
@@ -207,10 +209,49 @@ def rendered(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of all spans (start, end), which are in order."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def add(a: Column, x: Column) -> Column:
+        gap = F.substr(text, a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
+        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.concat(a["out"], gap, F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(x["start"], a["at"]), F.lit(0)))).alias("out"))
+
+    return F.aggregate(spans, start, add, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
+
+
+def find_disclosed(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+    """text_key, base spans and term spans (start, end) of each distinct text with base spans.
+
+    Terms are the words of a whole text, of any length and at any distance from its entities. All counts
+    are of distinct texts. A term that gives an entity away is marked wherever it stands in texts with the entity.
+    """
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    spans = texts.select("t", base_spans(F.col("t")).alias("base")).where(F.size("base") > 0)
+    held, _ = materialise(spans.select(F.sha2("t", 256).alias("text_key"), "t", "base").groupBy("text_key").agg(F.first("t").alias("t"), F.first("base").alias("base")))
+    names = F.array_distinct(F.transform("base", lambda x: F.concat_ws(":", x["kind"].cast("string"), F.lower(x["value"]))))
+    each = held.select("text_key", F.explode(names).alias("entity"))
+    # an entity of fewer texts cannot stand with any term in enough of them
+    often = each.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
+    known, _ = materialise(each.join(often, "entity"))
+    found = held.join(known.select("text_key"), "text_key", "left_semi").select("text_key", located(_blanked(F.col("t"), F.col("base")), _WORD).alias("w"))
+    words, _ = materialise(found.select("text_key", F.transform("w", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lower(x["value"]).alias("term"))).alias("words")))
+    distinct = words.select("text_key", F.array_distinct(F.transform("words", lambda x: x["term"])).alias("terms"))
+    pairs = known.join(distinct, "text_key").select("entity", "n_entity", F.explode("terms").alias("term")).groupBy("entity", "n_entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support)
+    pairs, _ = materialise(pairs)
+    whole = texts.distinct()
+    n = F.lit(float(texts.select(F.sha2("t", 256)).distinct().count()))
+    terms = whole.select(F.explode(F.array_distinct(F.split(F.lower("t"), r"[^\p{L}\p{N}]+"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    mutual = F.log2(F.col("together") * n / (F.col("n_entity") * F.greatest("n_term", "together")))
+    flagged = pairs.join(terms, "term").where(mutual >= alpha * F.log2(n / F.least(F.col("n_entity").cast("double"), n / 2))).select("entity", "term")
+    given = known.join(flagged, "entity").groupBy("text_key").agg(F.collect_set("term").alias("given"))
+    marked = words.join(given, "text_key").select("text_key", F.transform(F.filter("words", lambda x: F.array_contains("given", x["term"])), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("terms"))
+    return held.select("text_key", "base").join(marked, "text_key", "left").select("text_key", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int>>")).alias("terms"))
+
+
 def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """The documents with personal data replaced by its kind, and terms that give it away generalised or removed; other columns and clean texts are unchanged."""
-    found = find_personal(docs, alpha, support).where("text_key IS NOT NULL").groupBy("text_key").agg(F.min(F.struct("base", "terms")).alias("f"))
-    spans = found.select("text_key", all_spans(F.col("f.base"), F.col("f.terms")).alias("spans"))
+    spans = find_disclosed(docs, alpha, support).select("text_key", all_spans(F.col("base"), F.col("terms")).alias("spans"))
     text = F.col("doc.text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

@@ -169,6 +169,33 @@ def test_pii_disclosing_terms(spark):
     assert "with [NAME] mail [EMAIL] " in clean[0][0] and clean[100][0] == texts[100] and clean[310][0] == "Quentin wrote [EMAIL] again"
 
 
+def letters(seed, filler_words=120):
+    """Letters with a name of three letters at the head and an address at the foot, far apart, among other texts."""
+    rng = random.Random(seed)
+    filler = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    texts = [f"Ann {' '.join(rng.sample(filler, filler_words))} and Ann again {' '.join(rng.sample(filler, filler_words))} mail ann@example.org" for _ in range(3)]
+    return texts + [f"{' '.join(rng.sample(filler, filler_words))} and again mail" for _ in range(300)]
+
+
+def test_pipeline_marks_terms_of_whole_texts(spark):
+    texts = letters(7)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = by_id(pii.sanitise(df), "text")
+    for i, t in enumerate(texts):
+        assert clean[i][0] == t.replace("ann@example.org", "[EMAIL]").replace("Ann", "[NAME]")
+
+
+def test_pipeline_copies_conceal_no_term(spark):
+    rng = random.Random(8)
+    filler = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    texts = [f"{' '.join(rng.sample(filler, 5))} with Zebulon mail zeb@example.org {' '.join(rng.sample(filler, 5))}" for _ in range(3)]
+    texts += [f"{' '.join(rng.sample(filler, 9))} with mail" for _ in range(300)]
+    texts += [texts[0]] * 40 + [texts[9]] * 100
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = by_id(pii.sanitise(df), "text")
+    assert all(("with [NAME] mail [EMAIL]" in clean[i][0]) == ("Zebulon" in t) for i, t in enumerate(texts))
+
+
 # substrings
 
 
