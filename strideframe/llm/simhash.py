@@ -221,8 +221,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Pipeline defaults: words of a shingle and the least similarity of near duplicates.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Least hashes of a set that travel with its row.
-SKETCH = 128
+#: Longs of the parity bits that travel with a row.
+LONGS = 4
 #: Rows whose shingles are counted to put common shingles last, shingles that are put last, and their least count.
 COUNTED, COMMON, OFTEN = 1 << 14, 1 << 18, 3
 #: Rows of a class that one task pairs with as many others.
@@ -235,41 +235,27 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 def sketches(texts: list[str | None], words: int) -> tuple[list[bytes], list[np.ndarray], list[bytes]]:
-    """For each text: a key of its shingle set, the set, and its least hashes."""
+    """For each text: a key of its shingle set, the set, and the set as bytes."""
     each = [shingle_set(t, words) for t in texts]
-    return [xxhash.xxh3_128_digest(h.tobytes()) for h in each], each, [h[:SKETCH].astype("<u8").tobytes() for h in each]
+    whole = [h.astype("<u8").tobytes() for h in each]
+    return [xxhash.xxh3_128_digest(w) for w in whole], each, whole
 
 
-def similarity(a: bytes, b: bytes, size: int = SKETCH) -> float:
-    """Jaccard similarity from two sketches; exact where a set is no larger than a sketch."""
+def parities(h: np.ndarray) -> list[int]:
+    """Bits that say whether an odd number of the set's shingles falls on each; two sets differ in no more bits than shingles."""
+    odd = np.bincount((h & np.uint64(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sets."""
     x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
     if not len(x) or not len(y):
         return float(len(x) == len(y))
     both = np.concatenate([x, y])
     both.sort()
-    union = both[np.concatenate([[True], both[1:] != both[:-1]])]
-    if len(x) == size or len(y) == size:
-        # beyond the larger end of a full sketch nothing is known of that text
-        union = union[:size]
-    common = both[1:][both[1:] == both[:-1]]
-    return float((common <= union[-1]).sum() / len(union))
-
-
-def jaccard(a: bytes, b: bytes) -> float:
-    """Exact similarity of two whole sets."""
-    return similarity(a, b, -1)
-
-
-def verdict(a: bytes, n_a: int, b: bytes, n_b: int, least: float) -> bool | None:
-    """Whether two sets are similar, as far as sketches prove it: whole sets decide, and so do more differences than similar sets can have."""
-    if n_a <= SKETCH and n_b <= SKETCH:
-        return jaccard(a, b) >= least
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    # up to here both sets are known in full
-    end = min(s[-1] for s, n in ((x, n_a), (y, n_b)) if n > SKETCH)
-    both = np.concatenate([x[x <= end], y[y <= end]])
-    differ = 2 * len(np.unique(both)) - len(both)
-    return False if differ * (1 + least) > (1 - least) * (n_a + n_b) + 1e-6 else None
+    common = int((both[1:] == both[:-1]).sum())
+    return common / (len(both) - common)
 
 
 def prefix(h: np.ndarray, least: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -318,38 +304,33 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = S
 
     def rows():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, each, hashes_ = sketches(batch.column("text").to_pylist(), words)
+            keys, each, _ = sketches(batch.column("text").to_pylist(), words)
             firsts = [prefix(h, least, common, rank).view(np.int64) for h in each]
             ends = np.cumsum([0, *map(len, firsts)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *firsts])))
             sizes = pa.array([len(h) for h in each], pa.int32())
-            return pa.RecordBatch.from_arrays([batch.column("row__"), batch.column("doc_id"), pa.array(keys, pa.binary()), sizes, lists, pa.array(hashes_, pa.binary())], ["row__", "doc_id", "key", "size", "first", "sketch"])
+            return pa.RecordBatch.from_arrays([batch.column("row__"), batch.column("doc_id"), pa.array(keys, pa.binary()), sizes, lists, pa.array([parities(h) for h in each], pa.list_(pa.int64()))], ["row__", "doc_id", "key", "size", "first", "odd"])
 
         return step
 
-    marked, marked_at = materialise(map_texts(cols, rows, "row__ long, doc_id long, key binary, size int, first array<long>, sketch binary"))
+    marked, marked_at = materialise(map_texts(cols, rows, "row__ long, doc_id long, key binary, size int, first array<long>, odd array<long>"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row__")
     sets, sets_at = materialise(marked.groupBy("key").agg(F.min(order).alias("lead")).select("key", F.col("lead.row__").alias("lead")))
     leads = marked.join(sets.select(F.col("lead").alias("row__")), "row__", "left_semi")
     crowd = Window.partitionBy("shingle")
     spread = leads.select("row__", "size", F.explode("first").alias("shingle"))
     classes, classes_at = materialise(spread.withColumn("n", F.count("*").over(crowd)).where("n > 1"))
-    sketch = marked.select("row__", "size", "sketch")
+    odd = marked.select("row__", "size", "odd")
 
     def sets_of():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column("row__"), pa.array([shingle_set(t, words).astype("<u8").tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["row__", "whole"])
+            return pa.RecordBatch.from_arrays([batch.column("row__"), pa.array(sketches(batch.column("text").to_pylist(), words)[2], pa.binary())], ["row__", "whole"])
 
         return step
 
-    def by_sketch(batches):
-        for batch in batches:
-            ok = [verdict(*x, least) for x in zip(*(batch.column(c).to_pylist() for c in ("sketch", "size", "other", "other_size")))]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
     def by_set(batches):
         for batch in batches:
-            ok = [jaccard(a, b) >= least for a, b in zip(batch.column("whole").to_pylist(), batch.column("other").to_pylist())]
+            ok = [similarity(a, b) >= least for a, b in zip(batch.column("whole").to_pylist(), batch.column("other").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
     old = [marked_at, sets_at, classes_at]
@@ -360,15 +341,16 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = S
         return df
 
     def compare(pairs: DataFrame) -> DataFrame:
-        """(a, b, ok) of pairs (a, b)."""
-        seen = pairs.join(sketch.withColumnRenamed("row__", "a"), "a").join(sketch.select(F.col("row__").alias("b"), F.col("size").alias("other_size"), F.col("sketch").alias("other")), "b")
-        quick = written(seen.select("a", "b", "size", "sketch", "other_size", "other").mapInArrow(by_sketch, "a long, b long, ok boolean"))
-        open_ = quick.where("ok IS NULL").select("a", "b")
-        need = open_.select(F.col("a").alias("row__")).union(open_.select("b")).distinct()
+        """(a, b, ok) of pairs (a, b). Those that differ in more bits than similar sets do in shingles need no more."""
+        seen = pairs.join(odd.withColumnRenamed("row__", "a"), "a").join(odd.select(F.col("row__").alias("b"), F.col("size").alias("b_size"), F.col("odd").alias("b_odd")), "b")
+        differ = sum((F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("b_odd")[i])) for i in range(LONGS)), F.lit(0))
+        quick = written(seen.select("a", "b", (differ * (1 + least) <= (1 - least) * (F.col("size") + F.col("b_size")) + 1e-6).alias("may")))
+        may = quick.where("may").select("a", "b")
+        need = may.select(F.col("a").alias("row__")).union(may.select("b")).distinct()
         whole = written(map_texts(cols.join(need, "row__", "left_semi").select("row__", "text"), sets_of, "row__ long, whole binary"))
-        both = open_.join(whole.withColumnRenamed("row__", "a"), "a").join(whole.select(F.col("row__").alias("b"), F.col("whole").alias("other")), "b")
+        both = may.join(whole.withColumnRenamed("row__", "a"), "a").join(whole.select(F.col("row__").alias("b"), F.col("whole").alias("other")), "b")
         slow = written(both.select("a", "b", "whole", "other").mapInArrow(by_set, "a long, b long, ok boolean"))
-        return quick.where("ok IS NOT NULL").union(slow)
+        return quick.where("NOT may").select("a", "b", F.lit(False).alias("ok")).union(slow)
 
     def fits(a: str, b: str):
         return F.least(a, b) >= least * F.greatest(a, b) - 1e-6
@@ -376,13 +358,16 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = S
     done, groups, open_classes = None, None, classes
     for k in range(rounds + 1):
         if k:
+            # two rows have been compared; classes of one group stay so
+            classes = open_classes.drop("group").where("n > 2")
             named = classes.join(groups, classes.row__ == groups.node, "left").select("shingle", "n", "row__", "size", F.coalesce("root", "row__").alias("group"))
             apart = named.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
             open_classes = written(named.join(apart.select("shingle"), "shingle", "left_semi"))
         else:
             open_classes = classes.withColumn("group", F.col("row__"))
         if k < rounds:
-            pick = F.min(F.struct(F.xxhash64("shingle", "row__", F.lit(k)), F.col("row__").alias("b"), F.col("size").alias("b_size"), F.col("group").alias("b_group")))
+            # one row for the classes of a family at first, then one by chance
+            pick = F.min(F.struct(F.xxhash64("shingle", "row__", F.lit(k)) if k else F.col("row__"), F.col("row__").alias("b"), F.col("size").alias("b_size"), F.col("group").alias("b_group")))
             met = open_classes.join(open_classes.groupBy("shingle").agg(pick.alias("p")).select("shingle", "p.b", "p.b_size", "p.b_group"), "shingle").withColumnRenamed("row__", "a")
         else:
             # a crowded class is cut into squares of rows
