@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from strideframe.llm._common import bound_batches, map_texts, slices, table
 from strideframe.llm.components import components
-from strideframe.llm.storage import discard, materialise
+from strideframe.llm.storage import discard, materialise, release
 from strideframe.llm.words import mix, raw
 
 SEED = 42
@@ -320,6 +320,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = S
     crowd = Window.partitionBy("shingle")
     spread = leads.select("row__", "size", F.explode("first").alias("shingle"))
     classes, classes_at = materialise(spread.withColumn("n", F.count("*").over(crowd)).where("n > 1"))
+    del leads, spread
+    release(spark)
     odd = marked.select("row__", "size", "odd")
 
     def sets_of():
@@ -338,6 +340,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = S
     def written(df: DataFrame) -> DataFrame:
         df, at = materialise(df)
         old.append(at)
+        release(spark)
         return df
 
     def compare(pairs: DataFrame) -> DataFrame:
@@ -386,5 +389,6 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = S
     members = marked.select("row__", "doc_id", "key").join(of_set, "key")
     stay, _ = materialise(members.groupBy("group").agg(F.min(order).alias("lead")).select(F.col("lead.row__").alias("row__")))
     discard(spark, *old)
+    release(spark)
     # a merge join at every size: what stays grows with the documents, so it is never broadcast
     return base.join(stay.hint("merge"), "row__", "left_semi").select("doc.*")

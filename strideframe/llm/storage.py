@@ -29,3 +29,8 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of tables that were written and are not used again; it does so when the driver collects its garbage."""
+    spark._jvm.System.gc()
