@@ -4,7 +4,7 @@ A shard holds the distinct segments whose windows may repeat. Each gets a separa
 least suffixes (those that begin an S-type run) are sorted through their names, and all others are
 induced from them: left-to-right for L-type, right-to-left for S-type suffixes, symbol by symbol. What
 waits for a later symbol lies in priority queues that write themselves to disk beyond a memory limit,
-as tuples of a suffix and the symbol before it, so a shard may be larger than memory. Names that are
+as tuples of a suffix and the symbol before it; the shard itself and its suffix array are in memory. Names that are
 not unique are ranked by their successors, twice as far in each round, until they are.
 
 Neighbours in the suffix array share a window when their common prefix has its length.
