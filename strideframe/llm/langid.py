@@ -1,9 +1,9 @@
 """Language identification with a byte convolutional network in numpy.
 
-Bytes fall into 64 classes. Filters of widths two, three and four slide over fixed-length windows,
-the strongest response of each filter in a window is kept, and a softmax layer gives the languages.
-A trained filter is linear in its one-hot bytes, so its response is read from a table of byte-class
-tuples; that makes whole texts cheap. A text's score is the mean over all its windows.
+Filters of widths two, three and four slide over the bytes of fixed-length windows, as they are, the
+strongest response of each filter in a window is kept, and a softmax layer gives the languages.
+A trained filter is linear in its one-hot bytes, so its response is read from tables of byte pairs;
+that makes whole texts cheap. A text's score is the mean over all its windows.
 
 The network learns from a bounded sample: at most about ``ROWS_PER_LANG`` labelled rows of each of
 the ``MAX_LANGS`` most frequent languages, one window each. Everything else covers all rows.
@@ -29,42 +29,27 @@ MAX_LANGS = 256
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
-CLASSES = 64
-_PAD = 63
+SYMBOLS = 256
+#: Behind the end of a text; no byte of a text that holds a letter has this value but the control character itself.
+_PAD = 0
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def byte_classes() -> np.ndarray:
-    """Letters 0-25 whatever their case, 26 digits, 27 white space, 28 other ASCII, 29-60 following bytes, 61-62 leading bytes, 63 padding."""
-    out = np.full(256, 28, np.uint8)
-    for b in range(26):
-        out[97 + b] = out[65 + b] = b
-    out[48:58] = 26
-    out[[9, 10, 11, 12, 13, 32]] = 27
-    out[128:192] = 29 + np.arange(64) % 32
-    out[192:] = np.where(np.arange(64) == 3, 61, 62)
-    return out
-
-
-_CLASS = byte_classes()
-
-
 def windows(raw: bytes) -> np.ndarray:
-    """All windows of a text as rows of byte classes; the last one is padded."""
-    cls = _CLASS[np.frombuffer(raw, np.uint8)]
-    n = max(1, -(-len(cls) // WINDOW))
+    """All windows of a text as rows of its bytes, unchanged; the last one is padded."""
+    n = max(1, -(-len(raw) // WINDOW))
     out = np.full(n * WINDOW, _PAD, np.uint8)
-    out[: len(cls)] = cls
+    out[: len(raw)] = np.frombuffer(raw, np.uint8)
     return out.reshape(n, WINDOW)
 
 
 class Network:
-    """Filters (width, class, filter), and the softmax layer above their maxima."""
+    """Filters (width, byte, filter), and the softmax layer above their maxima."""
 
     def __init__(self, langs: list[str], seed: int = 7):
         rng = np.random.default_rng(seed)
         self.langs = langs
-        self.filters = [rng.normal(0, 0.3, (w, CLASSES, FILTERS)).astype(np.float32) for w in WIDTHS]
+        self.filters = [rng.normal(0, 0.3, (w, SYMBOLS, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.out = rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(langs))).astype(np.float32)
         self.bias = np.zeros(len(langs), np.float32)
 
@@ -115,24 +100,23 @@ class Network:
         return self
 
     def tables(self) -> list[list[np.ndarray]]:
-        """Responses by filter to every pair or triple of byte classes; width four is read as two pairs."""
+        """Responses by filter to every pair of bytes, for each width; width three is a pair and a byte, width four two pairs."""
+
+        def pairs(f: np.ndarray) -> np.ndarray:
+            return np.ascontiguousarray((f[0][:, None] + f[1][None]).reshape(-1, FILTERS))
+
         f2, f3, f4 = self.filters
-        two = (f2[0][:, None] + f2[1][None]).reshape(-1, FILTERS)
-        three = (f3[0][:, None, None] + f3[1][None, :, None] + f3[2][None, None]).reshape(-1, FILTERS)
-        head = (f4[0][:, None] + f4[1][None]).reshape(-1, FILTERS)
-        tail = (f4[2][:, None] + f4[3][None]).reshape(-1, FILTERS)
-        return [[np.ascontiguousarray(t) for t in group] for group in ([two], [three], [head, tail])]
+        return [[pairs(f2)], [pairs(f3[:2]), np.ascontiguousarray(f3[2])], [pairs(f4[:2]), pairs(f4[2:])]]
 
     def log_odds(self, x: np.ndarray, tables: list[list[np.ndarray]]) -> np.ndarray:
         """Log probabilities of the languages for each window."""
         out = np.empty((len(x), len(self.langs)), np.float32)
         for k in range(0, len(x), 512):
             b = x[k : k + 512].astype(np.int32)
-            pair = (b[:, :-1] << 6) | b[:, 1:]
-            triple = (pair[:, :-1] << 6) | b[:, 2:]
+            pair = (b[:, :-1] << 8) | b[:, 1:]
             h = [
                 tables[0][0].take(pair, 0).max(1),
-                tables[1][0].take(triple, 0).max(1),
+                (tables[1][0].take(pair[:, :-1], 0) + tables[1][1].take(b[:, 2:], 0)).max(1),
                 (tables[2][0].take(pair[:, :-2], 0) + tables[2][1].take(pair[:, 2:], 0)).max(1),
             ]
             z = np.maximum(np.concatenate(h, 1), 0) @ self.out + self.bias

@@ -27,27 +27,23 @@ def _located(source: str, key: str, text: str, pattern: str) -> str:
 
 
 _KINDS = " UNION ALL ".join(f"SELECT t, {i} AS kind, start, stop, value FROM ({_located('x', 't', 't', p)})" for i, p in enumerate(_PLAIN.values()))
-#: Places from what a split leaves; terms by windows, counts and mutual information.
+#: Places from what a split leaves; terms by counts of distinct texts and mutual information.
 OP3 = f"""WITH x AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents),
 a AS ({_KINDS}),
 n AS (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS dg FROM a),
 b AS (SELECT t, kind, start, stop, value FROM n WHERE kind = 0 OR (kind = 1 AND regexp_full_match(value, '{_BYTE}(?:\\.{_BYTE}){{3}}'))
  OR (kind = 2 AND len(dg) BETWEEN 14 AND 19 AND (SELECT sum(CASE WHEN j % 2 = 0 THEN c WHEN c > 4 THEN 2 * c - 9 ELSE 2 * c END) % 10 FROM (SELECT j, CAST(substr(dg, CAST(len(dg) - j AS BIGINT), 1) AS INTEGER) AS c FROM range(len(dg)) z(j))) = 0)
  OR (kind = 3 AND len(dg) BETWEEN 10 AND 15)),
-o AS (SELECT *, row_number() OVER (ORDER BY t, start, kind) AS id, row_number() OVER (PARTITION BY t ORDER BY start, kind, stop, value) AS place, kind || ':' || lower(value) AS entity, substr(t, CAST(greatest(start - {pii.REACH}, 0) + 1 AS BIGINT), CAST(least(start, {pii.REACH}) AS BIGINT)) AS lt, substr(t, CAST(stop + 1 AS BIGINT), {pii.REACH}) AS rt FROM b),
-wl AS ({_located('o', 'id', 'lt', r'[\p{L}\p{N}]+')}), wr AS ({_located('o', 'id', 'rt', r'[\p{L}\p{N}]+')}),
-l AS (SELECT id, 0 AS side, row_number() OVER (PARTITION BY id ORDER BY k DESC) AS r, o.start - len(lt) + w.start AS s, o.start - len(lt) + w.stop AS e, lower(w.value) AS term FROM wl w JOIN o USING (id) WHERE w.start > 0 OR o.start <= {pii.REACH}),
-q AS (SELECT id, 1 AS side, row_number() OVER (PARTITION BY id ORDER BY k) AS r, o.stop + w.start AS s, o.stop + w.stop AS e, lower(w.value) AS term FROM wr w JOIN o USING (id) WHERE w.stop < len(rt) OR len(rt) < {pii.REACH}),
-c AS (SELECT * FROM (SELECT * FROM l UNION ALL SELECT * FROM q) WHERE r <= {pii.NEAR}),
-ctx AS (SELECT id, string_agg(term, ' ' ORDER BY side, r) AS context FROM c GROUP BY 1),
-nt AS (SELECT o.t, o.entity, ctx.context, c.term, c.s, c.e FROM c JOIN o USING (id) JOIN ctx USING (id) WHERE len(c.term) >= {pii.LETTERS}
- AND NOT EXISTS (SELECT 1 FROM o z WHERE z.t = o.t AND z.place BETWEEN greatest(o.place - {pii.NEIGHBOURS + 1}, 1) AND greatest(o.place - {pii.NEIGHBOURS + 1}, 1) + {2 * pii.NEIGHBOURS - 1} AND z.start < c.e AND z.stop > c.s)),
-pr AS (SELECT entity, term, count(DISTINCT context) AS together FROM nt GROUP BY 1, 2 HAVING count(DISTINCT context) >= {pii.SUPPORT}),
-en AS (SELECT entity, count(DISTINCT context) AS n_entity FROM nt GROUP BY 1),
-tm AS (SELECT term, count(*) AS n_term FROM (SELECT doc_id, unnest(list_distinct(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'))) AS term FROM documents) WHERE len(term) >= {pii.LETTERS} GROUP BY 1),
-tt AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
+o AS (SELECT *, kind || ':' || lower(value) AS entity, row_number() OVER (PARTITION BY t ORDER BY start, kind, stop) AS place FROM b),
+mx AS (SELECT *, coalesce(max(stop) OVER (PARTITION BY t ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS past FROM o),
+bl AS (SELECT t, string_agg(substr(t, past + 1, greatest(start - past, 0)) || repeat(' ', greatest(stop - greatest(start, past), 0)), '' ORDER BY place) || substr(t, CAST(max(stop) + 1 AS BIGINT)) AS blank FROM mx GROUP BY 1),
+w AS (SELECT t, start AS s, stop AS e, lower(value) AS term FROM ({_located('bl', 't', 'blank', r'[\p{L}\p{N}]+')})),
+en AS (SELECT entity, count(DISTINCT t) AS n_entity FROM o GROUP BY 1 HAVING count(DISTINCT t) >= {pii.SUPPORT}),
+pr AS (SELECT entity, term, count(*) AS together FROM (SELECT DISTINCT entity, t FROM o JOIN en USING (entity)) JOIN (SELECT DISTINCT t, term FROM w) USING (t) GROUP BY 1, 2 HAVING count(*) >= {pii.SUPPORT}),
+tm AS (SELECT term, count(*) AS n_term FROM (SELECT t, unnest(list_distinct(string_split_regex(lower(t), '[^\\p{{L}}\\p{{N}}]+'))) AS term FROM x) GROUP BY 1),
+tt AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM x),
 fl AS (SELECT entity, term FROM pr JOIN en USING (entity) JOIN tm USING (term), tt WHERE log2(together * n / (n_entity * greatest(n_term, together))) >= {pii.ALPHA} * log2(n / least(n_entity, n / 2))),
-sp AS (SELECT t, start, kind, stop FROM o UNION ALL SELECT DISTINCT t, s, 4, e FROM nt JOIN fl USING (entity, term)),
+sp AS (SELECT t, start, kind, stop FROM o UNION ALL SELECT DISTINCT w.t, s, 4, e FROM w JOIN o USING (t) JOIN fl ON fl.entity = o.entity AND fl.term = w.term),
 r AS (SELECT t, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
  string_agg(list_extract(['email', 'ip', 'card', 'phone', 'term'], kind + 1) || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) AS spans, string_agg(list_extract(['email', 'ip', 'card', 'phone'], kind + 1) || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) FILTER (kind < 4) AS base FROM sp GROUP BY 1)
 SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN r ON r.t = coalesce(d.text, '')"""
@@ -87,7 +83,7 @@ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(n_removed, 0) AS
 FROM d LEFT JOIN r USING (doc_id)"""
 
 _GRID = ", ".join(f"('{rule}', CAST({cut!r} AS DOUBLE))" for rule, cuts in quality.RULES.items() for cut in cuts)
-_SIGNALS = " UNION ALL ".join(f"SELECT doc_id, stratum, '{rule}' AS rule, CAST({rule} AS DOUBLE) AS v FROM m" for rule in quality.RULES)
+_SIGNALS = " UNION ALL ".join(f"SELECT doc_id, stratum, t, '{rule}' AS rule, CAST({rule} AS DOUBLE) AS v FROM m" for rule in quality.RULES)
 _N_CUTS = sum(map(len, quality.RULES.values()))
 _P = quality.ALPHA / len(quality.RULES)
 
@@ -99,14 +95,15 @@ x AS (SELECT doc_id, i, CASE WHEN i + 7 <= len(w) THEN array_to_string(list_slic
 f AS (SELECT doc_id, i, CASE WHEN s IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, s) > 1 THEN 1 ELSE 0 END AS rep FROM x),
 g AS (SELECT doc_id, max(rep) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS hit FROM f),
 n AS (SELECT doc_id, CAST(sum(hit) AS BIGINT) AS n_repeat_words FROM g GROUP BY 1),
-c AS (SELECT d.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+c AS (SELECT d.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, t, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
  coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN l USING (doc_id) LEFT JOIN n USING (doc_id)),
 m AS (SELECT *, n_symbols / greatest(word_chars, 1) AS symbol_share, n_dup_lines / greatest(n_lines, 1) AS dup_line_share, n_repeat_words / greatest(n_words, 1) AS repeat_share, word_chars / greatest(n_words, 1) AS long_words, -word_chars / greatest(n_words, 1) AS short_words FROM c),
 v AS ({_SIGNALS}),
 q AS (SELECT DISTINCT doc_id, quality FROM labels WHERE quality IN (0, 1)),
 s AS (SELECT count(DISTINCT stratum) * {_N_CUTS} AS tests FROM m JOIN q USING (doc_id)),
+u AS (SELECT stratum, rule, t, any_value(v) AS v, max(quality) AS quality FROM v JOIN q USING (doc_id) GROUP BY 1, 2, 3),
 grid(rule, cut) AS (VALUES {_GRID}),
-r AS (SELECT stratum, rule, cut, count(*) FILTER (quality = 1 AND v > cut) AS good, count(*) FILTER (quality = 0 AND v > cut) AS bad, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 0) AS n_bad FROM v JOIN q USING (doc_id) JOIN grid USING (rule) GROUP BY 1, 2, 3),
+r AS (SELECT stratum, rule, cut, count(*) FILTER (quality = 1 AND v > cut) AS good, count(*) FILTER (quality = 0 AND v > cut) AS bad, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 0) AS n_bad FROM u JOIN grid USING (rule) GROUP BY 1, 2, 3),
 k AS (SELECT stratum, rule, cut, bad / greatest(n_bad, 1) - {quality.CAUTION} * good / n AS gain FROM r, s WHERE good + bad > 0 AND good < n * {_P}
  AND (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_P}) + (n - i) * ln(1 - {_P}))) FROM range(good + 1) z(i)) <= {quality.DELTA} / tests),
 b AS (SELECT stratum, rule, max(cut) AS cut FROM (SELECT *, max(gain) OVER (PARTITION BY stratum, rule) AS top FROM k WHERE gain >= {quality.LEAST_GAIN}) WHERE gain >= {quality.NEARLY} * top GROUP BY 1, 2),

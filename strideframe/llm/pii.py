@@ -1,15 +1,13 @@
 """Personal data, with information-theoretic sanitisation, in DataFrame functions alone.
 
 The base finds e-mail addresses, IP addresses, card numbers and phone numbers. Each value found is a
-protected entity. The method counts, over the whole corpus, in how many distinct contexts a term
-stands near an entity and in how many texts it occurs at all. A term whose pointwise mutual information
+protected entity. The method counts, over the distinct texts of the whole corpus, how many hold a term
+together with an entity, and how many hold either at all. A term whose pointwise mutual information
 with an entity reaches the share ``ALPHA`` of the entity's own information gives it away, and is
-generalised or removed there too. Copies of a passage are one context, so copying reveals nothing.
-So it is defined for the query, by its SQL. The pipeline counts words of whole texts instead, at any distance
-from an entity, and all its counts are of distinct texts: copying a text neither reveals nor conceals.
+generalised or removed as well. All counts are of distinct texts, so copying neither reveals nor conceals.
 
-Texts that hold entities are known by a hash, so copies are worked on once, and only their spans are
-shuffled; corpus counts are aggregated before their shuffle.
+Nothing personal is written down: texts, entities and terms are known by salted hashes, with a salt for each
+run. Copies are worked on once; corpus counts are aggregated before their shuffle.
 
 Defined results: a null or empty text has no spans and the digest of no bytes; equal texts get equal
 results, whatever their doc_id, null included; overlapping kinds are all reported; extra columns are ignored.
@@ -17,18 +15,16 @@ results, whatever their doc_id, null included; overlapping kinds are all reporte
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideframe.llm._common import table
-from strideframe.llm.storage import materialise
+from strideframe.llm.storage import discard, materialise
 
-#: Share of an entity's information that a term may not give away, and distinct contexts that must show it.
+#: Share of an entity's information that a term may not give away, and distinct texts that must show it.
 ALPHA, SUPPORT = 0.8, 3
-#: Characters on each side in which terms are looked for, words taken from them, and letters of a term.
-REACH, NEAR, LETTERS = 48, 4, 4
-#: Spans on each side of one that a term beside it must not overlap.
-NEIGHBOURS = 12
 #: Fixed values of the query's contract, in possessive form: a start inside a run of the same characters cannot match where the run's begin did not.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -136,61 +132,79 @@ def _as_kind(k: int):
     return lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), x["value"].alias("value"))
 
 
-def find_base(docs: DataFrame) -> DataFrame:
-    """doc_id, a hash of the text, and its base spans with what stands on both sides of each."""
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of all spans (start, end), which are in order."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def add(a: Column, x: Column) -> Column:
+        gap = F.substr(text, a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
+        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.concat(a["out"], gap, F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(x["start"], a["at"]), F.lit(0)))).alias("out"))
+
+    return F.aggregate(spans, start, add, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
+
+
+def _spot(x: Column, *more: Column) -> Column:
+    return F.struct(x["start"].alias("start"), x["end"].alias("end"), *more)
+
+
+def find_base(docs: DataFrame, salt: str) -> DataFrame:
+    """doc_id, a hash of the text if it has base spans, these spans, the entities in them, and its words with their places.
+
+    What is personal leaves the task as salted hashes alone: texts, entities and words.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    spans = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t")).select("*", base_spans(F.col("t")).alias("s"))
-
-    def sides(x: Column) -> Column:
-        left = F.substr(F.col("t"), F.greatest(x["start"] - REACH, F.lit(0)) + 1, F.least(x["start"], F.lit(REACH)))
-        return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["value"].alias("value"), left.alias("left"), F.substr(F.col("t"), x["end"] + 1, F.lit(REACH)).alias("right"))
-
-    return spans.select("doc_id", F.when(F.size("s") > 0, F.sha2("t", 256)).alias("text_key"), F.transform("s", sides).alias("base"))
-
-
-def near_terms(found: DataFrame) -> DataFrame:
-    """text_key, entity, context, term, start, end: the words next to each entity, once for each distinct text."""
-    texts = found.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("base").alias("base"))
-    # spans that may overlap a term next to a span stand close to it in the order of starts
-    close = F.transform("base", lambda b, i: F.struct(b.alias("b"), F.transform(F.slice(F.col("base"), F.greatest(i - NEIGHBOURS, F.lit(1)), F.lit(2 * NEIGHBOURS)), lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end"))).alias("close")))
-    each = texts.select("text_key", F.explode(close).alias("x")).select("text_key", "x.b", "x.close")
-    left, right = located(F.col("b.left"), _WORD), located(F.col("b.right"), _WORD)
-    whole_left = F.filter(left, lambda x: (x["start"] > 0) | (F.col("b.start") <= REACH))
-    whole_right = F.filter(right, lambda x: (x["end"] < F.length("b.right")) | (F.length("b.right") < REACH))
-    shift = F.col("b.start") - F.length("b.left")
-    words = F.concat(
-        F.transform(F.slice(F.reverse(whole_left), 1, NEAR), lambda x: F.struct((x["start"] + shift).alias("start"), (x["end"] + shift).alias("end"), F.lower(x["value"]).alias("value"))),
-        F.transform(F.slice(whole_right, 1, NEAR), lambda x: F.struct((x["start"] + F.col("b.end")).alias("start"), (x["end"] + F.col("b.end")).alias("end"), F.lower(x["value"]).alias("value"))),
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t")).select("*", base_spans(F.col("t")).alias("s"))
+    has = F.size("s") > 0
+    found = found.select("*", F.when(has, _blanked(F.col("t"), F.col("s"))).alias("blank"))
+    words = F.transform(located(F.col("blank"), _WORD), lambda x: _spot(x, F.xxhash64(F.lower(x["value"]), F.lit(salt)).alias("term")))
+    entities = F.array_distinct(F.transform("s", lambda x: F.sha2(F.concat_ws(":", F.lit(salt), x["kind"].cast("string"), F.lower(x["value"])), 256)))
+    return found.select(
+        "doc_id",
+        F.when(has, F.sha2(F.concat(F.lit(salt), "t"), 256)).alias("text_key"),
+        F.transform("s", lambda x: _spot(x, x["kind"].alias("kind"))).alias("base"),
+        F.when(has, entities).alias("entities"),
+        F.when(has, words).alias("words"),
     )
-    entity = F.concat_ws(":", F.col("b.kind").cast("string"), F.lower("b.value"))
-    rows = each.select("text_key", "close", entity.alias("entity"), words.alias("words"))
-    rows = rows.select("text_key", "close", "entity", F.xxhash64(F.transform("words", lambda w: w["value"])).alias("context"), F.explode("words").alias("w"))
-    free = ~F.exists("close", lambda b: (b["start"] < F.col("w.end")) & (b["end"] > F.col("w.start")))
-    return rows.where((F.length("w.value") >= LETTERS) & free).select("text_key", "entity", "context", F.col("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
-
-
-def disclosing(near: DataFrame, docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(entity, term) whose mutual information reaches the threshold, over all documents."""
-    pairs = near.groupBy("entity", "term", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support)
-    entities = near.groupBy("entity", "context").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = F.array_distinct(F.split(F.lower(F.col("text").cast("string")), r"[^\p{L}\p{N}]+"))
-    terms = docs.select(F.explode(words).alias("term")).where(F.length("term") >= LETTERS).groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.agg(F.count("*").alias("n"))
-    scored = pairs.join(entities, "entity").join(terms, "term")
-    n = F.lit(float(total.first()["n"]))
+
+
+def disclosing(held: DataFrame, docs: DataFrame, salt: str, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+    """(entity, term) whose mutual information reaches the threshold. All counts are of distinct texts.
+
+    held: text_key, entities and words of each distinct text with base spans.
+    """
+    each = held.select("text_key", F.explode("entities").alias("entity"))
+    # an entity of fewer texts cannot stand with any term in enough of them
+    often = each.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
+    known = each.join(often, "entity")
+    distinct = held.select("text_key", F.array_distinct(F.transform("words", lambda x: x["term"])).alias("terms"))
+    pairs = known.join(distinct, "text_key").select("entity", "n_entity", F.explode("terms").alias("term")).groupBy("entity", "n_entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support)
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).distinct()
+    words = F.array_distinct(F.transform(F.split(F.lower("t"), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w, F.lit(salt))))
+    # a mark of its own stands for the text, so one pass counts terms and texts
+    marks, at = materialise(texts.select(F.explode(F.concat(words, F.array(F.lit(None).cast("long")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")))
+    n = F.lit(float((marks.where("term IS NULL").first() or {"n_term": 0})["n_term"]))
     mutual = F.log2(F.col("together") * n / (F.col("n_entity") * F.greatest("n_term", "together")))
-    return scored.where(mutual >= alpha * F.log2(n / F.least(F.col("n_entity").cast("double"), n / 2))).select("entity", "term")
+    flagged, _ = materialise(pairs.join(marks, "term").where(mutual >= alpha * F.log2(n / F.least(F.col("n_entity").cast("double"), n / 2))).select("entity", "term"))
+    discard(docs.sparkSession, at)
+    return flagged
+
+
+def find_personal(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> tuple[DataFrame, DataFrame, str]:
+    """Rows (doc_id, text_key, base spans), term spans (text_key, terms) of texts that have any, and the salt of their keys.
+
+    Terms are the words of a whole text outside its base spans, of any length and at any distance from its entities.
+    One that gives an entity away is marked wherever it stands in texts with the entity.
+    """
+    salt = uuid.uuid4().hex
+    rows, _ = materialise(find_base(docs, salt))
+    held = rows.where("text_key IS NOT NULL").dropDuplicates(["text_key"]).select("text_key", "entities", "words")
+    flagged = disclosing(held, docs, salt, alpha, support)
+    given = held.select("text_key", F.explode("entities").alias("entity")).join(flagged, "entity").groupBy("text_key").agg(F.collect_set("term").alias("given"))
+    terms = held.join(given, "text_key").select("text_key", F.transform(F.filter("words", lambda x: F.array_contains("given", x["term"])), lambda x: _spot(x)).alias("terms"))
+    return rows.select("doc_id", "text_key", "base"), terms, salt
 
 
-def find_personal(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """doc_id, text_key, base spans, and term spans (start, end) of every row."""
-    found, _ = materialise(find_base(docs))
-    near, _ = materialise(near_terms(found))
-    flagged = near.join(disclosing(near, docs, alpha, support), ["entity", "term"]).groupBy("text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    # texts without entities have no key, and would meet in one task of a join
-    plain = found.where("text_key IS NULL").select("doc_id", "text_key", "base", none.alias("terms"))
-    return plain.unionByName(found.where("text_key IS NOT NULL").join(flagged, "text_key", "left").select("doc_id", "text_key", "base", F.coalesce("terms", none).alias("terms")))
+_NO_TERMS = "array<struct<start:int,end:int>>"
 
 
 def all_spans(base: Column, terms: Column) -> Column:
@@ -209,49 +223,11 @@ def rendered(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def _blanked(text: Column, spans: Column) -> Column:
-    """The text with spaces in place of all spans (start, end), which are in order."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def add(a: Column, x: Column) -> Column:
-        gap = F.substr(text, a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.concat(a["out"], gap, F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(x["start"], a["at"]), F.lit(0)))).alias("out"))
-
-    return F.aggregate(spans, start, add, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
-
-
-def find_disclosed(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """text_key, base spans and term spans (start, end) of each distinct text with base spans.
-
-    Terms are the words of a whole text, of any length and at any distance from its entities. All counts
-    are of distinct texts. A term that gives an entity away is marked wherever it stands in texts with the entity.
-    """
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    spans = texts.select("t", base_spans(F.col("t")).alias("base")).where(F.size("base") > 0)
-    held, _ = materialise(spans.select(F.sha2("t", 256).alias("text_key"), "t", "base").groupBy("text_key").agg(F.first("t").alias("t"), F.first("base").alias("base")))
-    names = F.array_distinct(F.transform("base", lambda x: F.concat_ws(":", x["kind"].cast("string"), F.lower(x["value"]))))
-    each = held.select("text_key", F.explode(names).alias("entity"))
-    # an entity of fewer texts cannot stand with any term in enough of them
-    often = each.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
-    known, _ = materialise(each.join(often, "entity"))
-    found = held.join(known.select("text_key"), "text_key", "left_semi").select("text_key", located(_blanked(F.col("t"), F.col("base")), _WORD).alias("w"))
-    words, _ = materialise(found.select("text_key", F.transform("w", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lower(x["value"]).alias("term"))).alias("words")))
-    distinct = words.select("text_key", F.array_distinct(F.transform("words", lambda x: x["term"])).alias("terms"))
-    pairs = known.join(distinct, "text_key").select("entity", "n_entity", F.explode("terms").alias("term")).groupBy("entity", "n_entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support)
-    pairs, _ = materialise(pairs)
-    whole = texts.distinct()
-    n = F.lit(float(texts.select(F.sha2("t", 256)).distinct().count()))
-    terms = whole.select(F.explode(F.array_distinct(F.split(F.lower("t"), r"[^\p{L}\p{N}]+"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    mutual = F.log2(F.col("together") * n / (F.col("n_entity") * F.greatest("n_term", "together")))
-    flagged = pairs.join(terms, "term").where(mutual >= alpha * F.log2(n / F.least(F.col("n_entity").cast("double"), n / 2))).select("entity", "term")
-    given = known.join(flagged, "entity").groupBy("text_key").agg(F.collect_set("term").alias("given"))
-    marked = words.join(given, "text_key").select("text_key", F.transform(F.filter("words", lambda x: F.array_contains("given", x["term"])), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("terms"))
-    return held.select("text_key", "base").join(marked, "text_key", "left").select("text_key", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int>>")).alias("terms"))
-
-
 def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """The documents with personal data replaced by its kind, and terms that give it away generalised or removed; other columns and clean texts are unchanged."""
-    spans = find_disclosed(docs, alpha, support).select("text_key", all_spans(F.col("base"), F.col("terms")).alias("spans"))
+    rows, terms, salt = find_personal(docs, alpha, support)
+    held = rows.where("text_key IS NOT NULL").dropDuplicates(["text_key"]).join(terms, "text_key", "left")
+    spans = held.select("text_key", all_spans(F.col("base"), F.coalesce("terms", F.array().cast(_NO_TERMS))).alias("spans"))
     text = F.col("doc.text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -265,7 +241,7 @@ def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> D
     clean = F.aggregate("spans", start, add, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
     # texts without base spans are not looked up, and do not move
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    keyed = whole.withColumn("key", F.when(F.size(base_spans(F.coalesce(text, F.lit("")))) > 0, F.sha2(text, 256)))
+    keyed = whole.withColumn("key", F.when(F.size(base_spans(F.coalesce(text, F.lit("")))) > 0, F.sha2(F.concat(F.lit(salt), text), 256)))
     same = keyed.where("key IS NULL").select("doc.*")
     moved = keyed.where("key IS NOT NULL").join(spans, F.col("key") == F.col("text_key")).select(F.col("doc").withField("text", clean).alias("doc")).select("doc.*")
     return same.unionByName(moved)
@@ -273,7 +249,11 @@ def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> D
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text of documents."""
-    found = find_personal(table(spark, sf_dir, "documents"))
+    rows, terms, _ = find_personal(table(spark, sf_dir, "documents"))
+    # texts without base spans have no key, and would meet in one task of a join
+    none = F.array().cast(_NO_TERMS)
+    held = rows.where("text_key IS NOT NULL").join(terms, "text_key", "left").select("doc_id", "base", F.coalesce("terms", none).alias("terms"))
+    found = rows.where("text_key IS NULL").select("doc_id", "base", none.alias("terms")).unionByName(held)
     counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(PATTERNS)]
     return found.select(
         "doc_id",

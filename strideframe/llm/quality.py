@@ -7,13 +7,17 @@ confidence is divided by the number of all tests (Bonferroni), so that all chose
 together with probability 1 - DELTA. Among the cutoffs that hold, the loosest is taken that separates
 labelled bad rows from good rows nearly as well as the best; a rule without one rejects nothing there.
 
+The bound needs independent votes, so a text has one vote in its stratum, however many copies it has; one that
+is labelled both good and bad votes good.
+
 Defined results: null and empty texts have no words and fail the base rule; a stratum with few labels
-gets no cutoffs; repeated rows count as often as they occur, labels once for each (doc_id, quality);
-extra columns are ignored; texts are read whole, whatever their length.
+gets no cutoffs; repeated rows get equal results and one vote; extra columns are ignored; texts are read whole, whatever their length.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -42,18 +46,19 @@ def words_of(text: Column) -> Column:
 
 
 def signals(docs: DataFrame) -> DataFrame:
-    """doc_id, stratum, the base counts and the signals of every row."""
+    """doc_id, stratum, a hash of the text, the base counts and the signals of every row."""
     subtag = F.regexp_extract(F.lower(F.coalesce(F.col("lang").cast("string"), F.lit(""))), "^([a-z]{2})", 1)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     split = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.when(subtag == "", "other").otherwise(subtag).alias("stratum"),
+        F.xxhash64(text, F.length(text)).alias("text_key"),
         words_of(F.col("text")).alias("w"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
     hashed = split.select(
-        "doc_id", "stratum", "n_symbols",
+        "doc_id", "stratum", "text_key", "n_symbols",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.size("lines").alias("n_lines"),
@@ -79,7 +84,7 @@ def signals(docs: DataFrame) -> DataFrame:
     ).drop("p")
     n = F.greatest(F.col("n_words"), F.lit(1))
     return counted.select(
-        "doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "stratum", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))).alias("symbol_share"),
         (F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))).alias("dup_line_share"),
         (F.col("n_repeat_words") / n).alias("repeat_share"),
@@ -88,21 +93,36 @@ def signals(docs: DataFrame) -> DataFrame:
     )
 
 
-def log_binomial_cdf(k: str, n: str, p: str) -> Column:
-    """Logarithm of P(X <= k) for X ~ Binomial(n, p), summed exactly in logarithms, term by term."""
-    return F.expr(
-        f"aggregate(CASE WHEN {k} >= 1 THEN sequence(1L, {k}) ELSE array() END, "
-        f"named_struct('t', {n} * ln(1 - {p}), 's', {n} * ln(1 - {p})), "
-        f"(a, i) -> named_struct('t', a.t + ln(({n} - i + 1) / CAST(i AS DOUBLE)) + ln({p} / (1 - {p})), "
-        f"'s', greatest(a.s, a.t + ln(({n} - i + 1) / CAST(i AS DOUBLE)) + ln({p} / (1 - {p}))) "
-        f"+ log1p(exp(-abs(a.s - (a.t + ln(({n} - i + 1) / CAST(i AS DOUBLE)) + ln({p} / (1 - {p}))))))), a -> a.s)"
-    )
+def _log_gamma(x: Column) -> Column:
+    """Stirling's series at x + 8, where five terms are exact to the last bits of a double; x is 1 or more."""
+    y = x + 8
+    tail = 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7)) + 1 / (1188 * F.pow(y, 9))
+    return (y - 0.5) * F.log(y) - y + math.log(2 * math.pi) / 2 + tail - sum((F.log(x + i) for i in range(1, 8)), F.log(x))
+
+
+def log_binomial_cdf(k: Column, n: Column, p: float) -> Column:
+    """Logarithm of P(X <= k) for X ~ Binomial(n, p), k below n * p.
+
+    Terms are added in multiples of the largest, that of k. Those over twelve deviations below are left out: together
+    they are less than the last bit of the sum. So the work grows with the root of n.
+    """
+    n = n.cast("double")
+    top = _log_gamma(n + 1) - _log_gamma(k + 1.0) - _log_gamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p)
+    steps = F.sequence(F.lit(0), F.least(k, F.ceil(12 * F.sqrt(n * p)) + 50).cast("int"))
+    zero = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s"))
+
+    def add(a: Column, j: Column) -> Column:
+        below = a["t"] * (k - j) * (1 - p) / ((n - k + j + 1) * p)
+        return F.struct(below.alias("t"), (a["s"] + a["t"]).alias("s"))
+
+    return top + F.log(F.aggregate(steps, zero, add, lambda a: a["s"]))
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """stratum and the cutoff of each rule, null where none holds. At most 677 rows: two letters, or other."""
     marks = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
-    labelled = measured.join(marks, "doc_id").select(
+    votes = measured.join(marks, "doc_id").groupBy("stratum", "text_key").agg(F.max("quality").alias("quality"), *[F.max(r).alias(r) for r in RULES])
+    labelled = votes.select(
         "stratum",
         "quality",
         F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), sum((F.col(r) > c).cast("int") for c in grid).alias("above")) for r, grid in RULES.items()])).alias("x"),
@@ -119,8 +139,8 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     tests = max(1, strata * sum(map(len, RULES.values())))
     p = alpha / len(RULES)
     # cutoffs that no labelled row exceeds are not tested: they would reject nothing
-    each = tested.where("step > 0").join(whole, ["stratum", "rule"]).select("*", F.lit(p).alias("p")).where("good < n * p")
-    held = each.where(log_binomial_cdf("good", "n", "p") <= F.log(F.lit(delta / tests)))
+    each = tested.where("step > 0").join(whole, ["stratum", "rule"]).where(F.col("good") < F.col("n") * p)
+    held = each.where(log_binomial_cdf(F.col("good"), F.col("n"), p) <= F.log(F.lit(delta / tests)))
     gain = F.col("bad") / F.greatest(F.col("n_bad"), F.lit(1)) - CAUTION * F.col("good") / F.col("n")
     grid = F.create_map(*[x for r, g in RULES.items() for x in (F.lit(r), F.array(*map(F.lit, g)))])
     best = held.select("stratum", "rule", F.element_at(F.element_at(grid, F.col("rule")), F.col("step")).alias("cutoff"), gain.alias("gain")).where(F.col("gain") >= LEAST_GAIN)

@@ -9,26 +9,41 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset, as in tests, a local one."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a local one on a local master, as in tests; a cluster must name one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def _path(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def materialise(df: DataFrame) -> tuple[DataFrame, str]:
-    """The table written and read again, and its path. A lost executor costs the tasks that it had, not the history."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    """The table written and read again, and its path. A lost executor costs the tasks that it had, not the history.
+
+    Whoever makes a table discards it when nothing reads it any more; one that a returned DataFrame still reads goes
+    when the driver ends.
+    """
+    spark = df.sparkSession
+    at = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    fs, path = _path(spark, at)
+    df.write.parquet(at)
+    fs.deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(at), at
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete tables that nothing reads any more."""
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    for at in paths:
+        fs, path = _path(spark, at)
+        fs.delete(path, True)
+        fs.cancelDeleteOnExit(path)
 
 
 def release(spark: SparkSession) -> None:
