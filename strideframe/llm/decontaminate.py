@@ -1,121 +1,146 @@
 """Benchmark decontamination by suffix arrays of the training text.
 
-Every slice of documents is a shard. A shard's word suffixes are sorted to a prefix of ten words
-(only those suffixes whose first two words occur together in the benchmark: no other suffix can hold
-a window). Every benchmark suffix is binary-searched in the shard; the interval that it bounds holds
-all verbatim places. Matches that continue each other on one diagonal join to the longest matches.
+A few megabytes of documents are a shard, and each shard gets a suffix array over all its words; every
+document ends in a separator of its own, so that no match crosses it. Every benchmark suffix is searched in
+every shard: word by word, two binary searches narrow the interval of suffixes that begin with it. An interval
+that is left at the depth of a window holds all verbatim places, and places that continue each other on one
+diagonal are the longest matches.
 
-The benchmark goes to the executors in blocks of a checked size, so its size is bounded whatever it
-holds; with more than one block the places of the blocks are joined for each document.
+The benchmark goes out in blocks of a bounded size, one broadcast each. Neither the driver nor a task ever holds
+more than one of them, and a shard's suffix array serves them all.
 
 Defined results: null and empty texts have no words and are clean; an item without words is never
-found; an empty benchmark leaves all documents clean; repeated items each count; extra columns are ignored.
+found; an empty benchmark leaves all documents clean; items with one item_id are one item; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm._common import map_texts, table
-from strideframe.llm.words import alnum_words, hashes, mix
+from strideframe.llm._common import bound_batches, slices, table
+from strideframe.llm.words import alnum_words, hashes
 
 WINDOW = 10
-#: Benchmark text in one block, which each executor holds.
-BLOCK_BYTES = 16 << 20
-_FILTER_BITS = 20
+#: Benchmark text in one block, of which each task holds one at a time, and training text in one shard.
+BLOCK_BYTES, SHARD_BYTES = 16 << 20, 4 << 20
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """The order of all suffixes of small integers, of which the last stands nowhere else: by two symbols, then twice as many each round."""
+    n = len(text)
+    if n < 2:
+        return np.arange(n)
+    key = text.astype(np.int64) * (int(text.max()) + 1)
+    key[:-1] += text[1:]
+    rows, rank, ahead = np.arange(n), np.zeros(n, np.int64), 2
+    while len(rows):
+        order = np.argsort(key)
+        rows, key = rows[order], key[order]
+        old = rank[rows]
+        head = np.concatenate([[True], key[1:] != key[:-1]])
+        place = np.arange(len(rows))
+        # a rank is the place of the first suffix that shares it
+        group = np.maximum.accumulate(np.where(np.concatenate([[True], old[1:] != old[:-1]]), place, 0))
+        rank[rows] = old + np.maximum.accumulate(np.where(head, place, 0)) - group
+        rows = rows[~(head & np.concatenate([head[1:], [True]]))]
+        key = rank[rows] * (n + 1) + rank[np.minimum(rows + ahead, n - 1)]
+        ahead *= 2
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out
 
 
-class TestSuffixes:
-    """The benchmark's windows as rows of word hashes, grouped by their length."""
+class Tests:
+    """The benchmark suffixes of a block: all words, and where the item of each ends."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        self.window = window
-        by_length: dict[int, list[tuple[np.ndarray, int, int]]] = {}
+        each = [hashes(alnum_words(t)) for _, t in items]
+        sizes = np.array([len(h) for h in each], np.int64)
         self.ids = [str(i) for i, _ in items]
-        for k, (_, text) in enumerate(items):
-            h = hashes(alnum_words(text))
-            n = min(window, len(h))
-            for at in range(len(h) - n + 1 if n else 0):
-                by_length.setdefault(n, []).append((h[at : at + n], k, at))
-        self.groups = {
-            n: (np.array([x[0] for x in rows], np.uint64).reshape(-1, n), np.array([x[1] for x in rows]), np.array([x[2] for x in rows]))
-            for n, rows in by_length.items()
-        }
-        self.pairs = np.unique(np.concatenate([pair(w[:, 0], w[:, 1]) for n, (w, _, _) in self.groups.items() if n > 1] or [np.empty(0, np.uint64)]))
-        self.singles = np.unique(self.groups[1][0][:, 0]) if 1 in self.groups else np.empty(0, np.uint64)
-        self.may = np.zeros(1 << _FILTER_BITS, bool)
-        self.may[self.pairs >> np.uint64(64 - _FILTER_BITS)] = True
-
-
-def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * np.uint64(3) + (b ^ (b >> np.uint64(17))))
-
-
-def member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Whether each value is in a sorted array."""
-    if not len(of):
-        return np.zeros(len(values), bool)
-    return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
-
-
-def suffix_array(words: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The given suffixes in the order of their first ``depth`` words, and those words; past the end come zeros."""
-    padded = np.concatenate([words, np.zeros(depth, np.uint64)])
-    prefix = padded[places[:, None] + np.arange(depth)]
-    order = np.lexsort(prefix.T[::-1])
-    return places[order], prefix[order]
-
-
-def search(prefix: np.ndarray, tests: np.ndarray, upper: bool) -> np.ndarray:
-    """Where each test suffix would go in the sorted prefixes; ``upper``: behind those that begin with it."""
-    n = tests.shape[1]
-    lo, hi = np.zeros(len(tests), np.int64), np.full(len(tests), len(prefix), np.int64)
-    rows = np.arange(len(tests))
-    while (open_ := lo < hi).any():
-        mid = (lo + hi) // 2
-        there = prefix[np.minimum(mid, len(prefix) - 1), :n]
-        differs = there != tests
-        first = differs.argmax(1)
-        same = ~differs.any(1)
-        right = np.where(same, upper, there[rows, first] < tests[rows, first])
-        lo = np.where(open_ & right, mid + 1, lo)
-        hi = np.where(open_ & ~right, mid, hi)
-    return lo
-
-
-def matches(words: np.ndarray, bounds: np.ndarray, tests: TestSuffixes) -> np.ndarray:
-    """Rows (place, length, item, place in item) of every window that occurs in the shard.
-
-    bounds: ends of the documents, as places in ``words``.
-    """
-    n = len(words)
-    found = [np.empty((0, 4), np.int64)]
-    if n and tests.groups:
-        key = pair(words[:-1], words[1:])
-        near = np.flatnonzero(tests.may[key >> np.uint64(64 - _FILTER_BITS)])
-        near = near[member(key[near], tests.pairs)]
-        places = np.union1d(near, np.flatnonzero(member(words, tests.singles))) if len(tests.singles) else near
-        sa, prefix = suffix_array(words, places, tests.window)
-        left = bounds[np.searchsorted(bounds, sa, side="right")] - sa  # words up to the document's end
-        firsts = np.unique(prefix[:, 0])
-        for length, (rows, item, at) in tests.groups.items():
-            if not len(sa):
-                break
-            use = np.flatnonzero(member(rows[:, 0], firsts))
-            lo, hi = search(prefix, rows[use], False), search(prefix, rows[use], True)
-            count = hi - lo
-            use, lo, count = use[count > 0], lo[count > 0], count[count > 0]
-            if len(use):
-                inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-                test = np.repeat(use, count)
-                keep = left[inside] >= length
-                found.append(np.stack([sa[inside], np.full(len(inside), length), item[test], at[test]], 1)[keep])
-    return np.concatenate(found)
+        self.words = np.concatenate([np.empty(0, np.uint64), *each])
+        self.item = np.repeat(np.arange(len(items)), sizes)
+        begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.at = np.arange(len(self.words)) - begin
+        #: words that a suffix must match: a window, or the whole of a shorter item
+        self.need = np.minimum(window, np.repeat(sizes, sizes))
+        self.use = np.flatnonzero(np.repeat(sizes, sizes) - self.at >= self.need)
+
+
+class Shard:
+    """Documents with the suffix array of their words."""
+
+    def __init__(self, texts: list[str | None]):
+        split = [alnum_words(t) for t in texts]
+        self.counts = np.array([len(w) for w in split], np.int64)
+        flat = hashes([w for doc in split for w in doc])
+        number, known = pd.factorize(flat)
+        order = np.argsort(known)
+        self.known, code = known[order], np.argsort(order)[number]
+        #: places of the separators, which are the least symbols
+        self.ends = np.cumsum(self.counts + 1) - 1
+        self.text = np.empty(len(flat) + len(split), np.int64)
+        word = np.ones(len(self.text), bool)
+        word[self.ends] = False
+        self.text[self.ends] = np.arange(len(split))
+        self.text[word] = code + len(split)
+        self.sa = suffix_array(self.text)
+
+    def narrow(self, lo: np.ndarray, hi: np.ndarray, depth: int, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The part of each interval whose suffixes have a symbol at a depth, by two binary searches."""
+        out = []
+        for upper in (False, True):
+            a, b = lo.copy(), hi.copy()
+            while (open_ := a < b).any():
+                mid = (a + b) >> 1
+                # an interval's suffixes have `depth` words in common, so none of them ends before
+                there = self.text[self.sa[np.minimum(mid, len(self.sa) - 1)] + depth * open_]
+                right = (there <= symbol) if upper else (there < symbol)
+                a = np.where(open_ & right, mid + 1, a)
+                b = np.where(open_ & ~right, mid, b)
+            out.append(a)
+        return out[0], out[1]
+
+    def matches(self, tests: Tests) -> np.ndarray:
+        """Rows (place, length, item, place in item) of every window of the tests that occurs here."""
+        found = [np.empty((0, 4), np.int64)]
+        if len(self.known) and len(tests.use):
+            near = np.minimum(np.searchsorted(self.known, tests.words), len(self.known) - 1)
+            symbol = np.where(self.known[near] == tests.words, near + len(self.counts), -1)
+            use = tests.use
+            lo, hi = np.zeros(len(use), np.int64), np.full(len(use), len(self.sa))
+            for depth in range(int(tests.need[use].max())):
+                lo, hi = self.narrow(lo, hi, depth, symbol[use + depth])
+                some = lo < hi
+                use, lo, hi = use[some], lo[some], hi[some]
+                done = tests.need[use] == depth + 1
+                if done.any():
+                    test, first, count = use[done], lo[done], (hi - lo)[done]
+                    inside = np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
+                    test = np.repeat(test, count)
+                    found.append(np.stack([self.sa[inside], tests.need[test], tests.item[test], tests.at[test]], 1))
+                    use, lo, hi = use[~done], lo[~done], hi[~done]
+                if not len(use):
+                    break
+        return np.concatenate(found)
+
+    def places(self, blocks: Iterator[Tests]) -> list[list[dict]]:
+        """The longest verbatim matches of each document, over all blocks of tests."""
+        each: list[list[dict]] = [[] for _ in self.counts]
+        for tests in blocks:
+            got = longest(self.matches(tests))
+            of = np.searchsorted(self.ends, got[:, 0])
+            begin = self.ends - self.counts
+            for d, (place, length, item, at) in zip(of.tolist(), got.tolist()):
+                each[d].append({"word": place - int(begin[d]), "length": length, "item": tests.ids[item], "item_word": at})
+        return each
 
 
 def longest(rows: np.ndarray) -> np.ndarray:
@@ -135,52 +160,59 @@ _PLACE = pa.list_(pa.struct([("word", pa.int64()), ("length", pa.int64()), ("ite
 _PLACES = "array<struct<word:long,length:long,item:string,item_word:long>>"
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, str | None]]]:
-    """The benchmark in blocks of about ``block_bytes``, each read by itself."""
+def broadcast_tests(benchmark: DataFrame, window: int, block_bytes: int) -> list[Broadcast]:
+    """The benchmark in blocks of about ``block_bytes`` of text; the driver reads one, sends it out and forgets it."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
     total = int(items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0)
     n = max(1, -(-total // block_bytes))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[tuple(r) for r in (items.where(block == k) if n > 1 else items).collect()] for k in range(n)]
+    return [spark.sparkContext.broadcast(Tests([tuple(r) for r in (items.where(block == k) if n > 1 else items).toLocalIterator()], window)) for k in range(n)]
 
 
-def places_in(texts: list[str | None], tests: TestSuffixes) -> tuple[list[int], list[list[dict]]]:
-    """Words, and the longest verbatim matches, of each text; the texts are one shard."""
-    split = [alnum_words(t) for t in texts]
-    counts = np.array([len(w) for w in split], np.int64)
-    bounds = np.cumsum(counts)
-    got = longest(matches(hashes([w for doc in split for w in doc]), bounds, tests))
-    each: list[list[dict]] = [[] for _ in split]
-    for d, (place, length, item, at) in zip(np.searchsorted(bounds, got[:, 0], side="right").tolist(), got.tolist()):
-        each[d].append({"word": place - int(bounds[d] - counts[d]), "length": length, "item": tests.ids[item], "item_word": at})
-    return counts.tolist(), each
+def _each(blocks: list[Broadcast]) -> Iterator[Tests]:
+    """One block after the other; with several, each is let go before the next is loaded."""
+    for block in blocks:
+        yield block.value
+        if len(blocks) > 1:
+            del block._value
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words and the longest verbatim matches (word, length, item, item_word) of each document.
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with about SHARD_BYTES of text."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, limit=SHARD_BYTES):
+            if held and size + part.column("text").nbytes > SHARD_BYTES:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += part.column("text").nbytes
+    if held:
+        yield pa.concat_batches(held)
 
-    The benchmark is read in blocks of about ``block_bytes`` of text; each block goes over all documents,
-    one map step behind the other, without a shuffle.
-    """
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("array()").cast(_PLACES).alias("places"))
-    blocks = _blocks(benchmark, block_bytes)
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
 
-        def rows(block=block, last=last):
-            tests = TestSuffixes(block, window)
+def map_shards(docs: DataFrame, benchmark: DataFrame, rows: Callable[[pa.RecordBatch, np.ndarray, list[list[dict]]], pa.RecordBatch], schema: str, window: int, block_bytes: int) -> DataFrame:
+    """What ``rows`` makes of each shard, the words of its documents and their matches."""
+    blocks = broadcast_tests(benchmark, window, block_bytes)
 
-            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-                counts, found = places_in(batch.column("text").to_pylist(), tests)
-                if len(blocks) > 1:
-                    found = [old + new for old, new in zip(batch.column("places").to_pylist(), found)]
-                keep = [] if last else [batch.column("text")]
-                return pa.RecordBatch.from_arrays([batch.column("doc_id"), *keep, pa.array(counts, pa.int64()), pa.array(found, _PLACE)], ["doc_id", *["text"] * len(keep), "n_words", "places"])
+    def run(batches):
+        for part in _shards(batches):
+            shard = Shard(part.column("text").to_pylist())
+            yield rows(part, shard.counts, shard.places(_each(blocks)))
 
-            return step
+    bound_batches(docs.sparkSession)
+    return docs.mapInArrow(run, schema)
 
-        out = map_texts(out, rows, f"doc_id long, {'' if last else 'text string, '}n_words long, places {_PLACES}")
-    return out
+
+def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words and the longest verbatim matches (word, length, item, item_word) of each document."""
+
+    def rows(part: pa.RecordBatch, counts: np.ndarray, found: list[list[dict]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), pa.array(found, _PLACE)], ["doc_id", "n_words", "places"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_shards(own, benchmark, rows, f"doc_id long, n_words long, places {_PLACES}", window, block_bytes)
 
 
 def summarise(found: DataFrame) -> DataFrame:
@@ -212,11 +244,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without those that hold a benchmark window; their columns are unchanged."""
-    for block in _blocks(benchmark, block_bytes):
 
-        def rows(block=block):
-            tests = TestSuffixes(block, window)
-            return lambda batch: batch.filter(pa.array([not p for p in places_in(batch.column("text").to_pylist(), tests)[1]], pa.bool_()))
+    def rows(part: pa.RecordBatch, counts: np.ndarray, found: list[list[dict]]) -> pa.RecordBatch:
+        return part.filter(pa.array([not p for p in found], pa.bool_()))
 
-        docs = map_texts(docs, rows, docs.schema)
-    return docs
+    return map_shards(docs, benchmark, rows, docs.schema, window, block_bytes)
