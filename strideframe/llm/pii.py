@@ -247,9 +247,9 @@ def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> D
     return same.unionByName(moved)
 
 
-def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in every whole text of documents."""
-    rows, terms, _ = find_personal(table(spark, sf_dir, "documents"))
+def report(docs: DataFrame) -> DataFrame:
+    """doc_id, how many spans of each base kind every text has, the digest of these, and all spans."""
+    rows, terms, _ = find_personal(docs)
     # texts without base spans have no key, and would meet in one task of a join
     none = F.array().cast(_NO_TERMS)
     held = rows.where("text_key IS NOT NULL").join(terms, "text_key", "left").select("doc_id", "base", F.coalesce("terms", none).alias("terms"))
@@ -263,5 +263,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text of documents."""
+    return report(table(spark, sf_dir, "documents"))
+
+
 def _of_kind(k: int):
     return lambda x: x["kind"] == k

@@ -1,15 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Small transducers rewrite a clause's stream of word classes one behind the other: negation marks
-what it negates, reported speech marks what is quoted, target marks what is aimed at someone. They
-are composed into one machine over (insult, threat, target, negation, speech, other) that emits
-weighted symbols; a clause is scored by what the machine emits on its path, not by isolated words.
+A lexicon gives each word of a clause a class, and the learned insults a weight. Small transducers rewrite that
+stream one behind the other: threat turns a violent verb behind an intention into a threat, negation marks what it
+negates, reported speech marks what is quoted, target marks what is aimed at someone, before it or behind it. They
+are composed into one machine, whose arcs carry weights in logarithms of odds. A clause is scored by the weights on
+its path; a text by its best clause, the sum of its clauses and how many of them match.
 
-The insult and threat words, given as words and as word beginnings, and the weights of the symbols
-are learned from a bounded sample of at most about ``MAX_ROWS`` labelled rows.
+Everything is learned from a bounded sample of at most about ``MAX_ROWS`` labelled rows: the insults, as words and
+as word beginnings, with their weights; the weights of the contexts, which begin at ``PRIOR`` and move as far as
+the sample speaks; and how the clauses of a text add up.
 
 Defined results: null and empty texts get the score of a text in which nothing matches; without
-usable labels that is 0; repeated rows give repeated results; extra columns are ignored.
+usable labels that is near 0; repeated rows give repeated results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,14 +36,22 @@ MIN_TOXIC, MIN_SHARE, MIN_LIFT = 10, 0.01, 25.0
 HINT_SHARE, HINT_LIFT = 0.02, 4.0
 PREFIXES = (4, 5, 6, 7, 8)
 #: Closed classes of the grammar, in the four languages of the data.
-TARGETS = "you your yours he she they him her them we us tu vous toi il elle ils usted ustedes ella ellos du ihr sie er".split()
-NEGATIONS = "not no never without isn't aren't wasn't ne pas jamais sans nunca jamás sin nicht kein keine nie ohne".split()
-SPEECH = "said says say told wrote claimed reported quoted dit dite dijo dice escribió sagte sagt schrieb".split()
-THREATS = "kill killing hurt destroy murder beat tuer frapper matar golpear töten schlagen".split()
-CLASSES = ("insult", "hint", "threat", "target", "negation", "speech", "other")
-MARKED = ("insult", "hint", "threat")
-CLAUSE = re.compile(r"[.!?;:\n]+")
-_CLOSED = {w: c for c, words in (("target", TARGETS), ("negation", NEGATIONS), ("speech", SPEECH), ("threat", THREATS)) for w in words}
+TARGETS = "you your yours he she they him her them we us tu te vous toi il elle ils usted ustedes ella ellos du dich ihr euch sie er".split()
+NEGATIONS = "not no never without isn't aren't wasn't weren't don't doesn't didn't won't ain't ne pas jamais sans nunca jamás sin nicht kein keine nie ohne".split()
+SPEECH = "said says say told wrote writes claimed reported quoted dit dite dijo dice escribió sagte sagt schrieb".split()
+INTENTS = "will shall gonna i'll we'll i'm want vais veux voy quiero werde werden will".split()
+VIOLENCE = "kill killing hurt destroy murder beat tuer frapper matar golpear töten schlagen".split()
+_CLOSED = {w: c for c, words in (("target", TARGETS), ("negation", NEGATIONS), ("speech", SPEECH), ("intent", INTENTS), ("violence", VIOLENCE)) for w in words}
+CLASSES = ("insult", "hint", "violence", "intent", "target", "negation", "speech", "other")
+#: What contexts can mark, and the odds that contexts add before anything is learned.
+MARKED = ("insult", "hint", "violence", "threat")
+PRIOR = {"violence": 0.5, "threat": 2.0, "negated": -6.5, "reported": -5.5, "aimed": 1.0, "addressed": 4.0}
+#: Rows of the sample that weigh as much as a prior, and bounds of a weight.
+TRUST, MOST = 50, 7.0
+#: Odds of a text beyond which more of them say no more.
+ENOUGH = 10.0
+CLAUSE = re.compile(r"[.!?;\n]+")
+WORD = re.compile(r"[^\W_]+(?:['\u2019][^\W_]+)*")
 
 
 class Transducer:
@@ -75,94 +85,142 @@ class Transducer:
         return out
 
 
-def marker(cause: str, span: int, mark: str, alphabet: list[str]) -> Transducer:
-    """Within ``span`` words behind ``cause``, insults and threats carry ``mark``."""
+def _kind(symbol: str) -> str:
+    return symbol.split("+")[0]
+
+
+def emitted(machine: Transducer) -> list[str]:
+    """All symbols that a machine can emit."""
+    return sorted({out for _, out, _ in machine.arcs.values()})
+
+
+def threat(alphabet: list[str], weights: dict[str, float], span: int = 4) -> Transducer:
+    """Within ``span`` words behind an intention a violent verb is a threat."""
     arcs = {}
     for state, s in product(range(span + 1), alphabet):
-        if s == cause:
-            arcs[state, s] = (span, s, 0.0)
-        else:
-            hit = state and s.split("+")[0] in MARKED
-            arcs[state, s] = (max(0, state - 1), f"{s}+{mark}" if hit else s, 0.0)
+        left = span if s == "intent" else max(0, state - 1)
+        out = "threat" if s == "violence" and state else s
+        arcs[state, s] = (left, out, weights.get(out, 0.0) if s == "violence" else 0.0)
     return Transducer(arcs)
 
 
-def _marked(alphabet: list[str], mark: str) -> list[str]:
-    return alphabet + [f"{s}+{mark}" for s in alphabet if s.split("+")[0] in MARKED]
+def marker(cause: str, span: int, mark: str, alphabet: list[str], weights: dict[str, float]) -> Transducer:
+    """Within ``span`` words behind ``cause``, what can be marked carries ``mark`` and its weight."""
+    arcs = {}
+    for state, s in product(range(span + 1), alphabet):
+        if _kind(s) == cause:
+            arcs[state, s] = (span, s, 0.0)
+        else:
+            hit = bool(state) and _kind(s) in MARKED
+            arcs[state, s] = (max(0, state - 1), f"{s}+{mark}" if hit else s, weights[mark] if hit else 0.0)
+    return Transducer(arcs)
 
 
-def grammar() -> tuple[Transducer, list[str]]:
-    """The composed machine, and the symbols that count as matches."""
-    alphabet = list(CLASSES)
-    machine = marker("negation", 3, "negated", alphabet)
-    alphabet = _marked(alphabet, "negated")
-    machine = machine.compose(marker("speech", 8, "reported", alphabet))
-    alphabet = _marked(alphabet, "reported")
-    machine = machine.compose(marker("target", 4, "aimed", alphabet))
-    alphabet = _marked(alphabet, "aimed")
-    return machine, [s for s in alphabet if s.split("+")[0] in MARKED]
+def target(alphabet: list[str], weights: dict[str, float], before: int = 4, behind: int = 3) -> Transducer:
+    """What can be marked is aimed if someone stands before it; someone is addressed if it stands before them, unless negated or reported."""
+    arcs = {}
+    states = list(product(range(before + 1), range(behind + 1)))
+    for (i, (a, b)), s in product(enumerate(states), alphabet):
+        na, nb, out, weight = max(0, a - 1), max(0, b - 1), s, 0.0
+        if _kind(s) in MARKED:
+            if a:
+                out, weight = f"{s}+aimed", weights["aimed"]
+            nb = behind if "+" not in s else 0
+        elif s == "target":
+            if b:
+                out, weight, nb = "target+addressed", weights["addressed"], 0
+            na = before
+        arcs[i, s] = (states.index((na, nb)), out, weight)
+    return Transducer(arcs)
 
 
-_MACHINE, SYMBOLS = grammar()
-_COLUMN = {s: i for i, s in enumerate(SYMBOLS)}
+def grammar(weights: dict[str, float] = PRIOR) -> Transducer:
+    """The composed machine with the weights of its contexts on its arcs."""
+    machine = threat(list(CLASSES), weights)
+    machine = machine.compose(marker("negation", 3, "negated", emitted(machine), weights))
+    machine = machine.compose(marker("speech", 8, "reported", emitted(machine), weights))
+    return machine.compose(target(emitted(machine), weights))
 
 
 class Grammar:
-    """Learned words, word beginnings and symbol weights."""
+    """The learned lexicon, the weighted machine, and how clauses add up to a text."""
 
-    def __init__(self, words: list[str], beginnings: list[str], hints: list[str], hint_rate: float):
+    def __init__(self, words: dict[str, float], beginnings: dict[str, float], hints: dict[str, float], other: float = 0.0, contexts: dict[str, float] = PRIOR, coefficients: tuple = (1.0, 0.0, 0.0), bias: float = -4.0):
         import ahocorasick
 
-        self.words, self.beginnings, self.hints, self.hint_rate = frozenset(words), tuple(beginnings), tuple(hints), hint_rate
-        self.weights, self.bias = np.zeros(len(SYMBOLS) + 1), -50.0
+        self.words, self.beginnings, self.hints, self.other, self.contexts = dict(words), dict(beginnings), dict(hints), other, dict(contexts)
+        self.coefficients, self.bias = np.array(coefficients), bias
+        self.machine = grammar(self.contexts)
+        self._beginnings, self._hints = tuple(beginnings), tuple(hints)
         self._finder = ahocorasick.Automaton()
-        for t in [f" {w} " for w in {*words, *THREATS}] + [f" {p}" for p in (*beginnings, *hints)]:
+        for t in [f" {w} " for w in {*words, *VIOLENCE}] + [f" {p}" for p in (*beginnings, *hints)]:
             self._finder.add_word(t, t)
         self._finder.make_automaton()
 
-    def __getstate__(self):
-        return {"terms": (sorted(self.words), self.beginnings, self.hints, self.hint_rate), "weights": self.weights, "bias": self.bias}
-
-    def __setstate__(self, d):
-        self.__init__(*d["terms"])
-        self.weights, self.bias = d["weights"], d["bias"]
-
-    def class_of(self, word: str) -> str:
-        if word in self.words or word.startswith(self.beginnings):
-            return "insult"
-        return "hint" if word.startswith(self.hints) else _CLOSED.get(word, "other")
+    def __reduce__(self):
+        return Grammar, (self.words, self.beginnings, self.hints, self.other, self.contexts, tuple(self.coefficients.tolist()), self.bias)
+
+    def arc(self, word: str) -> tuple[str, float]:
+        """The lexicon's arc for a word: its class and weight."""
+        if word in self.words:
+            return "insult", self.words[word]
+        for kind, prefixes, of in (("insult", self._beginnings, self.beginnings), ("hint", self._hints, self.hints)):
+            if word.startswith(prefixes):
+                return kind, max(w for p, w in of.items() if word.startswith(p))
+        return _CLOSED.get(word, "other"), 0.0
+
+    def clauses(self, text: str) -> list[list[tuple[str, float]]]:
+        """For each clause with a match: what the machine emits, with the weights of the path."""
+        out = []
+        for clause in CLAUSE.split(text.lower().replace("\u2019", "'")):
+            words: list[str] = []
+            for w in WORD.findall(clause):
+                words += [w] if w in _CLOSED else w.split("'")
+            arcs = [self.arc(w) for w in words]
+            if any(c in MARKED for c, _ in arcs):
+                out.append([(o, w + v) for (_, v), (o, w) in zip(arcs, self.machine.run([c for c, _ in arcs]))])
+        return out
 
     def features(self, text: str | None) -> np.ndarray:
-        """How often the machine emits each symbol over all clauses of the whole text, in logarithms; last, how far the hints exceed what so many clean words have."""
-        out = np.zeros(len(SYMBOLS) + 1)
+        """The best clause, the sum over all words, both within bounds, and the logarithm of how many clauses speak against the text."""
         words = alnum_words(text)
         joined = b" ".join([b"", *words, b""]).decode("utf-8", "replace")
-        if next(self._finder.iter(joined), None) is None:
-            return out  # no clause can match
-        for clause in CLAUSE.split(text):
-            classes = [self.class_of(w.decode("utf-8", "replace")) for w in alnum_words(clause)]
-            if not {*MARKED}.isdisjoint(classes):
-                for symbol, _ in _MACHINE.run(classes):
-                    if symbol in _COLUMN:
-                        out[_COLUMN[symbol]] += 1
-        hints = sum(out[i] for s, i in _COLUMN.items() if s.startswith("hint"))
-        out = np.log1p(out)
-        out[-1] = max(0.0, np.log((hints + 0.5) / (self.hint_rate * len(words) + 0.5)))
-        return out
+        paths = self.clauses(text) if next(self._finder.iter(joined), None) is not None else []
+        matched = [[(o, w) for o, w in path if w] for path in paths]
+        scores = [sum(w for _, w in path) for path in matched]
+        plain = max(0, len(words) - sum(map(len, matched)))
+        total = sum(scores) + self.other * plain
+        against = sum(s > 0 for s in scores)
+        return np.array([min(ENOUGH, max([0.0, *scores])), max(-ENOUGH, min(ENOUGH, total)), np.log1p(against)])
 
     def score(self, text: str | None) -> float:
-        z = float(self.features(text) @ self.weights + self.bias)
+        z = float(self.features(text) @ self.coefficients + self.bias)
         return 1 / (1 + np.exp(-max(-60.0, min(60.0, z))))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> None:
-        """Logistic regression with weights that cannot be negative: a match never speaks for a text."""
-        w, b = np.full(x.shape[1], 1.0), -2.0
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 3000, rate: float = 0.05, ridge: float = 1e-3) -> None:
+        """Logistic regression on features of one scale, with coefficients that cannot be negative: a match never speaks for a text."""
+        scale = np.maximum(np.abs(x).max(0), 1e-9)
+        w, b = np.ones(x.shape[1]), -2.0
+        m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
         balance = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-        for _ in range(steps):
-            e = (1 / (1 + np.exp(-np.clip(x @ w + b, -60, 60))) - y) * balance
-            w = np.maximum(w - rate * 4 * (x.T @ e + ridge * w), 0)
-            b -= rate * 4 * e.sum()
-        self.weights, self.bias = w, b
+        for t in range(1, steps + 1):
+            e = (1 / (1 + np.exp(-np.clip(x / scale @ w + b, -60, 60))) - y) * balance
+            g = np.append((x / scale).T @ e + ridge * w, e.sum())
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+            w, b = np.maximum(w - step[:-1], 0), b - step[-1]
+        self.coefficients, self.bias = w / scale, float(b)
+
+
+def context_weights(toxic: Counter, clean: Counter) -> dict[str, float]:
+    """The odds that each context adds: from how often what can be marked stands in it, drawn to the prior."""
+    out = dict(PRIOR)
+    n_toxic, n_clean = (sum(c for s, c in seen.items() if _kind(s) in MARKED) for seen in (toxic, clean))
+    for mark in ("negated", "reported", "aimed"):
+        t, c = (sum(k for s, k in seen.items() if mark in s.split("+")) for seen in (toxic, clean))
+        odds = np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1))
+        out[mark] = float(np.clip((odds * (t + c) + PRIOR[mark] * TRUST) / (t + c + TRUST), -MOST, MOST))
+    return out
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -218,30 +276,50 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Gramm
     def lift(r, a: str, b: str) -> float:
         return (r[a] + 0.5) / (total[a] + 1) / ((r[b] + 0.5) / (total[b] + 1))
 
-    strong = {r["term"] for r in rows if r["term"] and r["toxic"] >= MIN_SHARE * total["toxic"] and lift(r, "toxic", "clean") >= MIN_LIFT}
+    of = {r["term"]: r for r in rows}
+    strong = {t for t, r in of.items() if t and r["toxic"] >= MIN_SHARE * total["toxic"] and lift(r, "toxic", "clean") >= MIN_LIFT}
     words = {t for t in strong if not t.endswith("*")}
     beginnings: list[str] = []
     for p in sorted((t[:-1] for t in strong if t.endswith("*")), key=lambda t: (len(t), t)):
         if not p.startswith(tuple(beginnings)) and sum(w.startswith(p) for w in words) != 1:
             beginnings.append(p)
     words = {w for w in words if not w.startswith(tuple(beginnings))}
-    weak = {r["term"][:-1]: r["in_clean"] for r in rows if r["term"].endswith("*") and r["toxic"] >= HINT_SHARE * total["toxic"] and lift(r, "in_toxic", "in_clean") >= HINT_LIFT}
+    weak = {t[:-1] for t, r in of.items() if t.endswith("*") and r["toxic"] >= HINT_SHARE * total["toxic"] and lift(r, "in_toxic", "in_clean") >= HINT_LIFT}
     hints: list[str] = []
     for p in sorted(weak, key=lambda t: (len(t), t)):
         if not p.startswith((*hints, *beginnings)):
             hints.append(p)
-    learned = Grammar(sorted(words), beginnings, hints, sum(weak[p] for p in hints) / max(total["in_clean"], 1))
+
+    def odds(terms, suffix: str = "") -> dict[str, float]:
+        return {t: float(min(MOST, np.log(lift(of[t + suffix], "in_toxic", "in_clean")))) for t in sorted(terms)}
+
+    lexicon = odds(words), odds(beginnings, "*"), odds(hints, "*")
+    share = [sum(of[t][k] for t in [*words, *(p + "*" for p in [*beginnings, *hints])]) / max(total[k], 1) for k in ("in_toxic", "in_clean")]
+    other = float(np.log1p(-min(share[0], 0.5)) - np.log1p(-min(share[1], 0.5)))
+    learned = Grammar(*lexicon, other)
+
+    def marks(batches):
+        for batch in batches:
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                n = Counter(o for path in learned.clauses(text or "") for o, _ in path if _kind(o) in MARKED)
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64()), pa.array([y] * len(n), pa.int32())], ["symbol", "n", "toxic"])
+
+    # at most as many rows as the machine has symbols
+    symbols = sample.mapInArrow(marks, "symbol string, n long, toxic int").groupBy("symbol", "toxic").agg(F.sum("n").alias("n")).collect()
+    seen = [Counter({r["symbol"]: r["n"] for r in symbols if r["toxic"] == y}) for y in (1, 0)]
+    learned = Grammar(*lexicon, other, context_weights(*seen))
 
     def features(batches):
         for batch in batches:
             got = [learned.features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([g.tolist() for g in got], pa.list_(pa.float64()))], ["toxic", "x"])
 
-    # equal rows are counted, so what reaches the driver are the distinct feature rows of a bounded sample
-    seen = sample.mapInArrow(features, "toxic int, x array<double>").groupBy("toxic", "x").count().orderBy("toxic", "x").collect()
-    if seen and total["toxic"]:
-        x = np.repeat(np.array([r["x"] for r in seen]), [r["count"] for r in seen], 0)
-        learned.fit(x, np.repeat(np.array([r["toxic"] for r in seen], float), [r["count"] for r in seen]))
+    # what reaches the driver are three numbers for each row of a bounded sample
+    rows = sample.mapInArrow(features, "toxic int, x array<double>").groupBy("toxic", "x").count().orderBy("toxic", "x").collect()
+    if rows and total["toxic"]:
+        x = np.repeat(np.array([r["x"] for r in rows]), [r["count"] for r in rows], 0)
+        learned.fit(x, np.repeat(np.array([r["toxic"] for r in rows], float), [r["count"] for r in rows]))
     return learned
 
 

@@ -48,7 +48,7 @@ def operators(labels, benchmark):
         "bpe": lambda d: bpe.round_trip(d, *codec()),
         "bpe_ids": lambda d: bpe.encode_documents(d, *codec(), offsets=True),
         "licenses": licenses.scan_licenses,
-        "pii": pii.find_personal,
+        "pii": pii.report,
         "suffix_array": suffix_array.dedup_bytes,
         "suffix_spans": suffix_array.removed_bytes,
         "quality": lambda d: quality.judge(d, labels),

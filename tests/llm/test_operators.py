@@ -112,17 +112,31 @@ def test_license_base(rows):
     [
         ("MIT OR GPL-3.0-only", ["mit", "gpl-3.0-only", "or"], True),
         ("MIT AND GPL-2.0", ["mit", "gpl-2.0", "and"], False),
-        ("GPL-2.0 WITH x OR MIT AND BSD-3-Clause", ["gpl-2.0", "x", "with", "mit", "bsd-3-clause", "and", "or"], True),
+        ("GPL-2.0 WITH Classpath-exception-2.0 OR MIT AND BSD-3-Clause", ["gpl-2.0", "classpath-exception-2.0", "with", "mit", "bsd-3-clause", "and", "or"], True),
         ("(MIT OR Apache-2.0) AND (GPL-2.0 OR LGPL-2.1)", ["mit", "apache-2.0", "or", "gpl-2.0", "lgpl-2.1", "or", "and"], False),
         ("MIT OR", None, None), ("(MIT", None, None), ("OR MIT", None, None), ("", None, None),
     ],
 )
 def test_license_expressions(text, postfix, free):
-    assert licenses.to_postfix(text) == postfix
+    assert licenses.to_postfix(text)[0] == postfix
     if postfix:
         assert licenses.evaluate(postfix) is free
         got = licenses.scan(f"# SPDX-License-Identifier: {text}\ncode")
-        assert got["permissive"] is free and set(got["labels"].split(",")) >= {t for t in postfix if t not in licenses.PRECEDENCE}
+        assert got["permissive"] is free and set(got["labels"].split(",")) >= {t for t in postfix if t in licenses.IDENTIFIERS}
+
+
+def test_license_identifiers():
+    scan = licenses.scan
+    for name in ("cc-by-nc-4.0", "cc-by-nc-nd-4.0", "gpl-2.0-only"):
+        assert scan(f"SPDX-License-Identifier: {name.upper()}")["permissive"] is False
+    assert scan("x mitre-special y SPDX-License-Identifier: mitre-special")["permissive"] is None
+    prose = scan("SPDX-License-Identifier: see the file for details")
+    assert (prose["labels"], prose["score"], prose["permissive"]) == ("", 0, None)
+    assert scan("SPDX-License-Identifier: (MIT or please read everything")["labels"] == "mit"
+    assert scan("é SPDX-License-Identifier: MIT */")["permissive"] is True
+    found = scan("Under Apache-2.0, or LGPL-3.0-or-later; CC-BY-NC-4.0 for texts. Das ist mit der Hand gemacht.")
+    assert found["labels"] == "apache-2.0,cc-by,cc-by-nc-4.0,lgpl-3.0-or-later" and found["n_base"] == 1
+    assert scan("the mit license, without warranties or conditions of any kind")["labels"] == "apache,mit"
 
 
 # personal data
@@ -148,7 +162,7 @@ def test_pii_base(spark, whole):
     odd = ["".join(rng.choice("ab@..--_+ 0123456789()") for _ in range(rng.randint(0, 80))) for _ in range(300)]
     odd += ["a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111 x +1 (234) 567-8901", "😀 é@é a@b.co 001.2.3.256", "m@x.org " * 800, "1" * 3000]
     df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").unionByName(whole.select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
-    found = by_id(pii.find_personal(df), "base", "terms")
+    found = by_id(pii.find_personal(df)[0], "base")
     for doc_id, (text,) in by_id(df, "text").items():
         assert [(x["start"], x["kind"], x["end"]) for x in found[doc_id][0]] == pii_brute(text), text[:80]
 
@@ -159,12 +173,13 @@ def test_pii_disclosing_terms(spark):
     filler = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
     texts = [f"{' '.join(rng.sample(filler, 5))} with Zebulon mail zeb@example.org {' '.join(rng.sample(filler, 5))}" for _ in range(6)]
     texts += [f"{' '.join(rng.sample(filler, 9))} with mail {' '.join(rng.sample(filler, 4))}" for _ in range(300)]
-    texts += ["Quentin wrote once@example.org again"] * 50  # one context, however often copied
+    texts += ["Quentin wrote once@example.org again"] * 50  # one text, however often copied
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = by_id(pii.find_personal(df), "terms")
+    rows, terms, _ = pii.find_personal(df)
+    found = by_id(rows.join(terms, "text_key"), "terms")
+    assert sorted(found) == list(range(6))
     for i in range(6):
         assert {texts[i][t["start"] : t["end"]] for t in found[i][0]} == {"Zebulon"}
-    assert all(not found[i][0] for i in range(6, len(texts)))
     clean = by_id(pii.sanitise(df), "text")
     assert "with [NAME] mail [EMAIL] " in clean[0][0] and clean[100][0] == texts[100] and clean[310][0] == "Quentin wrote [EMAIL] again"
 
@@ -196,6 +211,38 @@ def test_pipeline_copies_conceal_no_term(spark):
     assert all(("with [NAME] mail [EMAIL]" in clean[i][0]) == ("Zebulon" in t) for i, t in enumerate(texts))
 
 
+def test_pii_a_term_within_a_long_address_is_no_term(spark):
+    """However many other spans an address holds, what is inside it is not looked at."""
+    inside = ".".join(["10.0.0.1"] * 30)
+    texts = [f"zebulon.{inside}.zebulon{i}x@example.org and +1 234 567 8901 from zebulon number {i}" for i in range(4)] + [f"nothing of note in text {i}" for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, terms, _ = pii.find_personal(df)
+    at = by_id(rows.join(terms, "text_key"), "base", "terms")
+    for i in range(4):
+        base, found = at[i]
+        assert len(base) > 30 and found and all(t["start"] >= b["end"] or t["end"] <= b["start"] for t in found for b in base)
+
+
+def test_nothing_personal_is_left(spark, tmp_path):
+    """The shared folder holds no value in clear while results are read, and nothing once the driver has ended."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.checkpoint.dir", "{tmp_path}").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+from strideframe.llm import pii
+df = spark.createDataFrame([(i, f"mail zebulon{{i % 2}}@example.org now Zebulon {{i}}") for i in range(8)], "doc_id long, text string")
+assert pii.sanitise(df).where("text LIKE '%EMAIL%'").count() == 8
+from pathlib import Path
+held = b"".join(p.read_bytes() for p in Path("{tmp_path}").rglob("*") if p.is_file())
+assert held and b"zebulon" not in held.lower()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[2], timeout=300)
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+
+
 # substrings
 
 
@@ -314,17 +361,19 @@ def test_quality_cutoffs(spark):
     """A cutoff that bad rows alone exceed is taken where labels suffice; one that many good rows exceed is not."""
     rules = list(quality.RULES)
     rows = [(i, "en" if i < 4000 else "xx", 0.5 if i % 4 == 0 else 0.0, 30.0 if i % 10 == 1 else 5.5) for i in range(4050)]
-    signals = spark.createDataFrame(rows, "doc_id long, stratum string, symbol_share double, long_words double").select("*", F.lit(0.0).alias("dup_line_share"), F.lit(0.0).alias("repeat_share"), F.lit(-5.5).alias("short_words"))
+    signals = spark.createDataFrame(rows, "doc_id long, stratum string, symbol_share double, long_words double").select("*", F.col("doc_id").alias("text_key"), F.lit(0.0).alias("dup_line_share"), F.lit(0.0).alias("repeat_share"), F.lit(-5.5).alias("short_words"))
     labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(4050)], "doc_id long, quality int")
     cuts = {r["stratum"]: r for r in quality.cutoffs(signals, labels).collect()}
     assert set(cuts) == {"en"} and cuts["en"]["cut_symbol_share"] is not None
     assert all(cuts["en"][f"cut_{r}"] is None for r in rules if r != "symbol_share")
+    # copies are no independent votes: 40 distinct texts bound nothing, however often each is labelled
+    assert quality.cutoffs(signals.withColumn("text_key", F.pmod("doc_id", F.lit(40))), labels).count() == 0
 
 
 def test_binomial_tail(spark):
-    cases = [(0, 100, 0.05), (3, 100, 0.05), (20, 5000, 0.01), (0, 1, 0.5)]
-    df = spark.createDataFrame(cases, "k long, n long, p double").select("*", quality.log_binomial_cdf("k", "n", "p").alias("l"))
-    for r in df.collect():
+    cases = [(0, 100, 0.05), (3, 100, 0.05), (20, 5000, 0.01), (0, 1, 0.5), (30, 900, 0.05)]
+    df = spark.createDataFrame(cases, "k long, n long, p double")
+    for r in [x for p in (0.05, 0.01, 0.5) for x in df.where(F.col("p") == p).select("*", quality.log_binomial_cdf(F.col("k"), F.col("n"), p).alias("l")).collect()]:
         want = math.fsum(math.comb(r["n"], i) * r["p"] ** i * (1 - r["p"]) ** (r["n"] - i) for i in range(r["k"] + 1))
         assert math.exp(r["l"]) == pytest.approx(want, rel=1e-9)
 
@@ -514,7 +563,7 @@ def test_toxicity(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
     learned = toxicity.learn(docs, labels)
-    assert {"grumph", "blorkan"} <= {*learned.words, *learned.beginnings} or all(learned.class_of(w) == "insult" for w in ("grumph", "blorkan"))
+    assert all(learned.arc(w)[0] == "insult" and learned.arc(w)[1] > 3 for w in ("grumph", "blorkan"))
     got = toxicity.score_toxicity(docs, learned).join(labels, "doc_id").where("held_out").collect()
     assert sum(r["predicted"] == r["toxic"] for r in got) / len(got) > 0.95
     assert learned.score("") < 0.5 and learned.score(None) < 0.5
@@ -522,10 +571,40 @@ def test_toxicity(spark):
 
 def test_grammar_composition():
     classes = ["negation", "other", "insult", "insult", "insult", "target", "insult"]
-    machine, symbols = toxicity.grammar()
+    machine = toxicity.grammar()
     got = [s for s, _ in machine.run(classes)]
-    assert got == ["negation", "other", "insult+negated", "insult+negated", "insult", "target", "insult+aimed"]
-    assert "insult+negated+reported+aimed" in symbols
+    assert got == ["negation", "other", "insult+negated", "insult+negated", "insult", "target+addressed", "insult+aimed"]
+    assert [s for s, _ in machine.run(["intent", "other", "violence", "target"])][2:] == ["threat", "target+addressed"]
+    assert "insult+negated+reported+aimed" in toxicity.emitted(machine)
+    weights = {s: w for s, w in machine.run(["speech", "other", "insult"])}
+    assert weights["insult+reported"] == toxicity.PRIOR["reported"]
+
+
+def test_grammar_scores_clauses_not_words():
+    """The same words score differently by where they stand: a counter of words cannot tell these apart."""
+    g = toxicity.Grammar({"grumph": 7.0}, {}, {}, -0.02, coefficients=(0.4, 0.4, 0.0), bias=-3.0)
+    assert g.score("you are a grumph") > 0.5 > g.score("not a grumph. no grumph")
+    assert g.score("you aren't a grumph") < 0.5 < g.score("aren't you late. you grumph")
+    assert g.score("he said it is a grumph") < 0.5 < g.score("it is a grumph he said")
+    assert g.score("I will kill you") > 0.5 > g.score("you will see the frost kill")
+    assert g.score("I will not kill you") < 0.5 and g.score("kill the process. will you") < 0.5
+
+
+def test_grammar_learns_contexts(spark):
+    """Where negated insults are labelled clean, the weight of negation comes from the labels."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(2000)]
+    rows = []
+    for i in range(1500):
+        t = [rng.choice(words) for _ in range(40)]
+        if i % 3 == 0:
+            t[5:7] = ["you", "grumph"]
+        if i % 9 == 1:
+            t[5:7] = ["not", "grumph"]
+        rows.append((i, " ".join(t), int(i % 3 == 0)))
+    learned = toxicity.Grammar({"grumph": 4.0}, {}, {})
+    seen = [collections.Counter(o for _, t, y in rows if y == k for path in learned.clauses(t) for o, _ in path) for k in (1, 0)]
+    assert toxicity.context_weights(*seen)["negated"] < -4
 
 
 # registered queries
