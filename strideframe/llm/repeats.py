@@ -6,10 +6,10 @@
 2. Each bucket sends its distinct anchor hashes, once each, to anchor shards; the answer is one bit for
    each, whether the anchor occurs anywhere else. No window whose anchor is alone can repeat.
 3. Segments of shared anchors go to window shards by their anchor, each distinct segment once for a
-   bucket with the places where it occurs. All windows that are equal meet in one shard.
-4. A shard sorts the windows of its distinct segments (by the method that the operator brings), finds
-   the earliest place of each, and answers to the buckets which windows have an earlier one.
-5. Each bucket marks its covered units.
+   bucket with the least place where it occurs there. Where else it occurs stays with the bucket.
+4. A shard drops the windows whose surroundings of the anchor stand in one segment alone, sorts the others
+   (by the method that the operator brings), and answers with the least place of each, where that is another one.
+5. Each bucket compares the places of its windows with the least ones, and marks its covered units.
 
 A passage that a third of all documents hold arrives once for each bucket, not once for each document.
 """
@@ -29,8 +29,9 @@ from strideframe.llm.words import mix, raw
 
 #: Text in a bucket, and text whose windows, or anchors, one shard holds on average.
 BUCKET_BYTES, SHARD_BYTES, ANCHOR_BYTES = 8 << 20, 4 << 20, 64 << 20
-#: Units that one step handles at a time.
+#: Units that one step handles at a time; a longer text is cut into steps that overlap.
 STEP = 1 << 20
+#: Bits of a place within a step.
 _PLACE_BITS = np.uint64(28)
 _LAST = np.iinfo(np.int64).max
 
@@ -59,20 +60,25 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - have)], x[w - have :]) if have < w else x
 
 
-def segments(units: np.ndarray, bounds: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(begin, end, anchor hash) of the runs of windows with one anchor; ends are those of the last window.
+def grams(codes: np.ndarray, m: int) -> np.ndarray:
+    """Hashes of all runs of ``m`` codes, not yet mixed."""
+    g, have = codes, 1
+    while have * 2 <= m:
+        g = g[:-have] * np.uint64(0x9E3779B97F4A7C15) + g[have:]
+        have *= 2
+    rest = m - have
+    return mix(g[:-rest]) * np.uint64(0x9E3779B97F4A7C15) + g[rest:] if rest else g
+
+
+def segments(units: np.ndarray, bounds: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, anchor hash, anchor's place) of the runs of windows with one anchor; ends are those of the last window.
 
     bounds: the ends of the documents.
     """
-    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
     if len(units) < spec.k:
         return none
-    assert len(units) < 1 << int(_PLACE_BITS), "a step holds more units than places can number"
-    g, have = spec.codes(units), 1
-    while have < spec.m:
-        g = g[:-have] * np.uint64(0x9E3779B97F4A7C15) + g[have:]
-        have *= 2
-    g = mix(g)
+    g = mix(grams(spec.codes(units), spec.m))
     key = (g >> _PLACE_BITS << _PLACE_BITS) | np.arange(len(g), dtype=np.uint64)
     anchor = (sliding_min(key, spec.k - spec.m + 1) & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
     valid = np.ones(len(anchor), bool)
@@ -85,7 +91,7 @@ def segments(units: np.ndarray, bounds: np.ndarray, spec: Spec) -> tuple[np.ndar
     stop = valid.copy()
     stop[:-1] &= ~valid[1:] | (anchor[1:] != anchor[:-1])
     last = np.flatnonzero(stop)
-    return begin, last + spec.k, g[anchor[begin]]
+    return begin, last + spec.k, g[anchor[begin]], anchor[begin]
 
 
 class Bucket:
@@ -97,22 +103,32 @@ class Bucket:
         self.rows = sorted(((_LAST if i is None else i), raw(t), i) for i, t in zip(ids, texts))
         self.spec = spec
 
-    def steps(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first row, units, ends of the documents)."""
+    def steps(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, place in it, units, ends of the documents). A window is in one step alone."""
         held, size, first = [], 0, 0
         for i, (_, text, _) in enumerate(self.rows):
             u = self.spec.units(text)
             if held and size + len(u) > STEP:
-                yield first, np.concatenate(held), np.cumsum([len(x) for x in held])
-                held, size, first = [], 0, i
+                yield first, 0, np.concatenate(held), np.cumsum([len(x) for x in held])
+                held, size = [], 0
+            if len(u) > 2 * STEP:
+                for at in range(0, len(u), STEP):
+                    part = u[at : at + STEP + self.spec.k - 1]
+                    yield i, at, part, np.array([len(part)])
+                continue
+            if not held:
+                first = i
             held.append(u)
             size += len(u)
+            if i + 1 == len(self.rows) or len(self.rows[i + 1][1]) > STEP:
+                yield first, 0, np.concatenate(held), np.cumsum([len(x) for x in held])
+                held, size = [], 0
         if held:
-            yield first, np.concatenate(held), np.cumsum([len(x) for x in held])
+            yield first, 0, np.concatenate(held), np.cumsum([len(x) for x in held])
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct anchor hashes, and whether each occurs twice in this bucket already."""
-        got = [segments(u, ends, self.spec)[2] for _, u, ends in self.steps()]
+        got = [segments(u, ends, self.spec)[2] for _, _, u, ends in self.steps()]
         h, n = np.unique(np.concatenate(got), return_counts=True) if got else (np.empty(0, np.uint64), np.empty(0, np.int64))
         return h, n > 1
 
@@ -129,18 +145,67 @@ def _by_shard(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return order, found, np.append(begin, len(h))
 
 
-def earliest(key: np.ndarray, doc: np.ndarray, at: np.ndarray, n: int, places: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
-    """The least (doc, at) of each key below ``n``; without ``places`` the least doc alone."""
+def earliest(key: np.ndarray, doc: np.ndarray, at: np.ndarray, n: int, places: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The least (doc, at) of each key below ``n``; without ``places`` the least doc, and 0."""
     least = np.full(n, _LAST)
     np.minimum.at(least, key, doc)
     if not places:
-        return least, None
+        return least, np.zeros(n, np.int64)
     own = doc == least[key]
     first = np.full(n, _LAST)
     np.minimum.at(first, key[own], at[own])
     return least, first
 
 
+def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of its run, and its place in it, of each element of runs of these lengths."""
+    run = np.repeat(np.arange(len(counts)), counts)
+    return run, np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def runs_of(hit: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and lengths of the runs of hits; ``joined``: whether an element continues the one before it."""
+    first, stop = hit.copy(), hit.copy()
+    first[1:] &= ~(hit[:-1] & joined[1:])
+    stop[:-1] &= ~(hit[1:] & joined[1:])
+    a = np.flatnonzero(first)
+    return a, np.flatnonzero(stop) - a + 1
+
+
+def window_groups(units: np.ndarray, lengths: np.ndarray, anchor: np.ndarray, spec: Spec) -> np.ndarray:
+    """A group number for each window of distinct segments; equal windows, and no others, share one.
+
+    anchor: its place in each segment. Of equal windows both hold either the ``reach`` units before the anchor or those
+    behind it; where these with the anchor stand in no other segment, nothing needs sorting.
+    """
+    n_windows = lengths - spec.k + 1
+    start = np.cumsum(n_windows) - n_windows
+    reach = (spec.k - spec.m + 1) // 2
+    first = np.cumsum(lengths) - lengths
+    g = mix(grams(spec.codes(units), spec.m + reach)) if len(units) >= spec.m + reach else np.empty(0, np.uint64)
+    before = np.clip(anchor - reach + 1, 0, n_windows)  # so many windows hold what stands before the anchor
+    parts = []
+    for begin, count, gram in ((np.zeros_like(before), before, first + anchor - reach), (before, n_windows - before, first + anchor)):
+        use = np.flatnonzero(count > 0)
+        hashes = g[gram[use]]
+        order = np.argsort(hashes)
+        same = hashes[order][1:] == hashes[order][:-1]
+        twin = np.zeros(len(use), bool)
+        twin[order[1:]] |= same
+        twin[order[:-1]] |= same
+        use = use[twin]
+        parts.append((use, begin[use], count[use]))
+    seg, begin, count = (np.concatenate(x) for x in zip(*parts))
+    out = np.arange(int(n_windows.sum()))
+    if len(seg):
+        sizes = count + spec.k - 1
+        run, at = spread(sizes)
+        groups = spec.group(units[(first[seg] + begin)[run] + at], sizes)
+        run, at = spread(count)
+        out[(start[seg] + begin)[run] + at] = len(out) + groups
+    return out
+
+
 def _bits(x: np.ndarray) -> bytes:
     return np.packbits(x).tobytes()
 
@@ -190,7 +255,7 @@ def mark_repeats(docs: DataFrame, spec: Spec, finish: Callable[[list, list[np.nd
         return pa.table({"bucket": rows.column("bucket"), "shard": rows.column("shard"), "shared": pa.array([_bits(shared[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
     def send_segments(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        out = {"shard": [], "bucket": [], "units": [], "sizes": [], "owner": [], "row": [], "doc": [], "begin": []}
+        out: dict[str, list] = {c: [] for c in SENT}
         if len(rows) and len(answers):
             bucket = Bucket(rows, spec)
             h, _ = bucket.anchors()
@@ -200,113 +265,132 @@ def mark_repeats(docs: DataFrame, spec: Spec, finish: Callable[[list, list[np.nd
             shared = np.sort(h[order][np.concatenate(keep)]) if keep else h[:0]
             distinct: dict[bytes, int] = {}
             shard_of: list[int] = []
+            anchor_at: list[int] = []
             seen: list[list[np.ndarray]] = [[], [], []]
             size = np.dtype(spec.dtype).itemsize
-            for first, units, ends in bucket.steps():
-                begin, end, anchor = segments(units, ends, spec)
+            for first, offset, units, ends in bucket.steps():
+                begin, end, anchor, place = segments(units, ends, spec)
                 at = np.minimum(np.searchsorted(shared, anchor), max(len(shared) - 1, 0))
                 use = np.flatnonzero(shared[at] == anchor) if len(shared) else np.empty(0, np.int64)
-                begin, end, anchor = begin[use], end[use], anchor[use]
-                blob, places = units.tobytes(), _shard(anchor, n_shards).tolist()
+                begin, end, anchor, place = begin[use], end[use], anchor[use], place[use]
+                blob, to = units.tobytes(), _shard(anchor, n_shards).tolist()
                 owner = np.empty(len(use), np.int64)
-                for i, (a, b, s) in enumerate(zip((begin * size).tolist(), (end * size).tolist(), places)):
+                for i, (a, b, s, p) in enumerate(zip((begin * size).tolist(), (end * size).tolist(), to, (place - begin).tolist())):
                     n = len(distinct)
                     owner[i] = distinct.setdefault(blob[a:b], n)
                     if len(distinct) > n:
                         shard_of.append(s)
+                        anchor_at.append(p)
                 row = np.searchsorted(ends, begin, side="right")
                 seen[0].append(owner)
                 seen[1].append(first + row)
-                seen[2].append(begin - np.concatenate([[0], ends])[row])
+                seen[2].append(begin - np.concatenate([[0], ends])[row] + offset)
             owner, row, begin = (np.concatenate(x) if x else np.empty(0, np.int64) for x in seen)
-            doc = np.array([r[0] for r in bucket.rows], np.int64)[row] if len(row) else row
-            shard_of, parts = np.array(shard_of, np.int64), list(distinct)
-            seg_order = np.argsort(shard_of, kind="stable")
-            number = np.empty(len(parts), np.int64)  # of a segment within its shard
-            occ_order = np.argsort(shard_of[owner], kind="stable")
-            occ_shard, seg_shard = shard_of[owner][occ_order], shard_of[seg_order]
-            for s in np.unique(shard_of).tolist():
-                mine = seg_order[np.searchsorted(seg_shard, s) : np.searchsorted(seg_shard, s, side="right")]
-                number[mine] = np.arange(len(mine))
-                here = occ_order[np.searchsorted(occ_shard, s) : np.searchsorted(occ_shard, s, side="right")]
-                out["shard"].append(s)
-                out["bucket"].append(rows.column("bucket")[0].as_py())
-                out["units"].append(b"".join([parts[i] for i in mine]))
-                out["sizes"].append(np.array([len(parts[i]) // size for i in mine], np.int32).tobytes())
-                out["owner"].append(number[owner[here]].astype(np.int32).tobytes())
-                out["row"].append(row[here].astype(np.int32).tobytes())
-                out["doc"].append(doc[here].tobytes())
-                out["begin"].append(begin[here].astype(np.int64).tobytes())
-        kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 6
-        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds)})
+            to, parts, name = np.array(shard_of, np.int64), list(distinct), rows.column("bucket")[0].as_py()
+            order = np.argsort(to, kind="stable")
+            number = np.empty(len(parts), np.int64)
+            number[order] = np.arange(len(parts))
+            owner = number[owner]
+            lengths = np.array([len(p) // size for p in parts], np.int32)[order]
+            doc, at = earliest(owner, np.array([r[0] for r in bucket.rows], np.int64)[row] if len(row) else row, begin, len(parts))
+            found, cuts = np.unique(to[order], return_index=True)
+            cuts = [*cuts.tolist(), len(parts)]
+            for s, a, b in zip(found.tolist(), cuts, cuts[1:]):
+                values = b"".join([parts[i] for i in order[a:b].tolist()]), lengths[a:b], np.array([anchor_at[i] for i in order[a:b].tolist()], np.int32), doc[a:b], at[a:b], None, None
+                _add(out, s, name, a, *values)
+            # what the bucket needs again travels with its shards' answers
+            _add(out, n_shards + name, name, -1, None, lengths, None, doc, at, np.stack([owner, row]).astype(np.int32), begin)
+        return _table(out, SENT)
 
     def answer_segments(rows: pa.Table) -> pa.Table:
+        out: dict[str, list] = {c: [] for c in SENT}
+        if rows.column("first")[0].as_py() < 0:
+            return rows.select(list(SENT))
         # the same segment from several buckets is one segment
         number: dict[bytes, int] = {}
-        owner, size = [], np.dtype(spec.dtype).itemsize
-        for blob, sizes, own in zip(rows.column("units").to_pylist(), rows.column("sizes").to_pylist(), rows.column("owner").to_pylist()):
+        size = np.dtype(spec.dtype).itemsize
+        local, anchor = [], []
+        for blob, sizes, at in zip(rows.column("units").to_pylist(), rows.column("sizes").to_pylist(), rows.column("anchors").to_pylist()):
             cuts = np.cumsum(np.frombuffer(sizes, np.int32).astype(np.int64)) * size
-            local = np.array([number.setdefault(blob[a:b], len(number)) for a, b in zip([0, *cuts.tolist()], cuts.tolist())], np.int64)
-            owner.append(local[np.frombuffer(own, np.int32)])
-        counts = np.array([len(o) for o in owner])
-        owner = np.concatenate(owner)
-        part = np.repeat(np.arange(len(counts)), counts)
-        row = np.concatenate([np.frombuffer(x, np.int32) for x in rows.column("row").to_pylist()])
-        doc = np.concatenate([np.frombuffer(x, np.int64) for x in rows.column("doc").to_pylist()])
-        begin = np.concatenate([np.frombuffer(x, np.int64) for x in rows.column("begin").to_pylist()])
+            own = []
+            for a, b, p in zip([0, *cuts.tolist()], cuts.tolist(), np.frombuffer(at, np.int32).tolist()):
+                n = len(number)
+                own.append(number.setdefault(blob[a:b], n))
+                if len(number) > n:
+                    anchor.append(p)
+            local.append(np.array(own, np.int64))
+        docs, ats = ([np.frombuffer(x, np.int64) for x in rows.column(c).to_pylist()] for c in ("doc", "at"))
         lengths = np.array([len(x) // size for x in number], np.int64)
-        group = spec.group(np.frombuffer(b"".join(number), spec.dtype), lengths)
+        # the least place of each segment, then of each group of equal windows
+        lead_doc, lead_at = earliest(np.concatenate(local), np.concatenate(docs), np.concatenate(ats), len(lengths))
+        group = window_groups(np.frombuffer(b"".join(number), spec.dtype), lengths, np.array(anchor, np.int64), spec)
+        number.clear()
         n_windows = lengths - spec.k + 1
         start = np.cumsum(n_windows) - n_windows
-        # the earliest place of each segment, then of each group of equal windows
-        lead_doc, lead_at = earliest(owner, doc, begin, len(lengths))
-        inside = np.arange(len(group)) - np.repeat(start, n_windows)
-        n_groups = int(group.max()) + 1 if len(group) else 0
-        group_doc, group_at = earliest(group, np.repeat(lead_doc, n_windows), np.repeat(lead_at, n_windows) + inside, n_groups, spec.within)
-        first_doc = group_doc[group]
-        first_at = group_at[group] if spec.within else None
-        out = {"bucket": [], "row": [], "begin": [], "count": []}
-        # occurrences are many where a passage is common, so they are expanded in steps
-        found: list[list[np.ndarray]] = [[], [], [], []]
-        cost = np.cumsum(n_windows[owner])
-        lo = 0
-        while lo < len(owner):
-            hi = max(lo + 1, int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + STEP)))
-            o = owner[lo:hi]
-            n = n_windows[o]
-            occ = np.repeat(np.arange(lo, hi), n)
-            t = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            w = start[owner[occ]] + t
-            hit = first_doc[w] < doc[occ]
-            if spec.within:
-                hit |= (first_doc[w] == doc[occ]) & (first_at[w] < begin[occ] + t)
-            first = hit.copy()
-            first[1:] &= ~hit[:-1] | (occ[1:] != occ[:-1])
-            stop = hit.copy()
-            stop[:-1] &= ~hit[1:] | (occ[1:] != occ[:-1])
-            a, b = np.flatnonzero(first), np.flatnonzero(stop)
-            for x, y in zip(found, (part[occ[a]], row[occ[a]], begin[occ[a]] + t[a], b - a + 1)):
-                x.append(y)
-            lo = hi
-        part, row, begin, count = (np.concatenate(x) for x in found)
-        names = rows.column("bucket").to_pylist()
-        order = np.argsort(part, kind="stable")
-        dealt_part = part[order]
-        for p in np.unique(part).tolist():
-            here = order[np.searchsorted(dealt_part, p) : np.searchsorted(dealt_part, p, side="right")]
-            out["bucket"].append(names[p])
-            out["row"].append(row[here].astype(np.int32).tobytes())
-            out["begin"].append(begin[here].astype(np.int64).tobytes())
-            out["count"].append(count[here].astype(np.int32).tobytes())
-        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), [pa.int64()] + [pa.binary()] * 3)})
+        seg, inside = spread(n_windows)
+        group_doc, group_at = earliest(group, lead_doc[seg], lead_at[seg] + inside, int(group.max()) + 1, spec.within)
+        least_doc, least_at = group_doc[group], group_at[group]
+        del group, seg, inside
+        for name, first, own, doc, at in zip(rows.column("bucket").to_pylist(), rows.column("first").to_pylist(), local, docs, ats):
+            told: list[list[np.ndarray]] = [[] for _ in range(5)]
+            cost = np.cumsum(n_windows[own])
+            lo = 0
+            while lo < len(own):
+                hi = max(lo + 1, int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + STEP)))
+                run, t = spread(n_windows[own[lo:hi]])
+                w, run = start[own[lo:hi]][run] + t, run + lo
+                d, p = least_doc[w], least_at[w]
+                other = d < doc[run]
+                if spec.within:
+                    other |= (d == doc[run]) & (p < at[run] + t)
+                joined = np.zeros(len(w), bool)
+                joined[1:] = (run[1:] == run[:-1]) & (d[1:] == d[:-1]) & ((p[1:] == p[:-1] + 1) | (not spec.within))
+                a, n = runs_of(other, joined)
+                for x, y in zip(told, (first + run[a], t[a], n, d[a], p[a])):
+                    x.append(y)
+                lo = hi
+            seg, t, n, d, p = (np.concatenate(x) if x else np.empty(0, np.int64) for x in told)
+            _add(out, 0, name, 0, None, n.astype(np.int32), t.astype(np.int32), d, p, seg.astype(np.int32), None)
+        return _table(out, SENT)
 
     def close(rows: pa.Table, answers: pa.Table) -> pa.Table:
         own = Bucket(rows, spec).rows if len(rows) else []
-        row, begin, count = (
-            np.concatenate([np.frombuffer(x, t) for x in answers.column(c).to_pylist()] or [np.empty(0, t)]) for c, t in (("row", np.int32), ("begin", np.int64), ("count", np.int32))
-        )
+        hits: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(3)]
+        kinds = np.array(answers.column("first").to_pylist(), np.int64)
+        for i in np.flatnonzero(kinds < 0).tolist():
+            mine = {c: answers.column(c)[i].as_py() for c in ("sizes", "doc", "at", "owner", "begin")}
+            n_windows = np.frombuffer(mine["sizes"], np.int32).astype(np.int64) - spec.k + 1
+            start = np.cumsum(n_windows) - n_windows
+            least_doc = np.repeat(np.frombuffer(mine["doc"], np.int64), n_windows)
+            least_at = np.repeat(np.frombuffer(mine["at"], np.int64) - start, n_windows) + np.arange(len(least_doc)) if spec.within else None
+            for k in np.flatnonzero(kinds >= 0).tolist():
+                seg, t, n, d, p = (np.frombuffer(answers.column(c)[k].as_py(), kind) for c, kind in (("owner", np.int32), ("anchors", np.int32), ("sizes", np.int32), ("doc", np.int64), ("at", np.int64)))
+                run, at = spread(n)
+                w = (start[seg] + t)[run] + at
+                least_doc[w] = d[run]
+                if spec.within:
+                    least_at[w] = p[run] + at
+            owner, row = np.frombuffer(mine["owner"], np.int32).astype(np.int64).reshape(2, -1)
+            begin = np.frombuffer(mine["begin"], np.int64)
+            doc = np.array([r[0] for r in own], np.int64)[row] if len(row) else row
+            cost = np.cumsum(n_windows[owner])
+            lo = 0
+            # occurrences are many where a passage is common, so they are expanded in steps
+            while lo < len(owner):
+                hi = max(lo + 1, int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + STEP)))
+                run, t = spread(n_windows[owner[lo:hi]])
+                run += lo
+                w = start[owner[run]] + t
+                hit = least_doc[w] < doc[run]
+                if spec.within:
+                    hit |= (least_doc[w] == doc[run]) & (least_at[w] < begin[run] + t)
+                a, n = runs_of(hit, np.concatenate([[False], run[1:] == run[:-1]]))
+                for x, y in zip(hits, (row[run[a]], begin[run[a]] + t[a], n)):
+                    x.append(y)
+                lo = hi
+        row, begin, count = (np.concatenate(x) for x in hits)
         order = np.lexsort((begin, row))
-        row, begin, count = row[order], begin[order], count[order].astype(np.int64)
+        row, begin, count = row[order], begin[order], count[order]
         runs = []
         for i in range(len(own)):
             a, b = np.searchsorted(row, i), np.searchsorted(row, i, side="right")
@@ -318,13 +402,29 @@ def mark_repeats(docs: DataFrame, spec: Spec, finish: Callable[[list, list[np.nd
     by_bucket = dealt.groupBy("bucket")
     seeds = by_bucket.applyInArrow(send_anchors, "shard long, bucket long, anchors binary, twice binary")
     answers = seeds.repartition(n_anchor, "shard").groupBy("shard").applyInArrow(answer_anchors, "bucket long, shard long, shared binary")
-    sent = by_bucket.cogroup(answers.repartition(n_buckets, "bucket").groupBy("bucket")).applyInArrow(
-        send_segments, "shard long, bucket long, units binary, sizes binary, owner binary, row binary, doc binary, begin binary"
-    )
-    marked = sent.repartition(n_shards, "shard").groupBy("shard").applyInArrow(answer_segments, "bucket long, row binary, begin binary, count binary")
+    sent = by_bucket.cogroup(answers.repartition(n_buckets, "bucket").groupBy("bucket")).applyInArrow(send_segments, _ddl(SENT))
+    marked = sent.repartition(n_shards, "shard").groupBy("shard").applyInArrow(answer_segments, _ddl(SENT))
     return by_bucket.cogroup(marked.repartition(n_buckets, "bucket").groupBy("bucket")).applyInArrow(close, schema)
 
 
+#: What goes to the window shards, and what they answer with: of each segment of a bucket, or of each run of windows, its
+#: length, the place of its anchor or of the run in it, and the least document and place; and where a bucket has its segments.
+SENT = {"shard": "long", "bucket": "long", "first": "long", "units": "binary", "sizes": "binary", "anchors": "binary", "doc": "binary", "at": "binary", "owner": "binary", "begin": "binary"}
+
+
+def _ddl(columns: dict[str, str]) -> str:
+    return ", ".join(f"{c} {t}" for c, t in columns.items())
+
+
+def _add(out: dict[str, list], *values) -> None:
+    for column, value in zip(out.values(), values):
+        column.append(value.tobytes() if isinstance(value, np.ndarray) else value)
+
+
+def _table(out: dict[str, list], columns: dict[str, str]) -> pa.Table:
+    return pa.table({c: pa.array(v, pa.int64() if columns[c] == "long" else pa.binary()) for c, v in out.items()})
+
+
 def covered(runs: np.ndarray, n: int) -> tuple[np.ndarray, int]:
     """Which of ``n`` units the spans cover, and the number of maximal covered runs."""
     change = np.zeros(n + 1, np.int64)

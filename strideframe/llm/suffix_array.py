@@ -1,12 +1,8 @@
 """Suffix-array dedup of byte passages, by external induced sorting.
 
-A shard holds the distinct segments whose windows may repeat. Each gets a separator of its own, the
-least suffixes (those that begin an S-type run) are sorted through their names, and all others are
-induced from them: left-to-right for L-type, right-to-left for S-type suffixes, symbol by symbol. What
-waits for a later symbol lies in priority queues that write themselves to disk beyond a memory limit,
-as tuples of a suffix and the symbol before it; the shard itself and its suffix array are in memory. Names that are
-not unique are ranked by their successors, twice as far in each round, until they are.
-
+A shard holds the distinct segments whose windows may repeat, each with a separator of its own. Its suffixes are
+sorted by recursive induction in external memory (``induced``): disk-backed priority queues carry tuples of a suffix
+and its common prefix with the one before it, and what has the length of the shard is on disk beyond a memory limit.
 Neighbours in the suffix array share a window when their common prefix has its length.
 
 Defined results: null and empty texts lose nothing; bytes are those of the UTF-8 text, whatever
@@ -17,216 +13,36 @@ counts as larger than all others; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from strideframe.llm._common import table
+from strideframe.llm.induced import MEMORY, blocks, byte_suffixes, scratch
 from strideframe.llm.repeats import Spec, covered, mark_repeats
 from strideframe.llm.words import mix
 
 WINDOW = 50
 ANCHOR = 16
-#: Bytes of tuples that the queues of one shard hold in memory.
-QUEUE_BYTES = 96 << 20
-
-
-class SymbolQueues:
-    """A first-in-first-out queue for each symbol; together they are a priority queue over symbols. Beyond ``limit`` bytes all go to disk."""
-
-    def __init__(self, symbols: int, limit: int = QUEUE_BYTES):
-        self.held: list[list[np.ndarray]] = [[] for _ in range(symbols)]
-        self.spilled: list[list[tuple[int, int]]] = [[] for _ in range(symbols)]
-        self.limit, self.size, self.file = limit, 0, None
-
-    def push(self, symbol: int, rows: np.ndarray) -> None:
-        self.held[symbol].append(rows)
-        self.size += rows.nbytes
-        if self.size > self.limit:
-            self.file = self.file or tempfile.TemporaryFile()
-            self.file.seek(0, 2)
-            for s, parts in enumerate(self.held):
-                if parts:
-                    rows = np.concatenate(parts)
-                    self.spilled[s].append((self.file.tell(), len(rows)))
-                    self.file.write(rows.astype(np.int64).tobytes())
-                    parts.clear()
-            self.size = 0
-
-    def push_all(self, symbols: np.ndarray, rows: np.ndarray) -> None:
-        """Rows under their symbols, in the order in which they stand."""
-        if len(rows):
-            symbols = symbols.astype(np.uint8)  # which numpy sorts by counting
-            order = np.argsort(symbols, kind="stable")
-            sorted_ = symbols[order]
-            cuts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])).tolist() + [len(rows)]
-            for a, b in zip(cuts, cuts[1:]):
-                self.push(int(sorted_[a]), rows[order[a:b]])
-
-    def take(self, symbol: int) -> np.ndarray:
-        """All rows of a symbol, which then has none."""
-        parts = []
-        for at, n in self.spilled[symbol]:
-            self.file.seek(at)
-            parts.append(np.frombuffer(self.file.read(8 * n), np.int64))
-        self.spilled[symbol] = []
-        self.size -= sum(x.nbytes for x in self.held[symbol])
-        parts += self.held[symbol]
-        self.held[symbol] = []
-        return np.concatenate(parts) if parts else np.empty(0, np.int64)
-
-
-def refine(rank: np.ndarray, rows: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
-    """Order ``rows`` within their ranks by a key of ``bits``; a rank is the place of the first row that has it. Returns the rows that are still tied."""
-    key = (rank[rows] << bits) | key
-    order = np.argsort(key)
-    rows, key = rows[order], key[order]
-    old = key >> bits
-    new_rank = np.concatenate([[True], old[1:] != old[:-1]])
-    head = np.concatenate([[True], key[1:] != key[:-1]])
-    place = np.arange(len(rows))
-    first_of_rank = np.maximum.accumulate(np.where(new_rank, place, 0))
-    first_of_key = np.maximum.accumulate(np.where(head, place, 0))
-    rank[rows] = old + first_of_key - first_of_rank
-    return rows[~(head & np.concatenate([head[1:], [True]]))]
-
-
-def sort_starts(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The order of the suffixes at ``starts``, the begins of S-type runs, the last being the end of the text.
-
-    symbols: 0 for separators, bytes from 1 on. Of separators the one further back is less.
-    """
-    n = len(starts)
-    ends = np.append(starts[1:] + 1, len(symbols))  # of the pieces between neighbouring starts, both included
-    separator = symbols[starts] == 0
-    rank = np.zeros(n, np.int64)
-    n_sep = int(separator.sum())
-    rank[separator] = np.arange(n_sep - 1, -1, -1)
-    rank[~separator] = n_sep
-    tied, at = np.flatnonzero(~separator), 0
-    longest = int((ends - starts)[tied].max()) if len(tied) else 0
-    place_bits = max(1, n.bit_length())
-    while len(tied) and at < longest:
-        per = 7 if at == 0 else (63 - place_bits) // 9
-        key = np.zeros(len(tied), np.int64)
-        begin, end = starts[tied] + at, ends[tied]
-        for k in range(per):
-            place = begin + k
-            # past its end a piece is larger than one that goes on: what goes on is L-type there
-            key = (key << 9) | np.where(place < end, symbols[np.minimum(place, len(symbols) - 1)], 257)
-        if at == 0:  # all have one rank yet
-            order = np.argsort(key)
-            tied, key = tied[order], key[order]
-            head = np.concatenate([[True], key[1:] != key[:-1]])
-            rank[tied] = n_sep + np.maximum.accumulate(np.where(head, np.arange(len(tied)), 0))
-            tied = tied[~(head & np.concatenate([head[1:], [True]]))]
-        else:
-            tied = refine(rank, tied, key, 9 * per)
-        at += per
-    ahead = 1
-    while len(tied):  # equal pieces: by what follows them, twice as far each round
-        tied = refine(rank, tied, rank[np.minimum(tied + ahead, n - 1)], place_bits)
-        ahead *= 2
-    order = np.empty(n, np.int64)
-    order[rank] = np.arange(n)
-    return order
-
-
-def suffix_array(data: np.ndarray, lengths: np.ndarray, queue_bytes: int = QUEUE_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, suffix array) of byte strings that stand one behind the other, each followed by its own separator.
-
-    Symbols are 0 for a separator, and bytes plus one; of two separators the one further back is less.
-    """
-    ends = np.cumsum(lengths + 1) - 1
-    n = int(lengths.sum()) + len(lengths)
-    is_sep = np.zeros(n, bool)
-    is_sep[ends] = True
-    symbols = np.zeros(n, np.int16)
-    symbols[~is_sep] = data
-    symbols[~is_sep] += 1
-    # S-type: smaller than the suffix behind it; what ends a run of equal symbols decides for all of it
-    change = np.append(np.flatnonzero(symbols[:-1] != symbols[1:]), n - 1)
-    s_type = np.repeat(np.append(symbols[:-1] < symbols[1:], True)[change], np.diff(change, prepend=-1))
-    first = s_type.copy()
-    first[1:] &= ~s_type[:-1]
-    first[0] = False
-    starts = np.flatnonzero(first | is_sep)
-    sorted_starts = starts[sort_starts(symbols, starts)]
-    separators, others = sorted_starts[: len(lengths)], sorted_starts[len(lengths) :]
-    seeds = SymbolQueues(256, queue_bytes)
-    seeds.push_all(symbols[others] - 1, others)
-    # the byte before each suffix if the suffix there is L-type, or S-type; 256 for none
-    left_l, left_s = np.full(n, 256, np.uint16), np.full(n, 256, np.uint16)
-    left_l[1:] = np.where(s_type[:-1] | is_sep[:-1], 256, symbols[:-1] - 1)
-    left_s[1:] = np.where(s_type[:-1] & ~is_sep[:-1], symbols[:-1] - 1, 256)
-
-    def before(rows: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The suffixes one place to the left that have a code, and their bytes."""
-        sym = code[rows]
-        use = sym < 256
-        return rows[use] - 1, sym[use]
-
-    waiting, done_l = SymbolQueues(256, queue_bytes), SymbolQueues(256, queue_bytes)
-    left, sym = before(separators, left_l)
-    waiting.push_all(sym, left)
-    for c in range(256):
-        now = waiting.take(c)
-        while len(now):
-            done_l.push(c, now)
-            left, sym = before(now, left_l)
-            waiting.push_all(sym[sym != c], left[sym != c])
-            now = left[sym == c]
-        left, sym = before(seeds.take(c), left_l)
-        waiting.push_all(sym, left)
-    parts: list[np.ndarray] = []
-    for c in range(255, -1, -1):
-        now, own = waiting.take(c), []
-        while len(now):
-            own.append(now)
-            left, sym = before(now, left_s)
-            waiting.push_all(sym[sym != c], left[sym != c])
-            now = left[sym == c]
-        low = done_l.take(c)
-        left, sym = before(low[::-1], left_s)
-        waiting.push_all(sym, left)
-        parts += [np.concatenate(own)[::-1]] if own else []
-        parts.append(low)
-    return symbols, np.concatenate([separators, *parts[::-1]])
-
-
-def common_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
-    """Whether the ``k`` bytes at places a and b are equal; the common prefix of neighbours, as far as it matters."""
-    word, width = data.astype(np.uint64), 1
-    while width < 8 and width * 2 <= k:
-        word = word[:-width] | (word[width:] << np.uint64(8 * width))
-        width *= 2
-    same = np.ones(len(a), bool)
-    use = np.arange(len(a))
-    for at in [*range(0, k - width + 1, width), k - width]:
-        equal = word[a[use] + at] == word[b[use] + at]
-        same[use[~equal]] = False
-        use = use[equal]
-    return same
 
 
-def equal_windows(data: np.ndarray, lengths: np.ndarray, k: int = WINDOW) -> np.ndarray:
+def equal_windows(data: np.ndarray, lengths: np.ndarray, k: int = WINDOW, memory: int = MEMORY) -> np.ndarray:
     """A group number for each window of each segment: neighbours in the suffix array whose common prefix has ``k`` bytes."""
-    symbols, sa = suffix_array(data, lengths)
     n_windows = lengths - k + 1
     total = int(n_windows.sum())
-    begin = np.cumsum(lengths + 1) - lengths - 1
-    window = np.arange(total)
-    place = window + np.repeat(begin - (np.cumsum(n_windows) - n_windows), n_windows)
-    window_at = np.full(len(symbols), -1, np.int64)
-    window_at[place] = window
-    sorted_ = window_at[sa]
-    sorted_ = sorted_[sorted_ >= 0]
-    at = place[sorted_]
-    same = common_prefix(np.maximum(symbols - 1, 0).astype(np.uint8), at[:-1], at[1:], k)
-    out = np.empty(total, np.int64)
-    out[sorted_] = np.cumsum(np.concatenate([[True], ~same])) - 1 if total else 0
+    # the window that begins at a place, from 1; places count separators
+    window_at = scratch(int(lengths.sum()) + len(lengths), np.int32 if total < 1 << 31 else np.int64, memory)
+    begin, window = np.cumsum(lengths + 1) - lengths - 1, np.cumsum(n_windows) - n_windows
+    for a, b in blocks(len(lengths), max(64, memory >> 12)):
+        own = np.arange(int(window[a]), int(window[b - 1] + n_windows[b - 1]))
+        window_at[own + np.repeat(begin[a:b] - window[a:b], n_windows[a:b])] = own + 1
+    out, group = scratch(total, np.int64, memory), 0
+    for rows, prefix in byte_suffixes(data, lengths, k, memory):
+        number = group + np.cumsum(prefix < k)
+        group = int(number[-1])
+        at = window_at[rows]
+        out[at[at > 0] - 1] = number[at > 0]
     return out
 
 

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strideframe.llm import bpe, decontaminate, langid, licenses, pii, quality, queries, simhash, substrings, suffix_array, toxicity
+from strideframe.llm import bpe, decontaminate, induced, langid, licenses, pii, quality, queries, simhash, substrings, suffix_array, toxicity
 from strideframe.llm.components import components
 from strideframe.llm.repeats import covered, segments, sliding_min
 from tests.compare import SF
@@ -295,13 +295,64 @@ def test_many_buckets(docs, rows, monkeypatch):
     assert by_id(substrings.dedup_words(docs), "n_words", "n_removed", "kept_sha256") == words_brute(rows)
 
 
+def test_long_texts_are_cut(spark, monkeypatch):
+    """A text longer than a step goes through in steps that overlap, with the same result."""
+    from strideframe.llm import repeats
+
+    monkeypatch.setattr(repeats, "STEP", 64)
+    many = corpus(3, 30)
+    many.append((5000, " ".join(t or "" for _, t in many)))
+    df = spark.createDataFrame(many, "doc_id long, text string")
+    assert by_id(suffix_array.dedup_bytes(df), "n_bytes", "n_removed", "n_spans", "kept_sha256") == bytes_brute(many)
+    assert by_id(substrings.dedup_words(df), "n_words", "n_removed", "kept_sha256") == words_brute(many)
+
+
+def test_hot_passage_travels_once_a_bucket(spark, monkeypatch):
+    """A passage that all documents hold: same result, and a shard's answer does not grow with the documents of a bucket."""
+    passage = "the quick brown fox jumps over the lazy dog and runs away from all of it at once, never to be seen again " * 2
+    many = [(i, f"{i} {passage} {i * 7}") for i in range(400)]
+    df = spark.createDataFrame(many, "doc_id long, text string")
+    assert by_id(suffix_array.dedup_bytes(df), "n_bytes", "n_removed", "n_spans", "kept_sha256") == bytes_brute(many)
+    assert by_id(substrings.dedup_words(df), "n_words", "n_removed", "kept_sha256") == words_brute(many)
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text("abc", min_size=1, max_size=30).map(str.encode), min_size=1, max_size=8), st.sampled_from([16, 1 << 20]))
-def test_induced_sorting(parts, memory):
+@given(st.lists(st.text("abc", min_size=1, max_size=30).map(str.encode), min_size=1, max_size=8), st.sampled_from([64, 1 << 20]), st.sampled_from([3, 20]))
+def test_induced_sorting(parts, memory, k):
+    """Order and common prefixes, with queues that go to disk at once or never."""
+    data, lengths = np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts])
+    text = [s for i, p in enumerate(parts) for s in [*(b + 1 for b in p), -i]]
+    want = sorted((i for i, s in enumerate(text) if s > 0), key=lambda i: text[i:])
+    rows, prefix = (np.concatenate(x)[::-1].tolist() for x in zip(*induced.byte_suffixes(data, lengths, k, memory)))
+    assert rows == want
+    for a, b, n in zip(want, want[1:], prefix):
+        assert n == next((j for j in range(k) if text[a + j] != text[b + j]), k)
+
+
+def test_induced_sorting_beyond_memory():
+    """A shard many times the limit: what is held at once stays far below its arrays, and several recursions are needed."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    words = [rng.integers(97, 105, rng.integers(2, 7)).astype(np.uint8).tobytes() + b" " for _ in range(40)]
+    parts = [b"".join(words[i] for i in rng.integers(0, 40, 60)) for _ in range(1200)]
+    parts += parts[:300]
     data, lengths = np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts])
-    symbols, sa = suffix_array.suffix_array(data, lengths, memory)
-    key = [(s, 0) if s else (0, -i) for i, s in enumerate(symbols.tolist())]
-    assert sa.tolist() == sorted(range(len(key)), key=lambda i: key[i:])
+    limit = 1 << 15
+    rows = list(induced.byte_suffixes(data, lengths, 50, 1 << 26))
+    tracemalloc.start()
+    got, seen = 0, []
+    for (r, p) in induced.byte_suffixes(data, lengths, 50, limit):
+        got += len(r)
+        seen.append((int(r[0]), int(p[0])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == len(data) > 8 * limit
+    whole_rows, whole_prefix = (np.concatenate(x) for x in zip(*rows))
+    place = {int(r): int(p) for r, p in zip(whole_rows, whole_prefix)}
+    assert all(place[r] == p for r, p in seen)
+    # in memory the same sort holds some 40 bytes for each byte of text
+    assert peak < 20 * len(data)
 
 
 @settings(max_examples=100, deadline=None)
@@ -323,7 +374,7 @@ def test_anchors_are_content():
     seen = []
     for pad in (0, 13, 77):
         units = np.concatenate([rng.integers(97, 101, pad).astype(np.uint8), passage, rng.integers(97, 101, 60).astype(np.uint8)])
-        begin, end, anchor = segments(units, np.array([len(units)]), spec)
+        begin, end, anchor, _ = segments(units, np.array([len(units)]), spec)
         of = {w: a for b, e, a in zip(begin.tolist(), end.tolist(), anchor.tolist()) for w in range(b, e - spec.k + 1)}
         assert sorted(of) == list(range(len(units) - spec.k + 1))
         seen.append([of[pad + w] for w in range(len(passage) - spec.k + 1)])
