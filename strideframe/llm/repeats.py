@@ -216,10 +216,12 @@ def mark_repeats(docs: DataFrame, spec: Spec, finish: Callable[[list, list[np.nd
     finish: (rows as (order, bytes, doc_id), for each row the begins of repeated windows) -> a table
     """
     bound_batches(docs.sparkSession)
+    # lengths and places within a segment are below 2 * k
+    small = np.uint8 if 2 * spec.k < 256 else np.int32
     total = text_bytes(docs)
     n_buckets, n_shards, n_anchor = (max(1, -(-total // size)) for size in (BUCKET_BYTES, SHARD_BYTES, ANCHOR_BYTES))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_buckets)))
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_buckets)).cast("int"))
 
     def send_anchors(rows: pa.Table) -> pa.Table:
         h, twice = Bucket(rows, spec).anchors()
@@ -228,8 +230,8 @@ def mark_repeats(docs: DataFrame, spec: Spec, finish: Callable[[list, list[np.nd
         short = np.ascontiguousarray(h[order].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
         return pa.table(
             {
-                "shard": pa.array(shards, pa.int64()),
-                "bucket": pa.array(np.full(len(shards), rows.column("bucket")[0].as_py() if len(rows) else 0), pa.int64()),
+                "shard": pa.array(shards, pa.int32()),
+                "bucket": pa.array(np.full(len(shards), rows.column("bucket")[0].as_py() if len(rows) else 0), pa.int32()),
                 "anchors": pa.array([short[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
                 "twice": pa.array([_bits(twice[order[a:b]]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
             }
@@ -291,15 +293,15 @@ def mark_repeats(docs: DataFrame, spec: Spec, finish: Callable[[list, list[np.nd
             number = np.empty(len(parts), np.int64)
             number[order] = np.arange(len(parts))
             owner = number[owner]
-            lengths = np.array([len(p) // size for p in parts], np.int32)[order]
+            lengths = np.array([len(p) // size for p in parts], small)[order]
             doc, at = earliest(owner, np.array([r[0] for r in bucket.rows], np.int64)[row] if len(row) else row, begin, len(parts))
             found, cuts = np.unique(to[order], return_index=True)
             cuts = [*cuts.tolist(), len(parts)]
             for s, a, b in zip(found.tolist(), cuts, cuts[1:]):
-                values = b"".join([parts[i] for i in order[a:b].tolist()]), lengths[a:b], np.array([anchor_at[i] for i in order[a:b].tolist()], np.int32), doc[a:b], at[a:b], None, None
+                values = b"".join([parts[i] for i in order[a:b].tolist()]), lengths[a:b], np.array([anchor_at[i] for i in order[a:b].tolist()], small), doc[a:b], at[a:b] if spec.within else None, None, None
                 _add(out, s, name, a, *values)
             # what the bucket needs again travels with its shards' answers
-            _add(out, n_shards + name, name, -1, None, lengths, None, doc, at, np.stack([owner, row]).astype(np.int32), begin)
+            _add(out, n_shards + name, name, -1, None, lengths, None, None, None, owner.astype(np.int32), np.stack([np.diff(row, prepend=0), np.diff(begin, prepend=0)]).astype(np.int32))
         return _table(out, SENT)
 
     def answer_segments(rows: pa.Table) -> pa.Table:
@@ -311,15 +313,16 @@ def mark_repeats(docs: DataFrame, spec: Spec, finish: Callable[[list, list[np.nd
         size = np.dtype(spec.dtype).itemsize
         local, anchor = [], []
         for blob, sizes, at in zip(rows.column("units").to_pylist(), rows.column("sizes").to_pylist(), rows.column("anchors").to_pylist()):
-            cuts = np.cumsum(np.frombuffer(sizes, np.int32).astype(np.int64)) * size
+            cuts = np.cumsum(np.frombuffer(sizes, small).astype(np.int64)) * size
             own = []
-            for a, b, p in zip([0, *cuts.tolist()], cuts.tolist(), np.frombuffer(at, np.int32).tolist()):
+            for a, b, p in zip([0, *cuts.tolist()], cuts.tolist(), np.frombuffer(at, small).tolist()):
                 n = len(number)
                 own.append(number.setdefault(blob[a:b], n))
                 if len(number) > n:
                     anchor.append(p)
             local.append(np.array(own, np.int64))
-        docs, ats = ([np.frombuffer(x, np.int64) for x in rows.column(c).to_pylist()] for c in ("doc", "at"))
+        docs = [np.frombuffer(x, np.int64) for x in rows.column("doc").to_pylist()]
+        ats = [np.frombuffer(x, np.int64) if spec.within else np.zeros(len(d), np.int64) for x, d in zip(rows.column("at").to_pylist(), docs)]
         lengths = np.array([len(x) // size for x in number], np.int64)
         # the least place of each segment, then of each group of equal windows
         lead_doc, lead_at = earliest(np.concatenate(local), np.concatenate(docs), np.concatenate(ats), len(lengths))
@@ -350,7 +353,7 @@ def mark_repeats(docs: DataFrame, spec: Spec, finish: Callable[[list, list[np.nd
                     x.append(y)
                 lo = hi
             seg, t, n, d, p = (np.concatenate(x) if x else np.empty(0, np.int64) for x in told)
-            _add(out, 0, name, 0, None, n.astype(np.int32), t.astype(np.int32), d, p, seg.astype(np.int32), None)
+            _add(out, 0, name, 0, None, n.astype(small), t.astype(small), d, p if spec.within else None, seg.astype(np.int32), None)
         return _table(out, SENT)
 
     def close(rows: pa.Table, answers: pa.Table) -> pa.Table:
@@ -358,21 +361,21 @@ def mark_repeats(docs: DataFrame, spec: Spec, finish: Callable[[list, list[np.nd
         hits: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(3)]
         kinds = np.array(answers.column("first").to_pylist(), np.int64)
         for i in np.flatnonzero(kinds < 0).tolist():
-            mine = {c: answers.column(c)[i].as_py() for c in ("sizes", "doc", "at", "owner", "begin")}
-            n_windows = np.frombuffer(mine["sizes"], np.int32).astype(np.int64) - spec.k + 1
+            mine = {c: answers.column(c)[i].as_py() for c in ("sizes", "owner", "begin")}
+            n_windows = np.frombuffer(mine["sizes"], small).astype(np.int64) - spec.k + 1
             start = np.cumsum(n_windows) - n_windows
-            least_doc = np.repeat(np.frombuffer(mine["doc"], np.int64), n_windows)
-            least_at = np.repeat(np.frombuffer(mine["at"], np.int64) - start, n_windows) + np.arange(len(least_doc)) if spec.within else None
+            owner = np.frombuffer(mine["owner"], np.int32).astype(np.int64)
+            row, begin = np.cumsum(np.frombuffer(mine["begin"], np.int32).astype(np.int64).reshape(2, -1), axis=1)
+            doc = np.array([r[0] for r in own], np.int64)[row] if len(row) else row
+            least_doc, least_at = (np.repeat(x, n_windows) for x in earliest(owner, doc, begin, len(n_windows), spec.within))
+            least_at += spread(n_windows)[1]
             for k in np.flatnonzero(kinds >= 0).tolist():
-                seg, t, n, d, p = (np.frombuffer(answers.column(c)[k].as_py(), kind) for c, kind in (("owner", np.int32), ("anchors", np.int32), ("sizes", np.int32), ("doc", np.int64), ("at", np.int64)))
-                run, at = spread(n)
+                seg, t, n, d, p = (np.frombuffer(answers.column(c)[k].as_py(), kind) for c, kind in (("owner", np.int32), ("anchors", small), ("sizes", small), ("doc", np.int64), ("at" if spec.within else "doc", np.int64)))
+                run, at = spread(n.astype(np.int64))
                 w = (start[seg] + t)[run] + at
                 least_doc[w] = d[run]
                 if spec.within:
                     least_at[w] = p[run] + at
-            owner, row = np.frombuffer(mine["owner"], np.int32).astype(np.int64).reshape(2, -1)
-            begin = np.frombuffer(mine["begin"], np.int64)
-            doc = np.array([r[0] for r in own], np.int64)[row] if len(row) else row
             cost = np.cumsum(n_windows[owner])
             lo = 0
             # occurrences are many where a passage is common, so they are expanded in steps
@@ -397,19 +400,19 @@ def mark_repeats(docs: DataFrame, spec: Spec, finish: Callable[[list, list[np.nd
             runs.append(np.stack([begin[a:b], begin[a:b] + count[a:b] + spec.k - 1], 1))
         return pa.Table.from_batches([finish(own, runs)])
 
-    # partition counts follow the text, whatever the session's default is, so tasks stay the same size
-    dealt = dealt.repartition(n_buckets, "bucket")
+    # partition counts follow the text, whatever the session's default is, so tasks stay the same size; each shard is a partition
+    dealt = dealt.repartitionById(n_buckets, "bucket")
     by_bucket = dealt.groupBy("bucket")
-    seeds = by_bucket.applyInArrow(send_anchors, "shard long, bucket long, anchors binary, twice binary")
-    answers = seeds.repartition(n_anchor, "shard").groupBy("shard").applyInArrow(answer_anchors, "bucket long, shard long, shared binary")
-    sent = by_bucket.cogroup(answers.repartition(n_buckets, "bucket").groupBy("bucket")).applyInArrow(send_segments, _ddl(SENT))
-    marked = sent.repartition(n_shards, "shard").groupBy("shard").applyInArrow(answer_segments, _ddl(SENT))
-    return by_bucket.cogroup(marked.repartition(n_buckets, "bucket").groupBy("bucket")).applyInArrow(close, schema)
+    seeds = by_bucket.applyInArrow(send_anchors, "shard int, bucket int, anchors binary, twice binary")
+    answers = seeds.repartitionById(n_anchor, "shard").groupBy("shard").applyInArrow(answer_anchors, "bucket int, shard int, shared binary")
+    sent = by_bucket.cogroup(answers.repartitionById(n_buckets, "bucket").groupBy("bucket")).applyInArrow(send_segments, _ddl(SENT))
+    marked = sent.repartitionById(n_shards, "shard").groupBy("shard").applyInArrow(answer_segments, _ddl(SENT))
+    return by_bucket.cogroup(marked.repartitionById(n_buckets, "bucket").groupBy("bucket")).applyInArrow(close, schema)
 
 
 #: What goes to the window shards, and what they answer with: of each segment of a bucket, or of each run of windows, its
 #: length, the place of its anchor or of the run in it, and the least document and place; and where a bucket has its segments.
-SENT = {"shard": "long", "bucket": "long", "first": "long", "units": "binary", "sizes": "binary", "anchors": "binary", "doc": "binary", "at": "binary", "owner": "binary", "begin": "binary"}
+SENT = {"shard": "int", "bucket": "int", "first": "int", "units": "binary", "sizes": "binary", "anchors": "binary", "doc": "binary", "at": "binary", "owner": "binary", "begin": "binary"}
 
 
 def _ddl(columns: dict[str, str]) -> str:
@@ -422,7 +425,7 @@ def _add(out: dict[str, list], *values) -> None:
 
 
 def _table(out: dict[str, list], columns: dict[str, str]) -> pa.Table:
-    return pa.table({c: pa.array(v, pa.int64() if columns[c] == "long" else pa.binary()) for c, v in out.items()})
+    return pa.table({c: pa.array(v, pa.int32() if columns[c] == "int" else pa.binary()) for c, v in out.items()})
 
 
 def covered(runs: np.ndarray, n: int) -> tuple[np.ndarray, int]:

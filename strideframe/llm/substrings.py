@@ -3,7 +3,9 @@
 A shard's suffixes are split by prefixes of variable length: by their first word, and where too many
 share it by the next, until a group fits in memory or has a whole window in common. In each group the
 sorted suffixes and their common prefixes give the subtree's internal nodes; a node at least as deep as
-a window is a maximal repeat, and the suffixes below it share that window.
+a window is a maximal repeat, and the suffixes below it share that window. Which suffixes meet in a shard is
+decided by anchors (``repeats``), not by prefixes: neighbouring suffixes have no prefix in common, so each would
+have to carry its window alone.
 
 Defined results: null and empty texts have no words and the digest of no bytes; rows with the same
 doc_id count as one document, in which an earlier start decides; a null doc_id counts as larger than
