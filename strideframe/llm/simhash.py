@@ -290,6 +290,27 @@ def common_shingles(cols: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     return found[order], n[order]
 
 
+#: Bits of a filter of rows, in parts of 4096 bytes: 8 MB at most.
+FILTER_BITS, PART_BITS = 1 << 26, 1 << 15
+
+
+def sieve(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows with a column ``may__``: false if their ``row__`` is none of the wanted ones, true for those and few others.
+
+    The filter is broadcast, with at most FILTER_BITS bits. So rows that are not looked for stay where they are; where far
+    more rows are wanted than it has bits, it lets all pass, and the join behind it decides alone.
+    """
+
+    def place(df: DataFrame) -> DataFrame:
+        at = F.pmod(F.xxhash64("row__"), F.lit(FILTER_BITS))
+        return df.withColumns({"part__": F.floor(at / PART_BITS).cast("int"), "bit__": F.pmod(at, F.lit(PART_BITS)).cast("int")})
+
+    bits = place(wanted.select("row__")).groupBy("part__").agg(F.bitmap_construct_agg(F.col("bit__").cast("long")).alias("bits__"))
+    byte = F.conv(F.hex(F.substring("bits__", F.floor(F.col("bit__") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod("bit__", F.lit(8)))), F.lit(2)) == 1, F.lit(False))
+    return place(rows).join(F.broadcast(bits), "part__", "left").withColumn("may__", may).drop("part__", "bit__", "bits__")
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = SIMILARITY, rounds: int = 2) -> DataFrame:
     """The documents with one, of the smallest doc_id, of each group of near duplicates; their columns are unchanged.
 
@@ -350,7 +371,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = S
         quick = written(seen.select("a", "b", (differ * (1 + least) <= (1 - least) * (F.col("size") + F.col("b_size")) + 1e-6).alias("may")))
         may = quick.where("may").select("a", "b")
         need = may.select(F.col("a").alias("row__")).union(may.select("b")).distinct()
-        whole = written(map_texts(cols.join(need, "row__", "left_semi").select("row__", "text"), sets_of, "row__ long, whole binary"))
+        need = written(need)
+        whole = written(map_texts(sieve(cols.select("row__", "text"), need).where("may__").drop("may__").join(need.hint("merge"), "row__", "left_semi"), sets_of, "row__ long, whole binary"))
         both = may.join(whole.withColumnRenamed("row__", "a"), "a").join(whole.select(F.col("row__").alias("b"), F.col("whole").alias("other")), "b")
         slow = written(both.select("a", "b", "whole", "other").mapInArrow(by_set, "a long, b long, ok boolean"))
         return quick.where("NOT may").select("a", "b", F.lit(False).alias("ok")).union(slow)
@@ -387,8 +409,10 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = S
         old.append(at)
     of_set = sets.join(groups, sets.lead == groups.node, "left").select("key", F.coalesce("root", "lead").alias("group"))
     members = marked.select("row__", "doc_id", "key").join(of_set, "key")
-    stay, _ = materialise(members.groupBy("group").agg(F.min(order).alias("lead")).select(F.col("lead.row__").alias("row__")))
+    stay = members.groupBy("group").agg(F.min(order).alias("lead")).select(F.col("lead.row__").alias("row__"))
+    gone, _ = materialise(marked.select("row__").join(stay, "row__", "left_anti"))
     discard(spark, *old)
     release(spark)
-    # a merge join at every size: what stays grows with the documents, so it is never broadcast
-    return base.join(stay.hint("merge"), "row__", "left_semi").select("doc.*")
+    # rows that the filter clears do not move; the join of the others is a merge at every size, as what goes grows with the documents
+    sieved = sieve(base, gone)
+    return sieved.where("NOT may__").select("doc.*").union(sieved.where("may__").join(gone.hint("merge"), "row__", "left_anti").select("doc.*"))
