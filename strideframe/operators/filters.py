@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def succeeded(path: Column) -> Column:
@@ -35,6 +38,25 @@ def count_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return both.where("n_left <> n_right")
 
 
+def isolate(frames: DataFrame, fn: Callable, schema: str, key: str = "episode_id") -> tuple[DataFrame, DataFrame]:
+    """What ``fn`` makes of each episode, and (key, error) of those in which it failed; a failing episode stops no other.
+
+    fn: the frames of an episode as a pandas table -> a table of the schema, which has the key first.
+    """
+    names = [f.name for f in T.StructType.fromDDL(schema).fields]
+
+    def run(episode):
+        import pandas as pd
+
+        try:
+            return fn(episode)[names].assign(error__=None)
+        except Exception as e:  # whatever goes wrong in an episode is that episode's result
+            return pd.DataFrame({names[0]: [episode[key].iloc[0]]}).reindex(columns=names).assign(error__=f"{type(e).__name__}: {e}")
+
+    out = frames.groupBy(key).applyInPandas(run, f"{schema}, error__ string")
+    return out.where("error__ IS NULL").drop("error__"), out.where("error__ IS NOT NULL").select(F.col(names[0]).alias(key), F.col("error__").alias("error"))
+
+
 def require_columns(files: DataFrame, names: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
     """Files (with an array of their column names) that have all required columns, and the others."""
     has = F.size(F.array_except(F.array(*map(F.lit, required)), F.col(names))) == 0

@@ -32,27 +32,40 @@ def episode_summary(frames: DataFrame, ts: str, per_second: float) -> DataFrame:
     return frames.groupBy(KEY).agg(F.count("*").alias("n_frames"), F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts")).withColumn("duration_s", (F.col("end_ts") - F.col("start_ts")) / per_second)
 
 
-def running_offset(df: DataFrame, order: str, value: str, out: str, shards: int = 64) -> DataFrame:
+#: Rows that one range of an order should have.
+RANGE_ROWS = 1 << 20
+
+
+def _ranges(df: DataFrame, order: str, shards: int | None) -> DataFrame:
+    """The rows with ``shard__``, the range of the order column that they are in: as many ranges as the rows fill, found by bisection."""
+    shards = shards or max(1, -(-df.count() // RANGE_ROWS))
+    cuts = sorted(set(df.approxQuantile(order, [i / shards for i in range(1, shards)], min(0.001, 0.1 / shards)))) if shards > 1 else []
+    if not cuts:
+        return df.withColumn("shard__", F.lit(0))
+    from pyspark.ml.feature import Bucketizer
+
+    numbered = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="at__", outputCol="shard__", handleInvalid="keep").transform(df.withColumn("at__", F.col(order).cast("double")))
+    return numbered.withColumn("shard__", F.col("shard__").cast("int")).drop("at__")
+
+
+def running_offset(df: DataFrame, order: str, value: str, out: str, shards: int | None = None) -> DataFrame:
     """The sum of ``value`` over all rows before each one, in the order of a numeric column without ties.
 
     Rows are cut into ranges of the order column, whose few sums are added up first, so no task sees all rows.
     """
-    cuts = sorted(set(df.approxQuantile(order, [i / shards for i in range(1, shards)], 0.001)))
-    shard = sum(((F.col(order) > c).cast("int") for c in cuts), F.lit(0))
-    cut = df.withColumn("shard__", shard)
+    cut = _ranges(df, order, shards)
     sums = cut.groupBy("shard__").agg(F.sum(value).alias("sum__"))
-    before = Window.orderBy("shard__").rowsBetween(Window.unboundedPreceding, -1)  # over at most ``shards`` rows
+    before = Window.orderBy("shard__").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
     base = sums.select("shard__", F.coalesce(F.sum("sum__").over(before), F.lit(0)).alias("base__"))
     inside = Window.partitionBy("shard__").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return cut.join(F.broadcast(base), "shard__").withColumn(out, F.col("base__") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("shard__", "base__")
 
 
-def global_number(df: DataFrame, first: str, *rest: str, out: str = "position", shards: int = 64) -> DataFrame:
+def global_number(df: DataFrame, first: str, *rest: str, out: str = "position", shards: int | None = None) -> DataFrame:
     """The 0-based place of each row in the order (first, *rest), ``first`` being numeric, without one task that sees all rows."""
-    cuts = sorted(set(df.approxQuantile(first, [i / shards for i in range(1, shards)], 0.001)))
-    cut = df.withColumn("shard__", sum(((F.col(first) > c).cast("int") for c in cuts), F.lit(0)))
+    cut = _ranges(df, first, shards)
     counts = cut.groupBy("shard__").agg(F.count("*").alias("n__"))
-    before = Window.orderBy("shard__").rowsBetween(Window.unboundedPreceding, -1)  # over at most ``shards`` rows
+    before = Window.orderBy("shard__").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
     base = counts.select("shard__", F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("base__"))
     inside = Window.partitionBy("shard__").orderBy(first, *rest)
     return cut.join(F.broadcast(base), "shard__").withColumn(out, F.col("base__") + F.row_number().over(inside) - 1).drop("shard__", "base__")

@@ -38,20 +38,33 @@ def continuous_rotation(df: DataFrame) -> DataFrame:
 def replay(deltas: DataFrame, start: tuple[float, ...] = (0, 0, 0, 0, 0, 0, 1)) -> DataFrame:
     """Poses from differences (dx, dy, dz, roll, pitch, yaw), one upon the other, from a start pose.
 
-    Products of poses do not commute, so an episode is one fold over its ordered differences.
+    Products of poses do not commute but can be grouped freely, so an episode is one group in numpy, in which all running
+    products are found by doubling steps: n log n work on whole arrays.
     """
-    names = ("dx", "dy", "dz", "roll", "pitch", "yaw")
-    listed = deltas.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(ORDER, *names))).alias("d"))
-    kind = ", ".join(f"{c}: double" for c in POSE).replace(": ", ":")
-    first = F.struct(*[F.lit(float(v)).alias(c) for c, v in zip(POSE, start)], F.array().cast(f"array<struct<{ORDER}:bigint,{kind}>>").alias("out"))
-
-    def add(a, d):
-        q = G.from_rpy((d["roll"], d["pitch"], d["yaw"]))
-        p, r = G.compose_pose((tuple(a[c] for c in POSE[:3]), tuple(a[c] for c in POSE[3:])), ((d["dx"], d["dy"], d["dz"]), q))
-        pose = [v.alias(c) for c, v in zip(POSE, (*p, *r))]
-        return F.struct(*pose, F.concat(a["out"], F.array(F.struct(d[ORDER].cast("bigint").alias(ORDER), *pose))).alias("out"))
-
-    return listed.select(KEY, F.explode(F.aggregate("d", first, add, lambda a: a["out"])).alias("p")).select(KEY, "p.*")
+    q = G.from_rpy(tuple(F.col(c) for c in ("roll", "pitch", "yaw")))
+    moves = deltas.select(KEY, ORDER, *[F.col(c).cast("double").alias(n) for c, n in zip(("dx", "dy", "dz"), POSE)], *[c.alias(n) for c, n in zip(q, POSE[3:])])
+
+    def run(frames):
+        frames = frames.sort_values(ORDER)
+        p, r = (tuple(frames[c].to_numpy(copy=True) for c in part) for part in (POSE[:3], POSE[3:]))
+        head = G.rotate(start[3:], tuple(c[:1] for c in p)), G.multiply(start[3:], tuple(c[:1] for c in r))
+        for c, v, at in zip(p, head[0], start[:3]):
+            c[:1] = v + at
+        for c, v in zip(r, head[1]):
+            c[:1] = v
+        step = 1
+        while step < len(frames):
+            before = tuple(c[:-step].copy() for c in r)
+            moved = G.rotate(before, tuple(c[step:] for c in p))
+            turned = G.multiply(before, tuple(c[step:] for c in r))
+            moved = [c[:-step] + m for c, m in zip(p, moved)]
+            for c, v in zip((*p, *r), (*moved, *turned)):
+                c[step:] = v
+            step *= 2
+        return frames.assign(**dict(zip(POSE, (*p, *r))))
+
+    kinds = {f.name: f.dataType.simpleString() for f in moves.schema.fields}
+    return moves.groupBy(KEY).applyInPandas(run, ", ".join(f"{c} {t}" for c, t in kinds.items()))
 
 
 def smooth_rotation(df: DataFrame, window: int, order: int, passes: int = 1) -> DataFrame:

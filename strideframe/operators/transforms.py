@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strideframe.functions import arrays
+
 Transform = Callable[[DataFrame], DataFrame]
 
 
@@ -136,6 +138,25 @@ class Group:
         return replace(self, inputs=(*self.inputs, *inputs), outputs=(*outputs, *self.outputs))
 
 
+def normalise(stats: dict[str, dict[str, list[float]]] | None, quantiles: bool = False, strict: bool = False) -> Transform:
+    """Leaves that have statistics, by them: mean and std, or q01 and q99; others unchanged. No statistics change nothing; ``strict``: each must have its leaf."""
+    return _by_stats(stats, ("q01", "q99") if quantiles else ("mean", "std"), arrays.quantile_scale if quantiles else arrays.zscore, strict)
+
+
+def unnormalise(stats: dict[str, dict[str, list[float]]] | None, quantiles: bool = False) -> Transform:
+    """The inverse, in which all statistics must have their leaves."""
+    return _by_stats(stats, ("q01", "q99") if quantiles else ("mean", "std"), arrays.quantile_back if quantiles else arrays.zscore_back, True)
+
+
+def _by_stats(stats: dict[str, dict[str, list[float]]] | None, names: tuple[str, str], fn: Callable[..., Column], strict: bool) -> Transform:
+    def value(numbers: list[float] | None) -> Column:
+        return F.lit(None).cast("array<double>") if numbers is None else F.array(*[F.lit(float(x)) for x in numbers])
+
+    if stats is None:
+        return lambda df: df
+    return apply_leaves(list(stats), lambda path, x: fn(x.cast("array<double>"), *[value(stats[path].get(n)) for n in names]), strict)
+
+
 def default_prompt(prompt: str | None) -> Transform:
     """A prompt column where there is none; nulls in an existing one stay."""
     return lambda df: df if prompt is None or "prompt" in df.columns else df.withColumn("prompt", F.lit(prompt))

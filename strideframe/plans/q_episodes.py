@@ -197,14 +197,34 @@ def keep_range_filter(spark, sf_dir):
     return filters.keep_ranges(f, a.union(b)).select("episode_id", "frame_index", "value")
 
 
-@query("SELECT page_id, url FROM pages WHERE regexp_matches(url, 'host1')")
+@query("SELECT page_id, url FROM pages WHERE regexp_matches(url, '^https?://[a-z.]+/en/[0-9]*[02468]([?#]|$)')")
 def path_filter(spark, sf_dir):
-    return load(spark, sf_dir, "pages").where(F.col("url").rlike("host1")).select("page_id", "url")
+    """Pages in English with an even number."""
+    return load(spark, sf_dir, "pages").where(F.col("url").rlike("^https?://[a-z.]+/en/[0-9]*[02468]([?#]|$)")).select("page_id", "url")
 
 
-@query("SELECT doc_id, regexp_matches(text, 'success') AS succeeded FROM documents")
+@query("SELECT doc_id, doc_id % 3 = 1 OR source LIKE '%1%' AS succeeded FROM documents")
 def success_filter(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", filters.succeeded(F.col("text")).alias("succeeded"))
+    """Paths that tell of success in some part; what only comes near it does not count."""
+    d = load(spark, sf_dir, "documents")
+    path = F.concat(F.lit("runs/"), F.when(F.col("source").contains("1"), "a_success_").otherwise("succes/"), F.when(F.col("doc_id") % 3 == 1, "success").otherwise("failure"), F.lit("/"), F.col("doc_id").cast("string"))
+    return d.select("doc_id", filters.succeeded(path).alias("succeeded"))
+
+
+@query(
+    "WITH {frames}, e AS (SELECT episode_id, count(*) AS n, max(CASE WHEN event_type = 'error' OR value > 480 THEN 1 ELSE 0 END) AS bad, sum(value) AS total FROM f GROUP BY 1) "
+    f"SELECT episode_id, CASE WHEN bad = 0 THEN {s6('total')} END AS total, CASE WHEN bad = 1 THEN 'ValueError: episode ' || episode_id || ' of ' || n || ' frames' END AS error FROM e"
+)
+def episode_isolation(spark, sf_dir):
+    """Episodes with an error or a value out of range fail, each for itself, with its reason; the others are worked on."""
+
+    def work(episode):
+        if (episode["event_type"] == "error").any() or (episode["value"] > 480).any():
+            raise ValueError(f"episode {episode['episode_id'].iloc[0]} of {len(episode)} frames")
+        return episode.groupby("episode_id", as_index=False)["value"].sum().rename(columns={"value": "total"})
+
+    done, failed = filters.isolate(frames(spark, sf_dir), work, "episode_id long, total double")
+    return done.select("episode_id", r6("total").alias("total"), F.lit(None).cast("string").alias("error")).unionByName(failed.select("episode_id", F.lit(None).cast("double").alias("total"), "error"))
 
 
 @query(
@@ -243,18 +263,29 @@ def drop_last_batches(spark, sf_dir):
 _QUOTA = "(SELECT * FROM (VALUES (0, 16), (1, 9), (2, 7)) q(dataset, quota))"
 
 
-@query(f"SELECT CAST(dataset AS INTEGER) AS dataset, CAST(quota AS BIGINT) AS per_batch, CAST(quota * ((SELECT count(*) FROM embeddings WHERE label < 3) // 32) AS BIGINT) AS total FROM {_QUOTA}")
+@query(
+    f"SELECT CAST(dataset AS INTEGER) AS dataset, CAST(quota AS BIGINT) AS per_batch, CAST(quota * ((SELECT count(*) FROM embeddings WHERE label < 3) // 32) AS BIGINT) AS total, true AS in_range, true AS spread, true AS permuted FROM {_QUOTA}"
+)
 def weighted_sample_counts(spark, sf_dir):
-    """Rows that the weighted sampler takes from each dataset: by quota in every batch."""
+    """Rows that the weighted sampler takes from each dataset: by quota in every batch, within the dataset, many different ones, at changing places."""
     sizes = {r["label"]: r["count"] for r in load(spark, sf_dir, "embeddings").where("label < 3").groupBy("label").count().collect()}
     rows = sampling.weighted_batches(spark, [sizes[i] for i in range(3)], [0.5, 0.3, 0.2], 32, seed=3)
-    per = rows.groupBy("batch_id", "dataset").agg(F.count("*").alias("n"))
-    return per.groupBy("dataset").agg(F.max("n").alias("per_batch"), F.sum("n").alias("total"))
+    first = F.element_at(F.array(*[F.lit(sum(sizes[j] for j in range(i))) for i in range(4)]), F.col("dataset") + 1)
+    size = F.element_at(F.array(*[F.lit(sizes[i]) for i in range(3)]), F.col("dataset") + 1)
+    per = rows.groupBy("batch_id", "dataset").agg(F.count("*").alias("n"), F.min("row").alias("low"), F.max("row").alias("high"), F.collect_set("row").alias("rows"), F.array_sort(F.collect_list("place")).alias("places"))
+    out = per.groupBy("dataset").agg(F.max("n").alias("per_batch"), F.sum("n").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_list("rows")))).alias("seen"), F.count_distinct("places").alias("orders"))
+    # of n draws with replacement from s rows some s * (1 - exp(-n / s)) are different
+    likely = size * (1 - F.exp(-F.col("total") / size))
+    return out.select("dataset", "per_batch", "total", ((F.col("low") >= first) & (F.col("high") < first + size)).alias("in_range"), F.col("seen").between(0.7 * likely, 1.3 * likely).alias("spread"), (F.col("orders") > 1).alias("permuted"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS dataset, q AS quota FROM (VALUES (0, 3), (1, 2), (2, 2)) t(i, q)")
+@query(
+    "WITH b AS (SELECT CAST(unnest(range(1, 65)) AS INTEGER) AS batch), w AS (SELECT batch, CAST(trunc(batch * CAST(0.5 AS DOUBLE)) AS INTEGER) AS a, CAST(trunc(batch * CAST(0.3 AS DOUBLE)) AS INTEGER) AS b FROM b) "
+    "SELECT batch, CAST(0 AS INTEGER) AS dataset, a AS quota FROM w UNION ALL SELECT batch, 1, b FROM w UNION ALL SELECT batch, 2, batch - a - b FROM w"
+)
 def batch_quota(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(sampling.quotas([0.5, 0.3, 0.2], 7))), "dataset int, quota int")
+    """Quotas of three datasets in batches of 1 to 64."""
+    return spark.createDataFrame([(n, i, q) for n in range(1, 65) for i, q in enumerate(sampling.quotas([0.5, 0.3, 0.2], n))], "batch int, dataset int, quota int")
 
 
 @query("SELECT n_nationkey, n_name, CAST(unnest(range(3)) AS INTEGER) AS epoch FROM nation")

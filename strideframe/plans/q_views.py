@@ -111,10 +111,20 @@ def latest_values(spark, sf_dir):
     return out.select("episode_id", "frame_index", "click", "view")
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (x >= -1 AND x < 1) AS inside FROM (SELECT 0.0 AS x FROM range(1024))")
+@query("SELECT 1024 AS n, 1024 AS inside, 1024 AS n_distinct, 1024 AS same, 1024 AS token_rows, true AS spread, true AS seeded")
 def fake_source(spark, sf_dir):
-    """A seeded source: so many rows, all within bounds."""
-    return datasets.fake(spark, 1024, {"state": 4}).agg(F.count("*").alias("n"), F.count_if(F.forall("state", lambda v: (v >= -1) & (v < 1))).alias("inside"))
+    """A seeded source: so many different rows, within bounds and all over them, the same for one seed and others for another."""
+    a, again, other = (datasets.fake(spark, 1024, {"state": 4}, {"tokens": 3}, seed=s).select("id", "state", "tokens") for s in (0, 0, 1))
+    both = a.join(again.select("id", F.col("state").alias("again")), "id").join(other.select("id", F.col("state").alias("other")), "id")
+    return both.agg(
+        F.count("*").alias("n"),
+        F.count_if((F.size("state") == 4) & F.forall("state", lambda v: (v >= -1) & (v < 1))).alias("inside"),
+        F.count_distinct("state").alias("n_distinct"),
+        F.count_if(F.col("state") == F.col("again")).alias("same"),
+        F.count_if((F.size("tokens") == 3) & F.forall("tokens", lambda v: (v >= 0) & (v < 2048))).alias("token_rows"),
+        ((F.min(F.array_min("state")) < -0.95) & (F.max(F.array_max("state")) > 0.95) & (F.abs(F.avg(F.get("state", F.lit(0)))) < 0.1)).alias("spread"),
+        (F.count_if(F.col("state") == F.col("other")) == 0).alias("seeded"),
+    )
 
 
 @query(f"WITH {{frames}} SELECT episode_id, count(*) AS frame_count, {s6('avg(value)')} AS mean_value FROM f GROUP BY 1")
@@ -129,18 +139,25 @@ def sink_round_trip(spark, sf_dir):
     return rounded(back.groupBy("episode_id").agg(F.count("*").alias("frame_count"), F.avg("value").alias("mean_value")), "mean_value")
 
 
-@query("SELECT user_id, CAST(user_id % 3 AS INTEGER) >= 0 AS chosen, value AS jitter_free FROM events WHERE event_id < 200")
+@query("SELECT t.i AS choice, true AS fair, n_users, n_events, true AS jitter_fair, true AS seeded FROM (SELECT count(DISTINCT user_id) AS n_users, count(*) AS n_events FROM events), (VALUES (0), (1), (2)) t(i)")
 def episode_choice(spark, sf_dir):
-    """One of three instructions for each episode, and a jitter within bounds."""
-    e = load(spark, sf_dir, "events").where("event_id < 200")
-    pick = sampling.choose(F.col("user_id"), [F.lit(i) for i in range(3)], 4)
-    return e.select("user_id", (pick >= 0).alias("chosen"), F.when(F.abs(sampling.jitter(F.col("event_id"), 2.0)) <= 2, F.col("value")).alias("jitter_free"))
+    """One of three instructions for each episode, always the same one, each about as often; a jitter that fills its bounds."""
+    e = load(spark, sf_dir, "events").select("user_id", sampling.choose(F.col("user_id"), [F.lit(i) for i in range(3)], 4).alias("choice"), sampling.jitter(F.col("event_id"), 2.0).alias("j"), sampling.jitter(F.col("event_id"), 2.0, 1).alias("k"))
+    users = e.groupBy("user_id").agg(F.min("choice").alias("choice"), F.max("choice").alias("other")).where("choice = other")
+    whole = e.agg(F.count_if(F.abs("j") <= 2).alias("n_events"), ((F.min("j") < -1.9) & (F.max("j") > 1.9) & (F.abs(F.avg("j")) < 0.15)).alias("jitter_fair"), (F.avg((F.abs(F.col("j") - F.col("k")) < 1e-9).cast("int")) < 0.01).alias("seeded"))
+    total = users.agg(F.count("*").alias("n_users"))
+    counts = users.groupBy("choice").agg(F.count("*").alias("n")).join(F.broadcast(total)).join(F.broadcast(whole))
+    # a third of the users, within four deviations
+    return counts.select("choice", (F.abs(F.col("n") - F.col("n_users") / 3) < 4 * F.sqrt(F.col("n_users") * 2 / 9)).alias("fair"), "n_users", "n_events", "jitter_fair", "seeded")
 
 
-@query("SELECT n_nationkey AS id, n_name AS name FROM nation")
+@query("SELECT 3 * n_nationkey + 1 AS id, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'go' END AS prompt, 2 AS n_kept FROM nation")
 def leaf_operations(spark, sf_dir):
-    """A function over selected leaves, default prompts and dropped strings."""
+    """A function over selected leaves, default prompts where there are none, and dropped strings."""
     n = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     nested = n.transform(transforms.repack({"a": {"id": "n_nationkey"}, "b": {"name": "n_name"}}))
-    twice = nested.transform(transforms.apply_leaves(["a/id"], lambda _, c: (c * 2).cast("int"), strict=True)).transform(transforms.default_prompt("go"))
-    return twice.where("prompt = 'go'").select((F.col("a.id") / 2).cast("int").alias("id"), F.col("b.name").alias("name"))
+    changed = nested.transform(transforms.apply_leaves(["a/id"], lambda _, c: (c * 3 + 1).cast("int"), strict=True))
+    has = changed.where("(a.id - 1) / 3 % 2 = 0").withColumn("prompt", F.col("b.name")).transform(transforms.default_prompt("go"))
+    out = has.unionByName(changed.where("(a.id - 1) / 3 % 2 = 1").transform(transforms.default_prompt("go")))
+    kept = transforms.drop_strings(out.withColumn("extra", F.lit("x")))
+    return out.select(F.col("a.id").alias("id"), F.col("b.name").alias("name"), "prompt", F.lit(len(kept.columns)).alias("n_kept"))

@@ -140,12 +140,12 @@ def sessions(events: DataFrame, key: str, ts: str, late: str, gap: str, *aggrega
 
 
 def recorder(path: str, names: list[str]):
-    """For foreachBatch: each micro-batch's leaves, flattened, appended under its number."""
+    """For foreachBatch: each micro-batch's leaves, flattened, in a folder of its number; a batch that runs again replaces its own."""
     from strideframe.operators.transforms import flat_names, leaf
 
     def write(batch: DataFrame, step: int) -> None:
         leaves = [n for n in flat_names(batch.schema) if n.split("/")[0] in names]
-        batch.select(F.lit(step).alias("step"), *[leaf(n).alias(n) for n in leaves]).write.mode("append").parquet(path)
+        batch.select(*[leaf(n).alias(n) for n in leaves]).write.mode("overwrite").parquet(f"{path}/step={step}")
 
     return write
 
