@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting by which the shuffle files of a query go when it ends, where it has one.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where that is unset, a local one on a local master, as in tests; a cluster must name one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,13 +31,20 @@ def _path(spark: SparkSession, at: str):
 def materialise(df: DataFrame) -> tuple[DataFrame, str]:
     """The table written and read again, and its path. A lost executor costs the tasks that it had, not the history.
 
-    Whoever makes a table discards it when nothing reads it any more; one that a returned DataFrame still reads goes
+    The shuffle files of the write go with its end, as the table holds their result. Whoever makes a table discards it when nothing reads it any more; one that a returned DataFrame still reads goes
     when the driver ends.
     """
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     fs, path = _path(spark, at)
-    df.write.parquet(at)
+    before = spark.conf.get(_CLEANUP, None)
+    try:
+        if before is not None:
+            spark.conf.set(_CLEANUP, "true")
+        df.write.parquet(at)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
     fs.deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(at), at
 
@@ -44,8 +55,3 @@ def discard(spark: SparkSession, *paths: str) -> None:
         fs, path = _path(spark, at)
         fs.delete(path, True)
         fs.cancelDeleteOnExit(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of tables that were written and are not used again; it does so when the driver collects its garbage."""
-    spark._jvm.System.gc()
