@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strideframe.llm._common import bound_batches, map_texts, slices, table
+from strideframe.llm._common import bound_batches, map_texts, slices, table, text_bytes
 from strideframe.llm.components import components
 from strideframe.llm.storage import discard, materialise
 from strideframe.llm.words import mix, raw
@@ -341,7 +341,12 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = S
     crowd = Window.partitionBy("shingle")
     spread = leads.select("row__", "size", F.explode("first").alias("shingle"))
     classes, classes_at = materialise(spread.withColumn("n", F.count("*").over(crowd)).where("n > 1"))
+    # the prefixes have done their work; what is read again is a small part of the table
+    with_prefixes = marked_at
+    marked, marked_at = materialise(marked.drop("first"))
+    discard(spark, with_prefixes)
     odd = marked.select("row__", "size", "odd")
+    total = text_bytes(cols)
 
     def sets_of():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -365,14 +370,19 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = S
         """(a, b, ok) of pairs (a, b). Those that differ in more bits than similar sets do in shingles need no more."""
         seen = pairs.join(odd.withColumnRenamed("row__", "a"), "a").join(odd.select(F.col("row__").alias("b"), F.col("size").alias("b_size"), F.col("odd").alias("b_odd")), "b")
         differ = sum((F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("b_odd")[i])) for i in range(LONGS)), F.lit(0))
-        quick = written(seen.select("a", "b", (differ * (1 + least) <= (1 - least) * (F.col("size") + F.col("b_size")) + 1e-6).alias("may")))
+        quick = written(seen.select("a", "b", (differ * (1 + least) <= (1 - least) * (F.col("size") + F.col("b_size")) + 1e-6).alias("may"), (8 * (F.col("size") + F.col("b_size"))).cast("long").alias("bytes")))
         may = quick.where("may").select("a", "b")
-        need = may.select(F.col("a").alias("row__")).union(may.select("b")).distinct()
-        need = written(need)
-        whole = written(map_texts(sieve(cols.select("row__", "text"), need).where("may__").drop("may__").join(need.hint("merge"), "row__", "left_semi"), sets_of, "row__ long, whole binary"))
-        both = may.join(whole.withColumnRenamed("row__", "a"), "a").join(whole.select(F.col("row__").alias("b"), F.col("whole").alias("other")), "b")
-        slow = written(both.select("a", "b", "whole", "other").mapInArrow(by_set, "a long, b long, ok boolean"))
-        return quick.where("NOT may").select("a", "b", F.lit(False).alias("ok")).union(slow)
+        # the sets of one part of the pairs at a time are on disk, a quarter of the texts' bytes or 64 MB
+        parts = max(1, -(-int(quick.where("may").agg(F.sum("bytes")).first()[0] or 0) // max(total // 4, 64 << 20)))
+        out = quick.where("NOT may").select("a", "b", F.lit(False).alias("ok"))
+        for k in range(parts):
+            part = may.where(F.pmod(F.xxhash64("b"), F.lit(parts)) == k) if parts > 1 else may
+            need, need_at = materialise(part.select(F.col("a").alias("row__")).union(part.select("b")).distinct())
+            whole, whole_at = materialise(map_texts(sieve(cols.select("row__", "text"), need).where("may__").drop("may__").join(need.hint("merge"), "row__", "left_semi"), sets_of, "row__ long, whole binary"))
+            both = part.join(whole.withColumnRenamed("row__", "a"), "a").join(whole.select(F.col("row__").alias("b"), F.col("whole").alias("other")), "b")
+            out = out.union(written(both.select("a", "b", "whole", "other").mapInArrow(by_set, "a long, b long, ok boolean")))
+            discard(spark, need_at, whole_at)
+        return out
 
     def fits(a: str, b: str):
         return F.least(a, b) >= least * F.greatest(a, b) - 1e-6
