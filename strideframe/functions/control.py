@@ -77,15 +77,27 @@ def mean_threshold(mean: Column, offset: float = 0.25) -> Column:
 WAVES = {"0": (0,), "1": (1,), "0-1": (0, 1), "1-0": (1, 0), "0-1-0": (0, 1, 0), "0-1-0-1-0": (0, 1, 0, 1, 0), "0-1-0-1-0-1-0": (0, 1, 0, 1, 0, 1, 0)}
 
 
-def square_wave(frame: Column, kind: str, edges: list[Column]) -> Column:
-    """The level at a frame; the k-th level holds from the k-th edge on, up to the next."""
+def square_wave(frame: Column, kind: str, edges: list[Column], frames: Column | None = None) -> Column:
+    """The level at a frame; the k-th level holds from the k-th edge, rounded down, up to the next.
+
+    Edges are held within the frames where their number is given: a first one before the last frame. Pulses whose edges do not
+    rise are not there at all.
+    """
     levels = WAVES[kind]
     if len(edges) != len(levels) - 1:
         raise ValueError(f"{kind} has {len(levels) - 1} edges")
+    at = [F.greatest(F.floor(e), F.lit(0)) for e in edges]
+    if frames is not None:
+        at = [F.least(e, frames - 1 if k == 0 and len(at) < 3 else frames) for k, e in enumerate(at)]
     out = F.lit(levels[0])
-    for edge, level in zip(edges, levels[1:]):
+    for edge, level in zip(at, levels[1:]):
         out = F.when(frame >= edge, level).otherwise(out)
-    return out
+    if len(at) < 2:
+        return out
+    rising = at[0] < at[1]
+    for a, b in zip(at[1:], at[2:]):
+        rising = rising & (a < b)
+    return F.when(rising, out).otherwise(levels[0])
 
 
 def fit_weight(signal: Column) -> Column:

@@ -182,6 +182,32 @@ def dolly_offset(step: Column, steps: int, distance: float, center_depth: Column
     return step * distance * center_depth / steps
 
 
+def orbit_offset(step: Column, steps: int, radius: Vec, center_depth: Column, *, clockwise: bool = True, from_zero: bool = True, circles: float = 1) -> Vec:
+    """Where the camera stands at a step of a circling trajectory of at least two steps; it begins at its rest place, or a radius beside it."""
+    if steps < 2:
+        raise ValueError("a circling trajectory has two steps at least")
+    angle = step * (2 * math.pi * circles / (steps - 1))
+    side = (F.cos(angle) - 1) * (1 if clockwise else -1) if from_zero else F.cos(angle)
+    return (radius[0] * side * center_depth, radius[1] * F.sin(angle) * center_depth, radius[2] * F.sin(angle) * center_depth)
+
+
+#: Straight trajectories by name: the axis (x to the right, y down, z forward) and the direction along it.
+MOVES = {"left": (0, -1), "right": (0, 1), "up": (1, -1), "down": (1, 1), "zoom_in": (2, 1), "zoom_out": (2, -1)}
+
+
+def camera_step(kind: str, step: Column, steps: int, distance: float, center_depth: Column, turn: str = "center_facing") -> list[list[Column]]:
+    """The 3x4 view of a camera at a step of a named trajectory, one of MOVES, or a circle clockwise or counterclockwise."""
+    if kind in MOVES:
+        axis, sign = MOVES[kind]
+        way = dolly_offset(step, steps, distance, center_depth) * sign
+        offset = tuple(way if i == axis else F.lit(0.0) for i in range(3))
+    elif kind in ("clockwise", "counterclockwise"):
+        offset = orbit_offset(step, steps, literal((distance, distance, 0.0)), center_depth, clockwise=kind == "clockwise")
+    else:
+        raise ValueError(f"{kind} is no trajectory")
+    return look_at(offset, dolly_target(offset, center_depth, turn))
+
+
 def cross(a: Vec, b: Vec) -> Vec:
     return (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
 

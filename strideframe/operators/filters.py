@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strideframe.functions.tokens import folder_key
+
 
 def succeeded(path: Column) -> Column:
     """Whether a path tells of success."""
@@ -38,6 +40,12 @@ def count_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return both.where("n_left <> n_right")
 
 
+def folder_summary(episodes: DataFrame, folder: str) -> DataFrame:
+    """(folder, n_episodes, date, batch): how many episodes a batch folder holds, for an order by date and batch; other names sort last."""
+    date, batch = folder_key(F.col(folder))
+    return episodes.groupBy(folder).agg(F.count("*").alias("n_episodes")).select(folder, "n_episodes", date.alias("date"), batch.alias("batch"))
+
+
 def isolate(frames: DataFrame, fn: Callable, schema: str, key: str = "episode_id") -> tuple[DataFrame, DataFrame]:
     """What ``fn`` makes of each episode, and (key, error) of those in which it failed; a failing episode stops no other.
 

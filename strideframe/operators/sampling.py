@@ -50,6 +50,22 @@ def batches(df: DataFrame, key: str, size: int, shuffle_seed: int | None = None)
     return placed.where(F.col("position") < total // size * size).withColumn("batch_id", F.floor(F.col("position") / size)).withColumn("place", (F.col("position") % size).cast("int")).drop("position")
 
 
+def take_batches(numbered: DataFrame, wanted: int) -> DataFrame:
+    """``turn`` counts the batches that a consumer takes, ``wanted`` in all: those there are in order, and again from the first when they are used up."""
+    last = numbered.agg(F.max("batch_id").alias("b")).first()["b"]
+    if last is None:
+        raise ValueError("there is no batch")
+    turns = F.sequence(F.col("batch_id").cast("long"), F.lit(wanted - 1).cast("long"), F.lit(last + 1).cast("long"))
+    return numbered.where(F.col("batch_id") < wanted).withColumn("turn", F.explode(turns))
+
+
+def bounded_batches(df: DataFrame, key: str, size: int, max_rows: int | None = None, seed: int = 0) -> DataFrame:
+    """All full batches in order; where ``max_rows`` is less than there are, as many full batches of a shuffled order as it fills."""
+    if max_rows is None or max_rows >= df.count():
+        return batches(df, key, size)
+    return batches(df, key, size, shuffle_seed=seed).where(F.col("batch_id") < max_rows // size)
+
+
 def epochs(df: DataFrame, n: int) -> DataFrame:
     """The rows once for each epoch."""
     return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -209,3 +209,10 @@ def changed(df: DataFrame, columns: list[str], atol: float = 1e-4) -> DataFrame:
     for m in moved[1:]:
         any_ = any_ | m
     return df.withColumn("c__", any_).where("c__").drop("c__")
+
+
+def capture_rate(df: DataFrame, ts: str, every: int = 100, per_second: float = 1e6) -> DataFrame:
+    """Every so many frames, how many were captured in a second since the episode began; 0 where no time has passed."""
+    passed = (F.col(ts) - F.first(ts).over(whole())) / per_second
+    n = F.col(ORDER) + 1
+    return df.withColumn("rate", F.when(passed > 0, n / F.nullif(passed, F.lit(0.0))).otherwise(0.0)).where(n % every == 0)

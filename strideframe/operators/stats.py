@@ -78,3 +78,10 @@ def trimmed_line(df: DataFrame, x: str, y: str, *keys: str, low: float = 0.1, hi
 
 def interval_means(df: DataFrame, step: str, every: int, *columns: str) -> DataFrame:
     return df.groupBy(F.floor(F.col(step) / every).alias("interval")).agg(*[F.avg(c).alias(c) for c in columns])
+
+
+def stage_totals(times: DataFrame, stage: str, seconds: str, *keys: str) -> DataFrame:
+    """How often each stage ran, its seconds, and its share of all (of the keys); the shares are of few rows."""
+    out = times.groupBy(*keys, stage).agg(F.count(seconds).alias("n"), F.sum(seconds).alias("seconds"))
+    total = F.sum("seconds").over(Window.partitionBy(*(keys or [F.lit(1)])))
+    return out.withColumn("share", F.when(total > 0, F.col("seconds") / total).otherwise(0.0))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strideframe.functions import arrays
+from strideframe.functions import arrays, tokens
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -203,6 +203,65 @@ def prompt_from_task(tasks: DataFrame) -> Transform:
     return run
 
 
+def _require(df: DataFrame, *names: str) -> None:
+    if missing := [n for n in names if n not in df.columns]:
+        raise ValueError(f"missing: {missing}")
+
+
+def _prompt() -> Column:
+    return F.coalesce("prompt", F.raise_error(F.lit("a prompt is required")).cast("string"))
+
+
+Encode = Callable[[list[str]], list[list[int]]]
+
+
+def tokenise_prompt(encode: Encode, length: int, with_state: bool = False) -> Transform:
+    """tokenized_prompt and its mask instead of the prompt, cut or padded to a length. ``with_state``: the state's digits follow the task. A null prompt is an error."""
+
+    def run(df: DataFrame) -> DataFrame:
+        _require(df, "prompt", *(["state"] if with_state else []))
+        text = tokens.state_prompt(_prompt(), F.col("state")) if with_state else F.concat(tokens.clean_prompt(_prompt()), F.lit("\n"))
+        out = df.withColumn("tokens__", tokens.tokenise(text, encode)).drop("prompt")
+        return out.withColumns({"tokenized_prompt": tokens.pad_tokens(F.col("tokens__"), length), "tokenized_prompt_mask": tokens.token_mask(F.col("tokens__"), length)}).drop("tokens__")
+
+    return run
+
+
+def tokenise_actions(encode: Encode, encode_actions: Callable[[Column], Column], end: list[int], length: int) -> Transform:
+    """The prompt with its state, then the actions' tokens and the end's: tokens, mask, what attends causally, what counts in the loss.
+
+    encode_actions: the actions column -> an array of token numbers. Rows without actions end behind the prompt.
+    """
+
+    def run(df: DataFrame) -> DataFrame:
+        _require(df, "prompt", "state")
+        out = df.withColumn("prefix__", tokens.tokenise(tokens.state_prompt(_prompt(), F.col("state")), encode)).drop("prompt")
+        postfix = F.array().cast("array<int>")
+        if "actions" in df.columns:
+            postfix = F.when(F.col("actions").isNull(), postfix).otherwise(F.concat(encode_actions(F.col("actions")).cast("array<int>"), F.array(*map(F.lit, end)).cast("array<int>")))
+        parts = tokens.causal_inputs(F.col("prefix__"), F.col("postfix__"), length)
+        names = {"tokens": "tokenized_prompt", "token_mask": "tokenized_prompt_mask", "ar_mask": "token_ar_mask", "loss_mask": "token_loss_mask"}
+        return out.withColumn("postfix__", postfix).withColumns({names[k]: v for k, v in parts.items()}).drop("prefix__", "postfix__")
+
+    return run
+
+
+def extract_actions(decode: Callable[[Column], Column], horizon: int, dim: int) -> Transform:
+    """Actions (horizon x dim) from the action tokens that a model gave; rows without them stay as they are.
+
+    decode: the array of tokens -> an array of values. Values that are missing are zero, those beyond are cut.
+    """
+
+    def run(df: DataFrame) -> DataFrame:
+        if "actions" not in df.columns:
+            return df
+        flat = F.slice(F.concat(decode(F.col("actions")).cast("array<double>"), F.array_repeat(F.lit(0.0), horizon * dim)), 1, horizon * dim)
+        rows = F.transform(F.sequence(F.lit(0), F.lit(horizon - 1)), lambda i: F.slice(F.col("flat__"), i * dim + 1, F.lit(dim)))
+        return df.withColumn("flat__", flat).withColumn("actions", F.when(F.col("flat__").isNotNull(), rows)).drop("flat__")
+
+    return run
+
+
 def drop_strings(df: DataFrame) -> DataFrame:
     return df.select(*[f.name for f in df.schema.fields if not isinstance(f.dataType, T.StringType)])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,26 +60,58 @@ def fake(spark: SparkSession, n: int, widths: dict[str, int], tokens: dict[str,
     return out.select("id", *arrays, *whole)
 
 
-def write_episodes(frames: DataFrame, path: str, *, overwrite: bool = False) -> None:
-    """Frames dealt by episode, an episode in one file and in order, and a small dimension beside them; existing data is an error unless overwritten."""
+def episode_attributes(frames: DataFrame, ts: str | None = None, per_second: float = 1e9, attributes: dict[str, str] | None = None) -> DataFrame:
+    """One row for each episode: its frames, first and last time, duration in seconds, frames a second, and the given attributes as they are."""
+    times = [F.min(ts).alias("start_time"), F.max(ts).alias("end_time")] if ts else []
+    out = frames.select(KEY, *([ts] if ts else [])).groupBy(KEY).agg(F.count("*").alias("n_frames"), *times)
+    if ts:
+        out = out.withColumn("duration", (F.col("end_time") - F.col("start_time")) / per_second)
+        out = out.withColumn("fps", F.when(F.col("duration") > 0, (F.col("n_frames") - 1) / F.nullif("duration", F.lit(0.0))).otherwise(0.0))
+    return out.withColumns({k: F.lit(v) for k, v in (attributes or {}).items()})
+
+
+def write_episodes(frames: DataFrame, path: str, *, overwrite: bool = False, ts: str | None = None, per_second: float = 1e9, attributes: dict[str, str] | None = None) -> None:
+    """Frames dealt by episode, an episode in one file and in order, and a small dimension with their attributes beside them; existing data is an error unless overwritten."""
     mode = "overwrite" if overwrite else "errorifexists"
     frames.repartition(KEY).sortWithinPartitions(KEY, ORDER).write.mode(mode).parquet(f"{path}/frames")
-    frame_counts(frames).write.mode(mode).parquet(f"{path}/episodes")
+    episode_attributes(frames, ts, per_second, attributes).write.mode(mode).parquet(f"{path}/episodes")
+
+
+def next_episode(spark: SparkSession, path: str) -> int:
+    """The number behind all that were written or discarded. There is one writer at a time."""
+    def last(table: str) -> int:
+        try:
+            at = spark.read.schema(f"{KEY} long").parquet(f"{path}/{table}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return -1
+        found = at.agg(F.max(KEY)).first()[0]
+        return -1 if found is None else found
 
+    return max(last("episodes"), last("discarded")) + 1
 
-def append_episode(frames: DataFrame, path: str) -> int:
-    """Appended under the next free episode number, which is returned; an empty episode is skipped."""
-    spark = frames.sparkSession
-    last = spark.read.parquet(f"{path}/episodes").agg(F.max(KEY)).first()[0]
-    number = 0 if last is None else last + 1
+
+def append_episode(frames: DataFrame, path: str, *, ts: str | None = None, per_second: float = 1e9, attributes: dict[str, str] | None = None) -> int:
+    """Appended under the next episode number, which is returned; an empty episode is skipped."""
+    number = next_episode(frames.sparkSession, path)
     if frames.isEmpty():
         return number
     own = frames.withColumn(KEY, F.lit(number).cast("long"))
     own.write.mode("append").parquet(f"{path}/frames")
-    frame_counts(own).write.mode("append").parquet(f"{path}/episodes")
+    episode_attributes(own, ts, per_second, attributes).write.mode("append").parquet(f"{path}/episodes")
     return number
 
 
+def discard_episode(spark: SparkSession, path: str, *, keep_index: bool = False) -> int:
+    """The number that the next episode gets once the current one is given up: its own, or, where that is used up, the one behind."""
+    number = next_episode(spark, path)
+    if keep_index:
+        return number
+    spark.range(number, number + 1).select(F.col("id").alias(KEY)).write.mode("append").parquet(f"{path}/discarded")
+    return number + 1
+
+
 def read_episodes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/frames")
 

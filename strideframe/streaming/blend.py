@@ -129,6 +129,66 @@ def latest_values(events: DataFrame, key: str, ts: str, topic: str, value: str,
     return events.withColumns({t: F.last(F.when(F.col(topic) == t, F.col(value)), True).over(w) for t in topics})
 
 
+def latest_stream(events: DataFrame, topics: list[str]) -> DataFrame:
+    """Sample and hold over a streaming table (stream_id, ts, seq, topic, value): a row whose topic is null is a tick, and gets the latest value of every topic.
+
+    Rows of a micro-batch are taken in the order (ts, seq). State is one value for each topic.
+    """
+    out = "stream_id long, ts timestamp, seq long, " + ", ".join(f"`{t}` double" for t in topics)
+
+    def run(key, parts: Iterator, held: GroupState):
+        import pandas as pd
+
+        last = dict(zip(topics, held.get[0] if held.exists else [None] * len(topics)))
+        given = []
+        for ts, seq, topic, value in pd.concat(list(parts)).sort_values(["ts", "seq"])[["ts", "seq", "topic", "value"]].itertuples(index=False):
+            if topic is None or topic != topic:
+                given.append((key[0], ts, seq, *last.values()))
+            elif topic in last:
+                last[topic] = None if value is None or value != value else float(value)
+        held.update((list(last.values()),))
+        yield pd.DataFrame(given, columns=["stream_id", "ts", "seq", *topics])
+
+    return events.groupBy("stream_id").applyInPandasWithState(run, out, "latest array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def recordings(events: DataFrame) -> DataFrame:
+    """Episodes from a streaming table (stream_id, ts, seq, command): ``toggle`` starts an episode and ends it, ``discard`` gives it up, null is a frame.
+
+    A row for each frame while an episode is recorded (what: frame), one when it is saved, one when it is given up. An episode
+    without frames is not saved. A discarded episode leaves its number to the next attempt. Frames are not held back, so
+    state is a few numbers; ``saved`` keeps those of attempts that were saved.
+    """
+    out = "stream_id long, ts timestamp, seq long, episode long, attempt long, frame_index long, what string"
+
+    def run(key, parts: Iterator, held: GroupState):
+        import pandas as pd
+
+        recording, episode, attempt, n = held.get if held.exists else (False, 0, 0, 0)
+        given = []
+        for ts, seq, command in pd.concat(list(parts)).sort_values(["ts", "seq"])[["ts", "seq", "command"]].itertuples(index=False):
+            if command == "toggle" and not recording:
+                recording, n = True, 0
+            elif command in ("toggle", "discard") and recording:
+                kept = command == "toggle" and n > 0
+                if n:
+                    given.append((key[0], ts, seq, episode, attempt, n, "saved" if kept else "discarded"))
+                recording, episode, attempt = False, episode + kept, attempt + 1
+            elif recording and (command is None or command != command):
+                given.append((key[0], ts, seq, episode, attempt, n, "frame"))
+                n += 1
+        held.update((recording, episode, attempt, n))
+        yield pd.DataFrame(given, columns=["stream_id", "ts", "seq", "episode", "attempt", "frame_index", "what"])
+
+    return events.groupBy("stream_id").applyInPandasWithState(run, out, "recording boolean, episode long, attempt long, n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def saved(recorded: DataFrame) -> DataFrame:
+    """The frames of a stored table of recordings whose attempt was saved."""
+    done = recorded.where("what = 'saved'").select("stream_id", "attempt")
+    return recorded.where("what = 'frame'").join(done, ["stream_id", "attempt"], "left_semi").drop("what", "attempt")
+
+
 def windowed(events: DataFrame, ts: str, late: str, width: str, *aggregates) -> DataFrame:
     """Tumbling-window aggregates of a stream, which wait for rows that are late by no more than ``late``."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, width)).agg(*aggregates)

@@ -290,6 +290,9 @@ def test_dataset_files(spark, tmp_path):
         datasets.write_episodes(df, root)
     assert datasets.append_episode(df, root) == 2 and datasets.append_episode(df.limit(0), root) == 3
     assert datasets.read_episodes(spark, root).count() == 6
+    # a discarded episode uses its number up, or leaves it
+    assert datasets.discard_episode(spark, root, keep_index=True) == 3 and datasets.discard_episode(spark, root) == 4
+    assert datasets.append_episode(df, str(tmp_path / "new")) == 0 and datasets.next_episode(spark, root) == 4
     assert datasets.scan(spark, f"{root}/frames", columns=["v"], episodes=[2]).count() == 3
     assert datasets.files(spark, root, "*.parquet", most=1).count() == 1
     assert datasets.as_features(df, {"value": "v"}).dtypes[-1] == ("value", "array<float>")

@@ -236,3 +236,29 @@ def test_isolated_episodes(spark):
     assert {r["episode_id"]: r["value"] for r in done.collect()} == {1: 0.0, 2: 1.0, 4: 6.0}
     (bad,) = failed.collect()
     assert bad["episode_id"] == 3 and bad["error"].startswith("KeyError")
+
+
+def test_prompt_transforms(spark):
+    from strideframe.operators import transforms
+
+    def encode(texts):
+        return [[ord(c) for c in t] for t in texts]
+
+    df = spark.createDataFrame([("Pick_it", [0.0, -1.0], [5, 6], 1), ("go", [0.5, 1.0], None, 2)], "prompt string, state array<double>, actions array<int>, id int")
+    out = df.transform(transforms.tokenise_prompt(encode, 10)).orderBy("id").collect()
+    assert "prompt" not in out[0] and out[0]["tokenized_prompt"] == [*map(ord, "Pick it\n"), 0, 0] and out[1]["tokenized_prompt_mask"] == [True] * 3 + [False] * 7
+    text = "Task: pick it, State: 128 0;\nAction: "
+    with_state = df.transform(transforms.tokenise_prompt(encode, 60, with_state=True)).where("id = 1").first()
+    assert with_state["tokenized_prompt"][: len(text)] == [*map(ord, text)] and sum(with_state["tokenized_prompt_mask"]) == len(text)
+    rows = df.transform(transforms.tokenise_actions(encode, lambda a: F.transform(a, lambda t: t + 1000), [1], 60)).orderBy("id").collect()
+    n = len(text)
+    assert rows[0]["tokenized_prompt"][n : n + 4] == [1005, 1006, 1, 0]
+    assert rows[0]["token_ar_mask"] == [0] * n + [1] * 3 + [0] * (57 - n) and rows[0]["token_loss_mask"] == [False] * n + [True] * 3 + [False] * (57 - n)
+    assert not any(rows[1]["token_loss_mask"]) and rows[1]["actions"] is None
+    back = df.transform(transforms.extract_actions(lambda t: F.transform(t, lambda x: x / 2), 2, 2)).orderBy("id").collect()
+    assert back[0]["actions"] == [[2.5, 3.0], [0.0, 0.0]] and back[1]["actions"] is None
+    assert transforms.extract_actions(lambda t: t, 1, 1)(df.drop("actions")).columns == ["prompt", "state", "id"]
+    with pytest.raises(ValueError):
+        transforms.tokenise_prompt(encode, 4)(df.drop("prompt"))
+    with pytest.raises(Exception, match="a prompt is required"):
+        df.withColumn("prompt", F.lit(None).cast("string")).transform(transforms.tokenise_prompt(encode, 4)).collect()

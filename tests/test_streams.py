@@ -62,6 +62,31 @@ def test_keyed_stream(spark, tmp_path):
     assert got == {(1, 1): first[0], (1, 2): first[1], (1, 4): s.pop().tolist(), (2, 0): None}
 
 
+def streamed(spark, tmp_path, rows, schema, make, name):
+    src = str(tmp_path / "in")
+    df = spark.createDataFrame(rows, schema)
+    df.withColumn("ts", F.timestamp_seconds("ts")).coalesce(1).write.parquet(src)
+    stream = make(spark.readStream.schema(schema.replace("ts long", "ts timestamp")).parquet(src))
+    q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    table = spark.table(name)
+    return spark.createDataFrame(table.collect(), table.schema)
+
+
+def test_latest_stream(spark, tmp_path):
+    rows = [(1, 0, 0, "a", 1.0), (1, 1, 1, None, None), (1, 2, 2, "b", 5.0), (1, 2, 3, "a", 2.0), (1, 3, 4, None, None), (2, 0, 5, None, None), (1, 4, 6, "other", 9.0), (1, 5, 7, None, None)]
+    got = streamed(spark, tmp_path, rows, "stream_id long, ts long, seq long, topic string, value double", lambda e: blend.latest_stream(e, ["a", "b"]), "latest")
+    assert {r["seq"]: (r["a"], r["b"]) for r in got.collect()} == {1: (1.0, None), 4: (2.0, 5.0), 5: (None, None), 7: (2.0, 5.0)}
+
+
+def test_recordings(spark, tmp_path):
+    commands = [None, "toggle", None, None, "toggle", None, "toggle", None, "discard", "toggle", "toggle", "toggle", None, "toggle", "discard", "toggle", None]
+    rows = [(1, i, i, c) for i, c in enumerate(commands)]
+    got = streamed(spark, tmp_path, rows, "stream_id long, ts long, seq long, command string", blend.recordings, "recorded")
+    assert [(r["seq"], r["episode"], r["what"]) for r in got.where("what <> 'frame'").orderBy("seq").collect()] == [(4, 0, "saved"), (8, 1, "discarded"), (13, 1, "saved")]
+    assert sorted((r["seq"], r["episode"], r["frame_index"]) for r in blend.saved(got).collect()) == [(2, 0, 0), (3, 0, 1), (12, 1, 0)]
+
+
 def test_windows_and_sessions(spark, tmp_path):
     src = tmp_path / "in"
     spark.range(100).select((F.col("id") % 2).alias("k"), F.timestamp_seconds(F.col("id") + F.when(F.col("id") >= 50, 1000).otherwise(0)).alias("ts"), F.lit(1.0).alias("v")).write.parquet(str(src))
