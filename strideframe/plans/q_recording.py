@@ -57,11 +57,11 @@ def stage_totals(spark, sf_dir):
     return rounded(out, "share").withColumn("seconds", F.round("seconds", 4) + F.lit(0.0))
 
 
-@query("WITH g AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS p, (SELECT count(*) FROM events) // 64 AS n FROM events), b AS (SELECT event_id, p // 64 AS batch_id, n FROM g WHERE p < n * 64), t AS (SELECT t.turn, t.turn % m.n AS batch_id FROM range(40) t(turn), (SELECT max(n) AS n FROM b) m) SELECT t.turn, t.batch_id, min(event_id) AS low, CAST(sum(event_id) AS BIGINT) AS ids FROM t JOIN b USING (batch_id) GROUP BY 1, 2")
+@query("WITH g AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS p, (SELECT count(*) FROM events) // 64 AS n FROM events), b AS (SELECT event_id, p // 64 AS batch_id, n FROM g WHERE p < n * 64), t AS (SELECT t.turn, t.turn % m.n AS batch_id FROM range(400) t(turn), (SELECT max(n) AS n FROM b) m) SELECT t.turn, t.batch_id, min(event_id) AS low, CAST(sum(event_id) AS BIGINT) AS ids FROM t JOIN b USING (batch_id) GROUP BY 1, 2")
 def batch_restart(spark, sf_dir):
-    """Forty batches, whether there are more or fewer."""
+    """Four hundred batches, whether there are more or fewer."""
     numbered = sampling.batches(load(spark, sf_dir, "events").select("event_id"), "event_id", 64)
-    return sampling.take_batches(numbered, 40).groupBy("turn", "batch_id").agg(F.min("event_id").alias("low"), F.sum("event_id").alias("ids"))
+    return sampling.take_batches(numbered, 400).groupBy("turn", "batch_id").agg(F.min("event_id").alias("low"), F.sum("event_id").alias("ids"))
 
 
 @query("SELECT t.k AS cut, CASE WHEN t.k < n THEN t.k // 32 ELSE n // 32 END AS n_batches, CASE WHEN t.k < n THEN t.k // 32 ELSE n // 32 END * 32 AS n_rows, CASE WHEN t.k < n THEN t.k // 32 ELSE n // 32 END * 32 AS n_distinct, t.k < n AS mixed FROM (SELECT count(*) AS n FROM events) e, (VALUES (200), (100000000)) t(k)")
