@@ -87,6 +87,27 @@ def jitter(key: Column, amount: float, seed: int = 0) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / F.lit(float(1 << 30)) * 2 - 1) * amount
 
 
+#: Fixed values of the training distortions: share of a side that a crop keeps, degrees, and changes of brightness, contrast and saturation.
+CROP, DEGREES, COLOUR = 0.95, 5.0, {"brightness": 0.3, "contrast": 0.4, "saturation": 0.5}
+
+
+def distortion(key: Column, camera: Column, width: int, height: int, seed: int = 0) -> dict[str, Column]:
+    """How training distorts an image: begin and size of its crop, its rotation in degrees, and changes of its colours.
+
+    Drawn from the key, so a task that runs again draws the same. Cameras at a wrist keep their view.
+    """
+    w, h = int(width * CROP), int(height * CROP)
+    wrist = camera.contains("wrist")
+    view = {
+        "crop_x": F.when(wrist, 0).otherwise(draw(seed, F.lit("x"), key, below=F.lit(width - w + 1)).cast("int")),
+        "crop_y": F.when(wrist, 0).otherwise(draw(seed, F.lit("y"), key, below=F.lit(height - h + 1)).cast("int")),
+        "crop_w": F.when(wrist, width).otherwise(w),
+        "crop_h": F.when(wrist, height).otherwise(h),
+        "angle": F.when(wrist, 0.0).otherwise(jitter(F.struct(F.lit("angle"), key), DEGREES, seed)),
+    }
+    return view | {name: jitter(F.struct(F.lit(name), key), most, seed) for name, most in COLOUR.items()}
+
+
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     """A total order by hash; equal on every run."""
     return df.orderBy(F.xxhash64(F.lit(seed), key), key)

@@ -127,3 +127,26 @@ def camera_path(spark, sf_dir):
         one = part.select("p_partkey", F.lit(kind).alias("kind"), *[r6(c).alias(n) for n, c in cells.items()])
         out = one if out is None else out.union(one)
     return out
+
+
+@query(
+    "SELECT CASE WHEN event_id % 2 = 0 THEN 'left_wrist' ELSE 'base' END AS camera, count(*) AS n, CASE WHEN event_id % 2 = 0 THEN 224 ELSE 212 END AS crop_w, CASE WHEN event_id % 2 = 0 THEN 160 ELSE 152 END AS crop_h, "
+    "0 AS low_x, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 12 END AS high_x, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 8 END AS high_y, event_id % 2 = 1 AS turned, true AS coloured, true AS apart FROM events GROUP BY event_id % 2"
+)
+def distortions(spark, sf_dir):
+    """Crops, angles and colours that fill their bounds, independent of each other, and none of the view at a wrist."""
+    e = load(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "left_wrist").otherwise("base").alias("camera"))
+    d = e.select("camera", *[c.alias(n) for n, c in sampling.distortion(F.col("event_id"), F.col("camera"), 224, 160).items()])
+    fills = [(F.min(n) < -0.9 * most) & (F.max(n) > 0.9 * most) & (F.max(F.abs(n)) <= most) for n, most in sampling.COLOUR.items()]
+    turned = (F.min("angle") < -4.5) & (F.max("angle") > 4.5) & (F.max(F.abs("angle")) <= 5)
+    return d.groupBy("camera").agg(
+        F.count("*").alias("n"),
+        F.max("crop_w").alias("crop_w"),
+        F.max("crop_h").alias("crop_h"),
+        F.min("crop_x").alias("low_x"),
+        F.max("crop_x").alias("high_x"),
+        F.max("crop_y").alias("high_y"),
+        turned.alias("turned"),
+        (fills[0] & fills[1] & fills[2]).alias("coloured"),
+        (F.abs(F.corr("brightness", "contrast")) < 0.2).alias("apart"),
+    )
