@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.functions import arrays, control, images
-from strideframe.operators.transforms import Group
+from strideframe.operators.transforms import Encode, Group, default_prompt, extract_actions, tokenise_actions, tokenise_prompt
 from strideframe.plans.pipelines import register
 from strideframe.schema import ACTION_DIM, MODEL_DIM
 
@@ -126,6 +127,22 @@ def resized(height: int, width: int):
     return run
 
 
+#: Height and width of what a model sees.
+SEEN = (224, 224)
+
+
+@register("flow_model")
+def flow_model(encode: Encode, length: int, dim: int = MODEL_DIM, prompt: str | None = None, with_state: bool = False) -> Group:
+    """What a model of continuous actions takes: images of one size, prompt tokens (with the state's digits if asked for), and vectors of its width."""
+    return Group(inputs=(default_prompt(prompt), resized(*SEEN), tokenise_prompt(encode, length, with_state), lambda df: padded(df, dim)))
+
+
+@register("token_model")
+def token_model(encode: Encode, encode_actions: Callable[[Column], Column], decode_actions: Callable[[Column], Column], end: list[int], length: int, horizon: int, dim: int, prompt: str | None = None) -> Group:
+    """What a model that writes actions as tokens takes, and its actions from the tokens that it gives."""
+    return Group(inputs=(default_prompt(prompt), resized(*SEEN), tokenise_actions(encode, encode_actions, end, length)), outputs=(extract_actions(decode_actions, horizon, dim),))
+
+
 def observation(df: DataFrame) -> DataFrame:
     """Images as [-1, 1], and prompt tokens only together with their mask."""
     if ("tokenized_prompt" in df.columns) != ("tokenized_prompt_mask" in df.columns):

@@ -262,3 +262,20 @@ def test_prompt_transforms(spark):
         transforms.tokenise_prompt(encode, 4)(df.drop("prompt"))
     with pytest.raises(Exception, match="a prompt is required"):
         df.withColumn("prompt", F.lit(None).cast("string")).transform(transforms.tokenise_prompt(encode, 4)).collect()
+
+
+def test_model_groups(spark):
+    def encode(texts):
+        return [[ord(c) for c in t] for t in texts]
+
+    state = F.array(F.lit(0.5), F.lit(-0.5))
+    df = sample(spark, ["top_head", "hand_left", "hand_right"], state=state, actions=F.array(state)).transform(lambda d: adapters.image_slots(d, {adapters.BASE: "top_head", adapters.LEFT: "hand_left", adapters.RIGHT: "hand_right"}))
+    r = pipelines.run_group(pipelines.named("flow_model", encode=encode, length=6, dim=4, prompt="go on"), df).first()
+    assert r["tokenized_prompt"] == [*map(ord, "go on\n")] and all(r["tokenized_prompt_mask"]) and r["state"] == [0.5, -0.5, 0.0, 0.0]
+    assert (r["image"][adapters.LEFT]["height"], r["image"][adapters.LEFT]["width"]) == adapters.SEEN and r["action_mask"] == [[True, True, False, False]]
+    group = pipelines.named("token_model", encode=encode, encode_actions=lambda a: F.array(F.lit(7), F.lit(8)), decode_actions=lambda t: F.transform(t, lambda x: x / 2), end=[1], length=50, horizon=1, dim=2, prompt="go")
+    r = pipelines.run_group(group, df).first()
+    n = len("Task: go, State: 192 64;\nAction: ")
+    assert r["tokenized_prompt"][n : n + 3] == [7, 8, 1] and r["token_loss_mask"].index(True) == n and sum(r["token_ar_mask"]) == 3
+    given = spark.createDataFrame([([7, 8, 9],)], "actions array<int>")
+    assert group.outputs[0](given).first()["actions"] == [[3.5, 4.0]]
