@@ -227,6 +227,8 @@ LONGS = 4
 COUNTED, COMMON, OFTEN = 1 << 14, 1 << 18, 3
 #: Rows of a class that one task pairs with as many others.
 CROWD = 1000
+#: A shingle that more rows have among their first ones is crowded, and comes behind all others.
+CROWDED = 8
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -258,16 +260,20 @@ def similarity(a: bytes, b: bytes) -> float:
     return common / (len(both) - common)
 
 
-def prefix(h: np.ndarray, least: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in an order that all sets share, so many that two similar sets must have one of them in common.
+def needed(size: int, least: float) -> int:
+    """So many shingles of a set, whichever they are, that a similar set must have one of them."""
+    return size - math.ceil(least * size - 1e-6) + 1 if size else 0
 
-    Common shingles (ascending, with their ranks) come last. The order decides how many candidates there are, never which pairs are found.
+
+def in_order(h: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The shingles of a set in an order that all sets share: common ones (ascending, with their ranks) come last.
+
+    The order decides how many candidates there are, never which pairs are found.
     """
-    size = len(h) - math.ceil(least * len(h) - 1e-6) + 1 if len(h) else 0
     if len(common):
         at = np.minimum(np.searchsorted(common, h), len(common) - 1)
         h = h[np.argsort(np.where(common[at] == h, rank[at], 0), kind="stable")]
-    return h[:size]
+    return h
 
 
 def common_shingles(cols: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -311,12 +317,14 @@ def sieve(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return place(rows).join(F.broadcast(bits), "part__", "left").withColumn("may__", may).drop("part__", "bit__", "bits__")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = SIMILARITY, rounds: int = 2) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = SIMILARITY, rounds: int = 3, crowded: int = CROWDED) -> DataFrame:
     """The documents with one, of the smallest doc_id, of each group of near duplicates; their columns are unchanged.
 
-    Two sets of at least this similarity share a shingle of their prefixes, so the rows with one prefix shingle
-    are a class, and all pairs that matter meet in one. For some rounds each class is compared with one of its
-    rows; then every pair of a class that no links join yet is compared. Whole shingle sets decide.
+    Two sets of at least this similarity share a shingle of their prefixes, in any order of shingles that is the same for all.
+    The order puts crowded shingles last, as counted over all rows; so the passages that documents share fill no prefix
+    but those of rows that have little else. The rows with one prefix shingle are a class, and all pairs that matter meet in one.
+    For some rounds each class is compared with one of its rows; then every pair of a class that no links join yet is
+    compared. Whole shingle sets decide.
     """
     spark = docs.sparkSession
     base, _ = materialise(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row__")))
@@ -326,7 +334,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = S
     def rows():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys, each, _ = sketches(batch.column("text").to_pylist(), words)
-            firsts = [prefix(h, least, common, rank).view(np.int64) for h in each]
+            # half as many again as are needed, as crowded ones fall out
+            firsts = [in_order(h, common, rank)[: needed(len(h), least) * 3 // 2].view(np.int64) for h in each]
             ends = np.cumsum([0, *map(len, firsts)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *firsts])))
             sizes = pa.array([len(h) for h in each], pa.int32())
@@ -339,8 +348,33 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = S
     sets, sets_at = materialise(marked.groupBy("key").agg(F.min(order).alias("lead")).select("key", F.col("lead.row__").alias("lead")))
     leads = marked.join(sets.select(F.col("lead").alias("row__")), "row__", "left_semi")
     crowd = Window.partitionBy("shingle")
-    spread = leads.select("row__", "size", F.explode("first").alias("shingle"))
-    classes, classes_at = materialise(spread.withColumn("n", F.count("*").over(crowd)).where("n > 1"))
+    spread = leads.select("row__", F.posexplode("first").alias("at", "shingle"))
+    crowds, crowds_at = materialise(spread.withColumn("n", F.count("*").over(crowd)).where(F.col("n") > crowded))
+    need = F.col("size") - F.ceil(least * F.col("size") - 1e-6) + 1
+    held = leads.join(crowds.groupBy("row__").agg(F.array_sort(F.collect_list("at")).alias("out")), "row__", "left").withColumn("out", F.coalesce("out", F.array().cast("array<int>")))
+    held = held.withColumn("poor", (F.size("out") > 0) & (F.size("first") - F.size("out") < need))
+    # the prefix ends where enough shingles that are not crowded have been passed
+    end = need + F.size(F.filter(F.transform("out", lambda x, i: x - i), lambda v: v < need))
+    rich = held.where("NOT poor").select("row__", "size", "out", end.alias("end"), F.posexplode("first").alias("at", "shingle"))
+    rich = rich.where((F.col("at") < F.col("end")) & ~F.array_contains("out", F.col("at"))).select("row__", "size", "shingle")
+    poor, poor_at = materialise(held.where("poor").select("row__"))
+
+    def all_of():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            each = [in_order(shingle_set(t, words), common, rank).view(np.int64) for t in batch.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, each)])
+            return pa.RecordBatch.from_arrays([batch.column("row__"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *each])))], ["row__", "all"])
+
+        return step
+
+    # rows of crowded shingles alone, nearly: which of all their shingles are crowded
+    texts = sieve(cols.select("row__", "text"), poor).where("may__").drop("may__").join(poor.hint("merge"), "row__", "left_semi")
+    whole = map_texts(texts, all_of, "row__ long, all array<long>").select("row__", F.size("all").alias("size"), F.posexplode("all").alias("at", "shingle"))
+    looked = whole.join(crowds.groupBy("shingle").agg(F.first("n").alias("n")), "shingle", "left")
+    place = F.row_number().over(Window.partitionBy("row__").orderBy(F.coalesce("n", F.lit(0)), "at"))
+    least_crowded = looked.withColumn("place", place).where(F.col("place") <= need).select("row__", "size", "shingle")
+    classes, classes_at = materialise(rich.union(least_crowded).withColumn("n", F.count("*").over(crowd)).where("n > 1"))
+    discard(spark, crowds_at, poor_at)
     # the prefixes have done their work; what is read again is a small part of the table
     with_prefixes = marked_at
     marked, marked_at = materialise(marked.drop("first"))
