@@ -544,6 +544,27 @@ def test_pipeline_near_duplicates_are_all_found(spark, length):
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()) == want
 
 
+def test_pipeline_near_duplicates_of_crowded_shingles(spark, monkeypatch):
+    """Texts that consist of common passages in part or wholly, with no sample to tell: prefixes of other shingles and of crowded ones meet."""
+    monkeypatch.setattr(simhash, "COUNTED", 1)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    passages = [[rng.choice(words) for _ in range(30)] for _ in range(6)]
+    texts = []
+    for f in range(60):
+        own = [rng.choice(words) for _ in range((0, 5, 12, 40)[f % 4])]
+        t = [w for p in rng.sample(passages, 1 + f % 3) for w in p] + own
+        for _ in range(3):
+            texts.append(" ".join(t))
+            at = rng.randrange(len(t))
+            t = t[:at] + [rng.choice(words)] + t[at + 1 + rng.randrange(2) :]
+    rng.shuffle(texts)
+    want = near_brute(texts)
+    assert 30 < len(want) < len(texts) - 60
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df, rounds=1, crowded=3).collect()) == want
+
+
 # decontamination
 
 
