@@ -544,8 +544,8 @@ def test_pipeline_near_duplicates_are_all_found(spark, length):
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()) == want
 
 
-def test_pipeline_near_duplicates_of_crowded_shingles(spark, monkeypatch):
-    """Texts that consist of common passages in part or wholly, with no sample to tell: prefixes of other shingles and of crowded ones meet."""
+def test_pipeline_near_duplicates_of_shared_passages(spark, monkeypatch):
+    """Texts that consist of common passages in part or wholly, with no sample to tell which shingles are common, against every pair."""
     monkeypatch.setattr(simhash, "COUNTED", 1)
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
@@ -562,7 +562,7 @@ def test_pipeline_near_duplicates_of_crowded_shingles(spark, monkeypatch):
     want = near_brute(texts)
     assert 30 < len(want) < len(texts) - 60
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
-    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df, rounds=1, crowded=3).collect()) == want
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df, rounds=1).collect()) == want
 
 
 # decontamination
