@@ -221,8 +221,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Pipeline defaults: words of a shingle and the least similarity of near duplicates.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Longs of the parity bits that travel with a row.
-LONGS = 4
+#: Bits within which fingerprints of two texts make them candidates.
+RADIUS = 2
+#: Rows of an Arrow batch of pairs with their sets: a long text's set takes hundreds of kilobytes.
+PAIR_ROWS = 64
 #: Rows whose shingles are counted to put common shingles last, shingles that are put last, and their least count.
 COUNTED, COMMON, OFTEN = 1 << 14, 1 << 18, 3
 #: Rows of a class that one task pairs with as many others.
@@ -241,10 +243,28 @@ def sketches(texts: list[str | None], words: int) -> tuple[list[bytes], list[np.
     return [xxhash.xxh3_128_digest(w) for w in whole], each, whole
 
 
-def parities(h: np.ndarray) -> list[int]:
-    """Bits that say whether an odd number of the set's shingles falls on each; two sets differ in no more bits than shingles."""
-    odd = np.bincount((h & np.uint64(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+def parities(h: np.ndarray) -> bytes:
+    """Bits that say whether an odd number of the set's shingles falls on each: two to four for a shingle, a power of two, 64 at least.
+
+    Two sets differ in no more bits than shingles. Both halves of the bits, one over the other, are those of half the number.
+    """
+    bits = 1 << max(6, (2 * len(h) - 1).bit_length())
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def parity_distance(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Bits in which the parities of pairs differ, at the shorter length of each pair."""
+    la, lb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    out = np.zeros(len(a), np.int64)
+    for n, m in set(zip(la.tolist(), lb.tolist())):
+        at = np.flatnonzero((la == n) & (lb == m))
+        x, y = (np.frombuffer(b"".join(side[i] for i in at), "<u8").reshape(len(at), -1) for side in (a, b))
+        while x.shape[1] != y.shape[1]:
+            half = max(x.shape[1], y.shape[1]) // 2
+            x, y = (z[:, :half] ^ z[:, half:] if z.shape[1] > half else z for z in (x, y))
+        out[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -311,12 +331,13 @@ def sieve(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return place(rows).join(F.broadcast(bits), "part__", "left").withColumn("may__", may).drop("part__", "bit__", "bits__")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = SIMILARITY, rounds: int = 2) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = SIMILARITY, rounds: int = 2, radius: int = RADIUS) -> DataFrame:
     """The documents with one, of the smallest doc_id, of each group of near duplicates; their columns are unchanged.
 
-    Two sets of at least this similarity share a shingle of their prefixes, so the rows with one prefix shingle
-    are a class, and all pairs that matter meet in one. For some rounds each class is compared with one of its
-    rows; then every pair of a class that no links join yet is compared. Whole shingle sets decide.
+    Fingerprints within the radius of each other, found as in ``near_duplicates``, are compared first; whole shingle sets
+    decide. The others have an exact way: two sets of at least this similarity share a shingle of their prefixes, so the
+    rows with one prefix shingle are a class, and all pairs that matter meet in one. For some rounds each class is
+    compared with one of its rows; then every pair of a class that no links join yet is compared.
     """
     spark = docs.sparkSession
     base, _ = materialise(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row__")))
@@ -330,22 +351,34 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = S
             ends = np.cumsum([0, *map(len, firsts)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *firsts])))
             sizes = pa.array([len(h) for h in each], pa.int32())
-            return pa.RecordBatch.from_arrays([batch.column("row__"), batch.column("doc_id"), pa.array(keys, pa.binary()), sizes, lists, pa.array([parities(h) for h in each], pa.list_(pa.int64()))], ["row__", "doc_id", "key", "size", "first", "odd"])
+            fps, odd = pa.array(fingerprints(each).view(np.int64)), pa.array([parities(h) for h in each], pa.binary())
+            return pa.RecordBatch.from_arrays([batch.column("row__"), batch.column("doc_id"), pa.array(keys, pa.binary()), sizes, fps, lists, odd], ["row__", "doc_id", "key", "size", "fp", "first", "odd"])
 
         return step
 
-    marked, marked_at = materialise(map_texts(cols, rows, "row__ long, doc_id long, key binary, size int, first array<long>, odd array<long>"))
+    marked, marked_at = materialise(map_texts(cols, rows, "row__ long, doc_id long, key binary, size int, fp long, first array<long>, odd binary"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row__")
     sets, sets_at = materialise(marked.groupBy("key").agg(F.min(order).alias("lead")).select("key", F.col("lead.row__").alias("lead")))
-    leads = marked.join(sets.select(F.col("lead").alias("row__")), "row__", "left_semi")
+    leads, leads_at = materialise(marked.join(sets.select(F.col("lead").alias("row__")), "row__", "left_semi").drop("doc_id", "key"))
     crowd = Window.partitionBy("shingle")
-    spread = leads.select("row__", "size", F.explode("first").alias("shingle"))
-    classes, classes_at = materialise(spread.withColumn("n", F.count("*").over(crowd)).where("n > 1"))
-    # the prefixes have done their work; what is read again is a small part of the table
+    spread = leads.select("row__", "size", F.posexplode("first").alias("pos", "shingle"))
+    shared, shared_at = materialise(spread.withColumn("n", F.count("*").over(crowd)).where("n > 1"))
+    # classes of the same rows are one class: that of the shingle which comes first in the common order
+    same = shared.groupBy("shingle").agg(F.bit_xor(F.xxhash64("row__", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("row__", F.lit(2))).alias("y"), F.count("*").alias("n"), F.min(F.struct("row__", "pos")).alias("low"))
+    one_each = same.groupBy("x", "y", "n", "low.row__").agg(F.min(F.struct("low.pos", "shingle")).alias("s")).select("s.shingle")
+    classes, classes_at = materialise(shared.join(one_each, "shingle", "left_semi"))
+    discard(spark, shared_at)
+    # fingerprints of the different sets, one row for each
+    nodes, nodes_at = materialise(leads.where("size > 0").groupBy("fp").agg(F.min("row__").alias("b")))
+    near = link(nodes.select("fp"), radius).select(F.col("a").alias("fp"), F.col("b").alias("to"))
+    linked = near.join(nodes.withColumnRenamed("b", "a"), "fp").select("a", F.col("to").alias("fp")).join(nodes, "fp").select("a", "b")
+    equal = leads.where("size > 0").select(F.col("row__").alias("a"), "fp").join(nodes, "fp").where("a <> b").select("a", "b")
+    found, found_at = materialise(linked.union(equal).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    # what is read again is a small part of the table
+    odd, odd_at = materialise(leads.select("row__", "size", "odd").join(classes.select("row__").union(found.select("a")).union(found.select("b")).distinct(), "row__", "left_semi"))
     with_prefixes = marked_at
-    marked, marked_at = materialise(marked.drop("first"))
-    discard(spark, with_prefixes)
-    odd = marked.select("row__", "size", "odd")
+    marked, marked_at = materialise(marked.select("row__", "doc_id", "key"))
+    discard(spark, with_prefixes, leads_at, nodes_at)
     total = text_bytes(cols)
 
     def sets_of():
@@ -354,23 +387,39 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = S
 
         return step
 
+    def by_parity(batches):
+        for batch in batches:
+            both = np.asarray(batch.column("size"), np.int64) + np.asarray(batch.column("b_size"), np.int64)
+            differ = parity_distance(batch.column("odd").to_pylist(), batch.column("b_odd").to_pylist())
+            # sets that differ in more bits than similar sets do in shingles need no more
+            may = differ * (1 + least) <= (1 - least) * both + 1e-6
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(may), pa.array(8 * both)], ["a", "b", "may", "bytes"])
+
     def by_set(batches):
         for batch in batches:
             ok = [similarity(a, b) >= least for a, b in zip(batch.column("whole").to_pylist(), batch.column("other").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-    old = [marked_at, sets_at, classes_at]
+    old = [marked_at, sets_at, classes_at, found_at, odd_at]
 
     def written(df: DataFrame) -> DataFrame:
         df, at = materialise(df)
         old.append(at)
         return df
 
+    def in_small_batches(df: DataFrame) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        held = spark.conf.get(key)
+        spark.conf.set(key, PAIR_ROWS)
+        try:
+            return written(df)
+        finally:
+            spark.conf.set(key, held)
+
     def compare(pairs: DataFrame) -> DataFrame:
-        """(a, b, ok) of pairs (a, b). Those that differ in more bits than similar sets do in shingles need no more."""
+        """(a, b, ok) of pairs (a, b)."""
         seen = pairs.join(odd.withColumnRenamed("row__", "a"), "a").join(odd.select(F.col("row__").alias("b"), F.col("size").alias("b_size"), F.col("odd").alias("b_odd")), "b")
-        differ = sum((F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("b_odd")[i])) for i in range(LONGS)), F.lit(0))
-        quick = written(seen.select("a", "b", (differ * (1 + least) <= (1 - least) * (F.col("size") + F.col("b_size")) + 1e-6).alias("may"), (8 * (F.col("size") + F.col("b_size"))).cast("long").alias("bytes")))
+        quick = written(seen.select("a", "b", "size", "b_size", "odd", "b_odd").mapInArrow(by_parity, "a long, b long, may boolean, bytes long"))
         may = quick.where("may").select("a", "b")
         # the sets of one part of the pairs at a time are on disk, a quarter of the texts' bytes or 64 MB
         parts = max(1, -(-int(quick.where("may").agg(F.sum("bytes")).first()[0] or 0) // max(total // 4, 64 << 20)))
@@ -380,38 +429,38 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = S
             need, need_at = materialise(part.select(F.col("a").alias("row__")).union(part.select("b")).distinct())
             whole, whole_at = materialise(map_texts(sieve(cols.select("row__", "text"), need).where("may__").drop("may__").join(need.hint("merge"), "row__", "left_semi"), sets_of, "row__ long, whole binary"))
             both = part.join(whole.withColumnRenamed("row__", "a"), "a").join(whole.select(F.col("row__").alias("b"), F.col("whole").alias("other")), "b")
-            out = out.union(written(both.select("a", "b", "whole", "other").mapInArrow(by_set, "a long, b long, ok boolean")))
+            out = out.union(in_small_batches(both.select("a", "b", "whole", "other").mapInArrow(by_set, "a long, b long, ok boolean")))
             discard(spark, need_at, whole_at)
         return out
 
-    def fits(a: str, b: str):
-        return F.least(a, b) >= least * F.greatest(a, b) - 1e-6
+    def fits():
+        """Whether two rows can be similar by their sizes, and by what is left of both behind their first common shingle."""
+        size, other = F.col("size"), F.col("b_size")
+        rest = F.least(size - F.col("pos"), other - F.col("b_pos"))
+        return (F.least(size, other) >= least * F.greatest(size, other) - 1e-6) & (rest * (1 + least) >= least * (size + other) - 1e-6)
 
-    done, groups, open_classes = None, None, classes
+    done = compare(found)
+    groups, at = materialise(components(done.where("ok").select("a", "b")))
+    old.append(at)
+    open_classes = classes
     for k in range(rounds + 1):
-        if k:
-            # two rows have been compared; classes of one group stay so
-            classes = open_classes.drop("group").where("n > 2")
-            named = classes.join(groups, classes.row__ == groups.node, "left").select("shingle", "n", "row__", "size", F.coalesce("root", "row__").alias("group"))
-            apart = named.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
-            open_classes = written(named.join(apart.select("shingle"), "shingle", "left_semi"))
-        else:
-            open_classes = classes.withColumn("group", F.col("row__"))
+        # classes of one group stay so; after the first round, two rows have been compared
+        classes = open_classes.drop("group").where("n > 2") if k else classes
+        named = classes.join(groups, classes.row__ == groups.node, "left").select("shingle", "n", "row__", "size", "pos", F.coalesce("root", "row__").alias("group"))
+        apart = named.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
+        open_classes = written(named.join(apart.select("shingle"), "shingle", "left_semi"))
         if k < rounds:
             # one row for the classes of a family at first, then one by chance
-            pick = F.min(F.struct(F.xxhash64("shingle", "row__", F.lit(k)) if k else F.col("row__"), F.col("row__").alias("b"), F.col("size").alias("b_size"), F.col("group").alias("b_group")))
-            met = open_classes.join(open_classes.groupBy("shingle").agg(pick.alias("p")).select("shingle", "p.b", "p.b_size", "p.b_group"), "shingle").withColumnRenamed("row__", "a")
+            pick = F.min(F.struct(F.xxhash64("shingle", "row__", F.lit(k)) if k else F.col("row__"), F.col("row__").alias("b"), F.col("size").alias("b_size"), F.col("pos").alias("b_pos"), F.col("group").alias("b_group")))
+            met = open_classes.join(open_classes.groupBy("shingle").agg(pick.alias("p")).select("shingle", "p.b", "p.b_size", "p.b_pos", "p.b_group"), "shingle").withColumnRenamed("row__", "a")
         else:
             # a crowded class is cut into squares of rows
             parts = F.ceil(F.col("n") / CROWD).cast("int")
-            left = open_classes.select("shingle", F.pmod(F.xxhash64("row__"), parts).cast("int").alias("part"), F.col("row__").alias("a"), "size", "group")
-            right = open_classes.select("shingle", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("row__").alias("b"), F.col("size").alias("b_size"), F.col("group").alias("b_group"))
+            left = open_classes.select("shingle", F.pmod(F.xxhash64("row__"), parts).cast("int").alias("part"), F.col("row__").alias("a"), "size", "pos", "group")
+            right = open_classes.select("shingle", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("row__").alias("b"), F.col("size").alias("b_size"), F.col("pos").alias("b_pos"), F.col("group").alias("b_group"))
             met = left.join(right, ["shingle", "part"]).where("a > b")
-        pairs = met.where((F.col("group") != F.col("b_group")) & fits("size", "b_size")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        new = compare(written(pairs))
-        done = new if done is None else done.union(new)
+        pairs = met.where((F.col("group") != F.col("b_group")) & fits()).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        done = done.union(compare(written(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))))
         groups, at = materialise(components(done.where("ok").select("a", "b")))
         old.append(at)
     of_set = sets.join(groups, sets.lead == groups.node, "left").select("key", F.coalesce("root", "lead").alias("group"))

@@ -565,6 +565,40 @@ def test_pipeline_near_duplicates_of_shared_passages(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df, rounds=1).collect()) == want
 
 
+def test_pipeline_near_duplicates_go_through_fingerprints(spark, monkeypatch):
+    """Texts of near fingerprints are compared before any class of common shingles, and their links are kept."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    texts = []
+    for _ in range(20):
+        t = [rng.choice(words) for _ in range(400)]
+        texts += [" ".join(t), " ".join(t[:-1] + ["changed"])]
+    calls, real, none = [], simhash.link, simhash.prefix
+    monkeypatch.setattr(simhash, "link", lambda nodes, radius: calls.append((nodes.count(), radius)) or real(nodes, radius))
+    # without prefixes, what the fingerprints find is all
+    monkeypatch.setattr(simhash, "prefix", lambda h, *rest: none(h, *rest)[:0])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()}
+    prints = simhash.fingerprints([simhash.shingle_set(t, 5) for t in texts])
+    want = {i for i in range(40) if i % 2 == 0 or int(prints[i] ^ prints[i - 1]).bit_count() > simhash.RADIUS}
+    assert calls == [(len(set(prints.tolist())), simhash.RADIUS)]
+    assert kept == want and len(want) < 40
+
+
+@pytest.mark.parametrize("size", [0, 1, 5, 63, 700, 20000])
+def test_parities_bound_the_difference(size):
+    """Parities never differ in more bits than the sets do in shingles, and those of far sets rule them out at every size."""
+    rng = np.random.default_rng(size)
+    a = np.unique(rng.integers(0, 1 << 63, size, np.int64).astype(np.uint64))
+    for keep, more in ((1.0, 0), (0.9, 0.1), (0.5, 0.5), (0.3, 2.0), (0.0, 1.0)):
+        b = np.unique(np.concatenate([a[: int(len(a) * keep)], rng.integers(0, 1 << 63, int(len(a) * more), np.int64).astype(np.uint64)]))
+        got = int(simhash.parity_distance([simhash.parities(a)], [simhash.parities(b)])[0])
+        both = len(np.intersect1d(a, b))
+        assert got <= len(a) + len(b) - 2 * both
+        if size >= 700 and both < 0.6 * (len(a) + len(b) - both):
+            assert got * 1.8 > 0.2 * (len(a) + len(b)) + 1e-6
+
+
 # decontamination
 
 
