@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -227,6 +228,8 @@ RADIUS = 2
 PAIR_ROWS = 64
 #: Rows whose shingles are counted to put common shingles last, shingles that are put last, and their least count.
 COUNTED, COMMON, OFTEN = 1 << 14, 1 << 18, 3
+#: Rows of a class of which all pairs are looked at; larger classes are told apart by what their rows have unlike one of them.
+SMALL = 64
 #: Rows of a class that one task pairs with as many others.
 CROWD = 1000
 
@@ -310,6 +313,35 @@ def common_shingles(cols: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     return found[order], n[order]
 
 
+def unlike_pairs(deltas: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """Candidates (a, b) among rows with the same pivot, from their differences (a, b the pivot, size, delta) to its set.
+
+    With Dx and Dy what x and y have unlike the pivot, x and y differ in |Dx| + |Dy| - 2 |Dx and Dy| shingles, and similar sets
+    differ in w (|x| + |y|) at most, w = (1 - least) / (1 + least). So similar x and y share (|Dx| + |Dy| - w (|x| + |y|)) / 2
+    elements of Dx and Dy at least: more than none, unless both are similar to the pivot, which links them. They meet in the first
+    element that they share in an order by its count at the pivot, and behind it each has as many left. Rows of a family differ
+    from each other mostly in what they share with few: such a pair is never made, as large as the family may be.
+    """
+    w = (1 - least) / (1 + least)
+    each = deltas.select("a", "b", "size", F.size("delta").alias("span"), F.explode("delta").alias("shingle"))
+    # what one row has alone comes first, and only its number matters
+    held = each.groupBy("b", "shingle").agg(F.count("*").alias("n")).where("n > 1")
+    pair = Window.partitionBy("a", "b")
+    rank = F.row_number().over(pair.orderBy("n", "shingle")) - 1
+    placed = each.join(held, ["b", "shingle"]).withColumns({"pos": F.col("span") - F.count("*").over(pair) + rank, "parts": F.ceil(F.col("n") / CROWD).cast("int")})
+    # a similar set differs in no more shingles than this; the side of the smaller difference needs half of it,
+    # and (1 + w) / 2 of its own, as one of the two is not similar to the pivot
+    top = F.col("size") * (w * (1 + 1 / least)) + 1e-6
+    first = placed.where(F.col("pos") <= top).join(groups.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("group", F.coalesce("root", "a"))
+    of = ("a", "size", "span", "pos", "group")
+    low = first.where((F.col("pos") <= top / 2) & (F.col("pos") <= F.col("span") * ((1 + w) / 2) + 1e-6)).select("b", "shingle", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), *[F.col(c).alias(f"l_{c}") for c in of])
+    high = first.select("b", "shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *of)
+    sizes = (F.least("size", "l_size") >= least * F.greatest("size", "l_size") - 1e-6) & ((F.col("l_span") < F.col("span")) | ((F.col("l_span") == F.col("span")) & (F.col("l_a") < F.col("a"))))
+    rest = 2 * F.least(F.col("span") - F.col("pos"), F.col("l_span") - F.col("l_pos")) >= F.col("span") + F.col("l_span") - w * (F.col("size") + F.col("l_size")) - 1e-6
+    met = low.join(high, ["b", "shingle", "part"]).where((F.col("group") != F.col("l_group")) & sizes & rest)
+    return met.select(F.greatest("a", "l_a").alias("a"), F.least("a", "l_a").alias("b"))
+
+
 #: Bits of a filter of rows, in parts of 4096 bytes: 8 MB at most.
 FILTER_BITS, PART_BITS = 1 << 26, 1 << 15
 
@@ -337,7 +369,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = S
     Fingerprints within the radius of each other, found as in ``near_duplicates``, are compared first; whole shingle sets
     decide. The others have an exact way: two sets of at least this similarity share a shingle of their prefixes, so the
     rows with one prefix shingle are a class, and all pairs that matter meet in one. For some rounds each class is
-    compared with one of its rows; then every pair of a class that no links join yet is compared.
+    compared with one of its rows; then every pair of a small class that no links join yet is compared, and of a large one
+    those that can be similar by what both have unlike one row of it (``unlike_pairs``).
     """
     spark = docs.sparkSession
     base, _ = materialise(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row__")))
@@ -400,6 +433,13 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = S
             ok = [similarity(a, b) >= least for a, b in zip(batch.column("whole").to_pylist(), batch.column("other").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
+    def by_delta(batches):
+        for batch in batches:
+            whole, other = ([np.frombuffer(x, "<u8") for x in batch.column(c).to_pylist()] for c in ("whole", "other"))
+            each = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(whole, other)]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, each)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *each]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([len(x) for x in whole], pa.int32()), pa.array([len(y) for y in other], pa.int32()), lists], ["a", "b", "size", "b_size", "delta"])
+
     old = [marked_at, sets_at, classes_at, found_at, odd_at]
 
     def written(df: DataFrame) -> DataFrame:
@@ -420,18 +460,22 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = S
         """(a, b, ok) of pairs (a, b)."""
         seen = pairs.join(odd.withColumnRenamed("row__", "a"), "a").join(odd.select(F.col("row__").alias("b"), F.col("size").alias("b_size"), F.col("odd").alias("b_odd")), "b")
         quick = written(seen.select("a", "b", "size", "b_size", "odd", "b_odd").mapInArrow(by_parity, "a long, b long, may boolean, bytes long"))
-        may = quick.where("may").select("a", "b")
-        # the sets of one part of the pairs at a time are on disk, a quarter of the texts' bytes or 64 MB
-        parts = max(1, -(-int(quick.where("may").agg(F.sum("bytes")).first()[0] or 0) // max(total // 4, 64 << 20)))
-        out = quick.where("NOT may").select("a", "b", F.lit(False).alias("ok"))
+        may = quick.where("may")
+        return over_sets(may, "b", by_set, "a long, b long, ok boolean").union(quick.where("NOT may").select("a", "b", F.lit(False).alias("ok")))
+
+    def over_sets(pairs: DataFrame, by: str, step, schema: str) -> DataFrame:
+        """``step`` over pairs (a, b, bytes) and their sets, those of one part of the pairs at a time."""
+        # the sets of a part are on disk, a quarter of the texts' bytes or 64 MB
+        parts = max(1, -(-int(pairs.agg(F.sum("bytes")).first()[0] or 0) // max(total // 4, 64 << 20)))
+        out = []
         for k in range(parts):
-            part = may.where(F.pmod(F.xxhash64("b"), F.lit(parts)) == k) if parts > 1 else may
+            part = (pairs.where(F.pmod(F.xxhash64(by), F.lit(parts)) == k) if parts > 1 else pairs).select("a", "b")
             need, need_at = materialise(part.select(F.col("a").alias("row__")).union(part.select("b")).distinct())
             whole, whole_at = materialise(map_texts(sieve(cols.select("row__", "text"), need).where("may__").drop("may__").join(need.hint("merge"), "row__", "left_semi"), sets_of, "row__ long, whole binary"))
             both = part.join(whole.withColumnRenamed("row__", "a"), "a").join(whole.select(F.col("row__").alias("b"), F.col("whole").alias("other")), "b")
-            out = out.union(in_small_batches(both.select("a", "b", "whole", "other").mapInArrow(by_set, "a long, b long, ok boolean")))
+            out.append(in_small_batches(both.select("a", "b", "whole", "other").mapInArrow(step, schema)))
             discard(spark, need_at, whole_at)
-        return out
+        return reduce(DataFrame.union, out)
 
     def fits():
         """Whether two rows can be similar by their sizes, and by what is left of both behind their first common shingle."""
@@ -442,27 +486,48 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, least: float = S
     done = compare(found)
     groups, at = materialise(components(done.where("ok").select("a", "b")))
     old.append(at)
-    open_classes = classes
-    for k in range(rounds + 1):
-        # classes of one group stay so; after the first round, two rows have been compared
-        classes = open_classes.drop("group").where("n > 2") if k else classes
+
+    def apart(classes: DataFrame) -> DataFrame:
+        """The classes with rows of more than one group."""
         named = classes.join(groups, classes.row__ == groups.node, "left").select("shingle", "n", "row__", "size", "pos", F.coalesce("root", "row__").alias("group"))
-        apart = named.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
-        open_classes = written(named.join(apart.select("shingle"), "shingle", "left_semi"))
-        if k < rounds:
-            # one row for the classes of a family at first, then one by chance
-            pick = F.min(F.struct(F.xxhash64("shingle", "row__", F.lit(k)) if k else F.col("row__"), F.col("row__").alias("b"), F.col("size").alias("b_size"), F.col("pos").alias("b_pos"), F.col("group").alias("b_group")))
-            met = open_classes.join(open_classes.groupBy("shingle").agg(pick.alias("p")).select("shingle", "p.b", "p.b_size", "p.b_pos", "p.b_group"), "shingle").withColumnRenamed("row__", "a")
-        else:
-            # a crowded class is cut into squares of rows
-            parts = F.ceil(F.col("n") / CROWD).cast("int")
-            left = open_classes.select("shingle", F.pmod(F.xxhash64("row__"), parts).cast("int").alias("part"), F.col("row__").alias("a"), "size", "pos", "group")
-            right = open_classes.select("shingle", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("row__").alias("b"), F.col("size").alias("b_size"), F.col("pos").alias("b_pos"), F.col("group").alias("b_group"))
-            met = left.join(right, ["shingle", "part"]).where("a > b")
-        pairs = met.where((F.col("group") != F.col("b_group")) & fits()).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        done = done.union(compare(written(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))))
+        both = named.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
+        return written(named.join(both.select("shingle"), "shingle", "left_semi"))
+
+    def link_more(more: DataFrame) -> None:
+        """Compare the pairs (a, b) that were not yet, and find the groups again."""
+        nonlocal done, groups
+        done = done.union(compare(written(more.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"))))
+        regroup()
+
+    def regroup() -> None:
+        nonlocal groups
         groups, at = materialise(components(done.where("ok").select("a", "b")))
         old.append(at)
+
+    def likely(met: DataFrame) -> DataFrame:
+        return met.where((F.col("group") != F.col("b_group")) & fits()).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+    open_classes = apart(classes)
+    for k in range(rounds):
+        # one row for the classes of a family at first, then one by chance
+        pick = F.min(F.struct(F.xxhash64("shingle", "row__", F.lit(k)) if k else F.col("row__"), F.col("row__").alias("b"), F.col("size").alias("b_size"), F.col("pos").alias("b_pos"), F.col("group").alias("b_group")))
+        link_more(likely(open_classes.join(open_classes.groupBy("shingle").agg(pick.alias("p")).select("shingle", "p.b", "p.b_size", "p.b_pos", "p.b_group"), "shingle").withColumnRenamed("row__", "a")))
+        # classes of one group stay so; after the first round, two rows have been compared
+        open_classes = apart(open_classes.drop("group").where("n > 2"))
+    left = open_classes.where(F.col("n") <= SMALL)
+    right = left.select("shingle", F.col("row__").alias("b"), F.col("size").alias("b_size"), F.col("pos").alias("b_pos"), F.col("group").alias("b_group"))
+    rest = likely(left.withColumnRenamed("row__", "a").join(right, "shingle").where("a > b"))
+    large = open_classes.where(F.col("n") > SMALL)
+    if not large.isEmpty():
+        # one pivot for the classes of a family, as far as they hold the same first row
+        pivots = large.groupBy("shingle").agg(F.min(F.struct("row__", "size")).alias("p")).select("shingle", F.col("p.row__").alias("b"), F.col("p.size").alias("b_size"))
+        spokes = written(large.join(pivots, "shingle").where("row__ <> b").select(F.col("row__").alias("a"), "b", (8 * (F.col("size").cast("long") + F.col("b_size"))).alias("bytes")).distinct())
+        deltas = written(over_sets(spokes, "a", by_delta, "a long, b long, size int, b_size int, delta array<long>"))
+        similar = F.size("delta") * (1 + least) <= (1 - least) * (F.col("size") + F.col("b_size")) + 1e-6
+        done = done.union(written(deltas.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), similar.alias("ok"))))
+        regroup()
+        rest = rest.union(unlike_pairs(deltas, groups, least))
+    link_more(rest)
     of_set = sets.join(groups, sets.lead == groups.node, "left").select("key", F.coalesce("root", "lead").alias("group"))
     members = marked.select("row__", "doc_id", "key").join(of_set, "key")
     stay = members.groupBy("group").agg(F.min(order).alias("lead")).select(F.col("lead.row__").alias("row__"))

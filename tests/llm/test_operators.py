@@ -565,6 +565,62 @@ def test_pipeline_near_duplicates_of_shared_passages(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df, rounds=1).collect()) == want
 
 
+def test_pipeline_near_duplicates_of_a_family(spark, monkeypatch):
+    """Edited copies of one text, most less than 0.8 like each other: all links are found, and few pairs are looked at."""
+    monkeypatch.setattr(simhash, "COUNTED", 1)
+    rng = random.Random(17)
+    template = [f"t{i}" for i in range(150)]
+    texts = []
+    for i in range(300):
+        words = list(template)
+        for at in rng.sample(range(150), rng.randint(2, 5)):
+            words[at] = f"e{i}x{at}"
+        if i % 10 == 9:  # near an edited copy, less so to the template
+            words = texts[-1].split()
+            words[rng.randrange(150)] = f"f{i}"
+        texts.append(" ".join(words))
+    made, real = [], simhash.materialise
+
+    def seen(df):
+        out, at = real(df)
+        if out.columns == ["a", "b"]:
+            made.append(out.count())
+        return out, at
+
+    monkeypatch.setattr(simhash, "materialise", seen)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df).collect())
+    assert got == near_brute(texts)
+    assert 150 < len(got) < 290, len(got)
+    assert max(made) < 20 * len(texts), made
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_pipeline_near_duplicates_by_differences(spark, monkeypatch, rounds):
+    """Families in chains and unlike texts with a passage, nearly all classes told apart by differences to a pivot, in squares."""
+    monkeypatch.setattr(simhash, "COUNTED", 1)
+    monkeypatch.setattr(simhash, "SMALL", 2)
+    monkeypatch.setattr(simhash, "CROWD", 4)
+    rng = random.Random(23 + rounds)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    passage = [rng.choice(words) for _ in range(40)]
+    texts = ["", "one two"]
+    for f in range(12):
+        first = passage + [rng.choice(words) for _ in range((0, 10, 40, 110)[f % 4])]
+        t = first
+        for i in range(16):
+            texts.append(" ".join(t))
+            t = list(t if i % 3 else first)
+            for _ in range(rng.randint(1, max(1, len(t) // 40))):
+                at = rng.randrange(len(t))
+                t[at : at + 1 + rng.randrange(2)] = [rng.choice(words)]
+    rng.shuffle(texts)
+    want = near_brute(texts)
+    assert 20 < len(want) < len(texts) - 40
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df, rounds=rounds).collect()) == want
+
+
 def test_pipeline_near_duplicates_go_through_fingerprints(spark, monkeypatch):
     """Texts of near fingerprints are compared before any class of common shingles, and their links are kept."""
     rng = random.Random(2)
